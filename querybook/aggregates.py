@@ -474,7 +474,7 @@ def _(v):
         F.max("ts").cast("timestamp").alias("updated"), F.countDistinct("date").alias("n")
     )
     return rows.select(
-        "host", T.is_stale(F.col("updated"), now).alias("stale"), T.coverage_note(F.col("n"), 30).alias("note")
+        "host", T.is_stale(F.col("updated"), now).alias("stale"), T.coverage_note("n", 30).alias("note")
     )
 
 

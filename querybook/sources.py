@@ -10,6 +10,7 @@ from querybook.registry import query
 from querybook.sql import DATE, NON_CONTENT, ctr_case, kind_case, malformed, sql, top
 from querybook.views import CONFIG, Views
 from tidegauge.functions import scalars as D
+from tidegauge.functions import text
 from tidegauge.operators import ingest as B
 from tidegauge.operators import opportunities as O
 from tidegauge.sinks import daily
@@ -317,8 +318,8 @@ def _(v):
 def _(v):
     rows = v.search_summary.where(F.col("impressions") > 0)
     return rows.select(
-        "date", "host", D.number_text(F.col("impressions")).alias("impressions_text"),
-        D.percent_text(F.col("clicks") / F.col("impressions")).alias("ctr_text"),
+        "date", "host", F.expr(text.number("impressions")).alias("impressions_text"),
+        F.expr(text.percent("clicks / impressions")).alias("ctr_text"),
     )
 
 
@@ -332,7 +333,7 @@ def _(v):
 def _(v):
     daily_bytes = v.zone_log.groupBy("date").agg(F.sum("bytes").alias("b"), F.count("*").alias("n"))
     sizes = daily_bytes.select("date", F.explode(F.array("b", F.col("b") * 1000000, "n")).alias("bytes"))
-    label = D.bytes_text(F.col("bytes"))
+    label = F.expr(text.byte_size("bytes"))
     return sizes.select("date", F.element_at(F.split(label, " "), 2).alias("unit"), "bytes", label.alias("label"))
 
 
@@ -372,7 +373,7 @@ def _(v):
         "date", "host", change.alias("change"), F.when(F.col("p") != 0, change / F.col("p")).alias("delta")
     )
     delta, moved = F.col("delta"), F.col("change")
-    label = D.delta_label(delta, moved)
+    label = F.expr(text.delta_label("delta", "change"))
     return rows.select(
         "date", "host", D.delta_class(delta, moved).alias("class"),
         F.when(label.contains("%"), "percentage").otherwise(label).alias("label"),

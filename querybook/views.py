@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegauge.config import FloodRules, SignalRules, Site, SiteConfig
-from tidegauge.functions.ranking import top_n
 from tidegauge.functions.scalars import ratio, search_window
 from tidegauge.operators import ingest as B
 from tidegauge.operators.reads import Period
@@ -263,28 +262,37 @@ class Views:
     @cached_property
     def tables(self) -> Tables:
         """The daily tables as lazy plans: a query computes only those it reads."""
-        rum = B.host_daily_traffic(self.rum).withColumn("bytes", F.lit(0).cast("long"))
-        zone_total = self.zone_log.groupBy("date", "host").agg(
-            F.sum("visits").alias("visits"), F.sum("requests").alias("views"), F.sum("bytes").alias("bytes")
-        )
-        aliases = self.config.aliases_df(self.spark)
-        referrers = top_n(
-            B.referrer_daily(self.rum), B.DAY, [F.desc("visits"), F.asc("referrer")], 50
-        ).drop("rank")
+        aliases = partial(self.config.aliases_df, self.spark)
+
+        def traffic() -> DataFrame:
+            rum = B.host_daily_traffic(self.rum).withColumn("bytes", F.lit(0).cast("long"))
+            zone = self.zone_log.groupBy("date", "host").agg(
+                F.sum("visits").alias("visits"),
+                F.sum("requests").alias("views"),
+                F.sum("bytes").alias("bytes"),
+            )
+            return rum.unionByName(zone)
+
+        def referrers() -> DataFrame:
+            return B.top_referrers(B.referrer_daily(self.rum), 50, aliases()).drop("rank")
+
+        def bots() -> DataFrame:
+            return B.section(self.zone_rollup, "zone_bots", "category", "requests", "visits")
+
         return Tables(
             self.spark,
             {
-                "traffic": rum.unionByName(zone_total),
-                "referrers": B.with_kind(referrers, aliases),
-                "landing": B.top_pages(B.landing_daily(self.rum), 50).drop("rank"),
-                "zone_pages": B.zone_top_paths(self.zone_rollup).drop("rank"),
-                "zone_countries": B.zone_top_countries(self.zone_rollup).drop("rank"),
-                "zone_status": B.zone_top_statuses(self.zone_rollup).drop("rank"),
-                "zone_bots": B.section(self.zone_rollup, "zone_bots", "category", "requests", "visits"),
-                "keywords": self.keywords,
-                "search_pages": self.search_pages,
-                "search_summary": self.search_summary,
-                "forums": self.forum,
+                "traffic": traffic,
+                "referrers": referrers,
+                "landing": lambda: B.top_pages(B.landing_daily(self.rum), 50).drop("rank"),
+                "zone_pages": lambda: B.zone_top_paths(self.zone_rollup).drop("rank"),
+                "zone_countries": lambda: B.zone_top_countries(self.zone_rollup).drop("rank"),
+                "zone_status": lambda: B.zone_top_statuses(self.zone_rollup).drop("rank"),
+                "zone_bots": bots,
+                "keywords": lambda: self.keywords,
+                "search_pages": lambda: self.search_pages,
+                "search_summary": lambda: self.search_summary,
+                "forums": lambda: self.forum,
             },
         )
 

@@ -149,6 +149,67 @@ DIRECT_LABEL = "Direct / none"
 BYTE_UNITS = ("B", "KB", "MB", "GB", "TB")
 DISPLAY_ZONE = "America/Denver"
 
+# ---------------------------------------------------------------- fixed values
+# Report wording. {names} are filled in per row.
+FLOOD_REASON = "{direct} direct, {rate} pages/session, {multiple}x a normal day"
+COVERAGE_NOTE = "{days} of {period} daily snapshots available"
+SNIPPET_REASON = (
+    "Ranks at {position} with {ctr} CTR against roughly {expected} expected there: about {clicks}"
+    " clicks a window lost to the snippet, not to the ranking."
+    " Rewrite the title and meta description."
+)
+RANK_REASON = (
+    "Ranks at {position}, too deep to be seen. Roughly {clicks} clicks a window are out of reach"
+    " at that rank. Strengthen the page and link to it."
+)
+ZONE_NOTE = "{requests} requests · {visits} zone visits · {bytes}"
+CLEAN_DAYS_NOTE = "Human figures above cover the {days} clean {day_word}"
+NOTHING_RECOVERED = "; the flooded {day_word} produced no referred sessions at all."
+NOTHING_MEASURED = (
+    "No referred sessions were measured on those days, so there is no human figure to report."
+)
+RECOVERED_NOTE = "{sessions} referred {session_word} that survived the flooded {day_word}"
+RECOVERED_ONLY = "The figure above is the "
+RECOVERED_WHY = (
+    ". A crawler arrives without a referer, so a referral is still a person; the direct traffic"
+    " on those days is not separable, which is why the total is a floor."
+)
+HEADLINES = {
+    "error-spike": "{host} error responses are {share} of requests",
+    "likely-bot-subflood": "{host} is up {delta}, and it looks like a crawler rather than growth",
+    "malformed-urls": "{host} is serving {count} malformed URLs",
+    "snippet-gap": "{host} has {count} {query_word} ranking well but not clicked",
+    "rank-gap": "{host} has {count} {query_word} ranking too deep to be seen",
+    "traffic-drop": "{host} sessions fell {delta}",
+    "traffic-rise": "{host} sessions rose {delta}",
+    "no-comparison": "{host} has no like-for-like comparison",
+}
+EVIDENCE = {
+    "error-spike": (
+        "{errors} responses ≥ 400 out of {requests} requests, against a {days}-day mean of {mean}."
+    ),
+    "likely-bot-subflood": (
+        "{visits} sessions (was {previous}), {direct} direct, {rate} pages/session,"
+        " {top_share} of entrances on {top_page}."
+    ),
+    "malformed-urls": (
+        "{count} landing pages contain encoded markup or tag fragments, e.g. {example}."
+    ),
+    "snippet-gap": (
+        'About {clicks} clicks a window are going elsewhere, led by "{query}" at position'
+        " {position} with {ctr} CTR against roughly {expected} expected there."
+    ),
+    "rank-gap": (
+        'Roughly {clicks} clicks a window are out of reach at these ranks, led by "{query}"'
+        " at position {position} on {impressions} impressions."
+    ),
+    "traffic-drop": "{visits} sessions, down {change} from {previous}.",
+    "traffic-rise": "{visits} sessions, up {change} from {previous}.",
+    "no-comparison": (
+        "{visits} sessions is a floor: {side} period contains a crawler-flooded day whose direct"
+        " bucket is not separable."
+    ),
+}
 # ---------------------------------------------------------------- fixed values
 # The imperative sentence that goes with each signal.
 ACTIONS = {

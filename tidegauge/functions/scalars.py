@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -40,7 +41,7 @@ def search_window(date: Column) -> Column:
 
 
 def _contains_any(text: Column, fragments: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, (text.contains(fragment) for fragment in fragments))
+    return text.rlike("|".join(re.escape(fragment) for fragment in fragments))
 
 
 def referrer_kind(referrer: Column, internal: Column | None = None) -> Column:
@@ -101,56 +102,10 @@ def anchor(host: Column) -> Column:
     return F.concat(F.lit("site-"), F.regexp_replace(host, "[^a-zA-Z0-9]", "-"))
 
 
-def to_fixed(value: Column, digits: int) -> Column:
-    """Decimal text, rounded half up on the exact binary value of a double.
-
-    ``format_string`` rounds the shortest decimal form, so 8.85 (which is below
-    8.85 in binary) would become 8.9. The rounding error of the scaled product is
-    recovered exactly (Dekker's product) and decides such near-ties.
-    """
-    x = F.abs(zero(value).cast("double"))
-    scale = 2.0 * 10**digits
-    product = x * scale
-    split = x * 134217729.0
-    high = split - (split - x)
-    error = (high * scale - product) + (x - high) * scale
-    below_tie = (product == F.floor(product)) & (F.pmod(F.floor(product), F.lit(2)) == 1) & (error < 0)
-    units = F.floor((F.floor(product) + 1) / 2) - F.when(below_tie, 1).otherwise(0)
-    if digits:
-        whole = F.floor(units / 10**digits).cast("string")
-        text = F.concat(
-            whole, F.lit("."), F.lpad((units % 10**digits).cast("string"), digits, "0")
-        )
-    else:
-        text = units.cast("string")
-    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
-
-
-def percent_text(share: Column, digits: int = 0) -> Column:
-    return F.concat(to_fixed(zero(share).cast("double") * 100.0, digits), F.lit("%"))
-
-
-def number_text(value: Column) -> Column:
-    """Whole number with thousands separators."""
-    return F.format_number(zero(value), 0)
-
-
 def round_half_up(value: Column) -> Column:
     return F.floor(value + 0.5)
 
 
-def bytes_text(value: Column) -> Column:
-    """Byte count in the largest unit up to TB, base 1024."""
-    n = zero(value).cast("double")
-    text = F.when(n < 1024, F.concat(to_fixed(n, 0), F.lit(" " + C.BYTE_UNITS[0])))
-    for power, unit in enumerate(C.BYTE_UNITS[1:], start=1):
-        scaled = F.concat(to_fixed(n / float(1024**power), 1), F.lit(" " + unit))
-        text = text.otherwise(scaled) if unit == C.BYTE_UNITS[-1] else text.when(
-            n < float(1024 ** (power + 1)), scaled
-        )
-    return text
-
-
 def page_label(page: Column) -> Column:
     """Path and query of an absolute URL; anything else unchanged."""
     absolute = r"(?is)^[a-z][a-z0-9+.-]*://[^/?#]+([^?#]*)(\?[^#]+)?"
@@ -186,22 +141,6 @@ def delta_class(delta: Column, change: Column, min_change: int = C.SIGNAL_MIN_AB
     )
 
 
-def delta_label(
-    delta: Column,
-    change: Column,
-    compact: bool = False,
-    min_change: int = C.SIGNAL_MIN_ABSOLUTE_CHANGE,
-) -> Column:
-    tail = F.lit("" if compact else " vs previous")
-    sign = F.when(change > 0, "+").when(change < 0, "−").otherwise("±")
-    arrow = F.when(delta > 0, "↑").when(delta < 0, "↓").otherwise("→")
-    return (
-        F.when(delta.isNull(), "no comparison")
-        .when(F.abs(change) < min_change, F.concat(sign, number_text(F.abs(change)), tail))
-        .otherwise(F.concat(arrow, F.lit(" "), percent_text(F.abs(delta)), tail))
-    )
-
-
 def date_label(date: Column) -> Column:
     return F.coalesce(F.date_format(date, "MMM d, yyyy"), F.lit("—"))
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidegauge import constants as C
 from tidegauge.config import FloodRules
 from tidegauge.functions.ranking import site_keys
-from tidegauge.functions.scalars import percent_text, ratio, round_half_up, to_fixed, zero
+from tidegauge.functions.scalars import ratio, zero
+from tidegauge.functions.text import fixed, percent, sentence
 
 
 def day_shape(traffic: DataFrame, kinds: DataFrame, rules: FloodRules = FloodRules()) -> DataFrame:
@@ -133,18 +135,13 @@ def flood_dates(classified: DataFrame) -> DataFrame:
 
 def flood_reason() -> Column:
     """Why a day counts as flooded, as text."""
-    normal = F.greatest(F.col("baseline"), F.lit(1))
-    return F.when(
-        F.col("flood"),
-        F.concat(
-            percent_text(F.col("direct_share")),
-            F.lit(" direct, "),
-            to_fixed(F.col("pages_per_session"), 1),
-            F.lit(" pages/session, "),
-            round_half_up(F.col("visits") / normal).cast("string"),
-            F.lit("x a normal day"),
-        ),
+    reason = sentence(
+        C.FLOOD_REASON,
+        direct=percent("direct_share"),
+        rate=fixed("pages_per_session", 1),
+        multiple="string(floor(visits / greatest(baseline, 1) + 0.5D))",
     )
+    return F.expr(f"CASE WHEN flood THEN {reason} END")
 
 
 def flood_run(floods: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidegauge import constants as C
 from tidegauge.config import OpportunityRules
 from tidegauge.functions.ranking import site_keys, top_n
-from tidegauge.functions.scalars import expected_ctr, number_text, percent_text, ratio, to_fixed, zero
+from tidegauge.functions.scalars import expected_ctr, ratio, zero
+from tidegauge.functions.text import fixed, percent, sentence
 
 
 def drop_denied(keywords: DataFrame, deny: DataFrame) -> DataFrame:
@@ -70,29 +71,15 @@ def top_opportunities(found: DataFrame, n: int = C.TOP_OPPORTUNITIES) -> DataFra
 
 
 def opportunity_reason() -> Column:
-    position = to_fixed(F.col("position"), 1)
-    return F.when(
-        F.col("kind") == "snippet",
-        F.concat(
-            F.lit("Ranks at "), position,
-            F.lit(" with "), percent_text(F.col("ctr"), 1),
-            F.lit(" CTR against roughly "), percent_text(F.col("expected_ctr"), 1),
-            F.lit(" expected there: about "), to_fixed(F.col("lost_clicks"), 1),
-            F.lit(
-                " clicks a window lost to the snippet, not to the ranking."
-                " Rewrite the title and meta description."
-            ),
-        ),
-    ).when(
-        F.col("kind") == "rank",
-        F.concat(
-            F.lit("Ranks at "), position,
-            F.lit(", too deep to be seen. Roughly "), to_fixed(F.col("potential_clicks"), 1),
-            F.lit(
-                " clicks a window are out of reach at that rank."
-                " Strengthen the page and link to it."
-            ),
-        ),
+    parts = {
+        "position": fixed("position", 1),
+        "ctr": percent("ctr", 1),
+        "expected": percent("expected_ctr", 1),
+        "clicks": fixed("score", 1),
+    }
+    return F.expr(
+        f"CASE kind WHEN 'snippet' THEN {sentence(C.SNIPPET_REASON, **parts)}"
+        f" WHEN 'rank' THEN {sentence(C.RANK_REASON, **parts)} END"
     )
 
 
@@ -144,25 +131,3 @@ def headline_site(facts: DataFrame) -> DataFrame:
     return facts.agg(best.alias("best")).select(
         F.col("best.host").alias("host"), (-F.col("best.minus_score")).alias("score")
     )
-
-
-def lead_text(kind: str) -> Column:
-    """Evidence sentence of a snippet-gap or rank-gap signal."""
-    lead, clicks = F.col(f"{kind}_lead"), to_fixed(F.col(f"{kind}_clicks"), 1)
-    position = to_fixed(lead["position"], 1)
-    if kind == "snippet":
-        return F.concat(
-            F.lit("About "), clicks,
-            F.lit(' clicks a window are going elsewhere, led by "'), lead["query"],
-            F.lit('" at position '), position,
-            F.lit(" with "), percent_text(lead["ctr"], 1),
-            F.lit(" CTR against roughly "), percent_text(lead["expected_ctr"], 1),
-            F.lit(" expected there."),
-        )
-    return F.concat(
-        F.lit("Roughly "), clicks,
-        F.lit(' clicks a window are out of reach at these ranks, led by "'), lead["query"],
-        F.lit('" at position '), position,
-        F.lit(" on "), number_text(lead["impressions"]),
-        F.lit(" impressions."),
-    )

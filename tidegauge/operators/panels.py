@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 from tidegauge import constants as C
 from tidegauge.functions.ranking import site_keys, top_n
 from tidegauge.functions.scalars import (
-    bytes_text,
     kind_label,
-    number_text,
     ratio,
     referrer_label,
     round_half_up,
 )
+from tidegauge.functions.text import byte_size, literal, number, plural, sentence
 
 MIN_BAR = 7
 
@@ -90,56 +89,38 @@ def crawler_hosts(sites: DataFrame) -> DataFrame:
     )
 
 
-def _plural(count: Column, word: str) -> Column:
-    return F.concat(F.lit(word), F.when(count == 1, "").otherwise("s"))
-
-
-def recovered_note() -> Column:
-    """What a site's figure covers once flooded days are in the period."""
-    clean_days, recovered = F.col("clean_days"), F.col("partial_visits")
-    clean = F.when(
-        clean_days > 0,
-        F.concat(
-            F.lit("Human figures above cover the "), clean_days.cast("string"), F.lit(" clean "),
-            _plural(clean_days, "day"),
-        ),
-    )
-    days = F.concat(F.lit("the flooded "), _plural(F.col("bot_days"), "day"))
-    nothing = F.coalesce(
-        F.concat(clean, F.lit("; "), days, F.lit(" produced no referred sessions at all.")),
-        F.lit(
-            "No referred sessions were measured on those days,"
-            " so there is no human figure to report."
-        ),
-    )
-    survived = F.concat(
-        number_text(recovered), F.lit(" "), _plural(recovered, "referred session"),
-        F.lit(" that survived "), days,
-    )
-    why = F.lit(
-        ". A crawler arrives without a referer, so a referral is still a person; the direct"
-        " traffic on those days is not separable, which is why the total is a floor."
+def recovered_note() -> str:
+    """What a site's figure covers once flooded days are in the period, as SQL text."""
+    flooded = plural("bot_days", "day", "days")
+    clean = sentence(
+        C.CLEAN_DAYS_NOTE, days="string(clean_days)", day_word=plural("clean_days", "day", "days")
     )
-    mixed = F.coalesce(
-        F.concat(clean, F.lit(", plus "), survived), F.concat(F.lit("The figure above is the "), survived)
+    recovered = sentence(
+        C.RECOVERED_NOTE,
+        sessions=number("partial_visits"),
+        session_word=plural("partial_visits", "session", "sessions"),
+        day_word=flooded,
     )
+    nothing = sentence(C.NOTHING_RECOVERED, day_word=flooded)
+    why = literal(C.RECOVERED_WHY)
     return (
-        F.when(F.col("partial_days") == 0, F.coalesce(F.concat(clean, F.lit(".")), F.lit("")))
-        .when(recovered == 0, nothing)
-        .otherwise(F.concat(mixed, why))
+        f"CASE WHEN partial_days = 0 THEN IF(clean_days > 0, concat({clean}, '.'), '')"
+        f" WHEN partial_visits = 0 AND clean_days > 0 THEN concat({clean}, {nothing})"
+        f" WHEN partial_visits = 0 THEN {literal(C.NOTHING_MEASURED)}"
+        f" WHEN clean_days > 0 THEN concat({clean}, ', plus ', {recovered}, {why})"
+        f" ELSE concat({literal(C.RECOVERED_ONLY)}, {recovered}, {why}) END"
     )
 
 
-def zone_note() -> Column:
-    return F.concat(
-        number_text(F.col("views")), F.lit(" requests · "), number_text(F.col("visits")),
-        F.lit(" zone visits · "), bytes_text(F.col("bytes")),
+def zone_note() -> str:
+    return sentence(
+        C.ZONE_NOTE, requests=number("views"), visits=number("visits"), bytes=byte_size("bytes")
     )
 
 
 def panel_notes(sites: DataFrame) -> DataFrame:
     """The note of each site: request volume for zone hosts, flood cover for the rest."""
-    note = F.when(F.col("measurement") == "zone", zone_note()).otherwise(recovered_note())
+    note = F.expr(f"IF(measurement = 'zone', {zone_note()}, {recovered_note()})")
     return sites.select("host", "measurement", note.alias("note"))
 
 

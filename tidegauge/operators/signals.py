@@ -16,16 +16,8 @@ from pyspark.sql import functions as F
 from tidegauge import constants as C
 from tidegauge.config import SignalRules
 from tidegauge.functions.ranking import site_keys
-from tidegauge.functions.scalars import (
-    anchor,
-    is_malformed,
-    number_text,
-    percent_text,
-    ratio,
-    to_fixed,
-    zero,
-)
-from tidegauge.operators.opportunities import lead_text
+from tidegauge.functions.scalars import anchor, is_malformed
+from tidegauge.functions.text import fixed, literal, number, percent, plural, sentence
 
 # Order of the rules for one site; decides ties.
 RUM_RULES = (
@@ -88,147 +80,127 @@ def landing_facts(card: DataFrame) -> DataFrame:
     )
 
 
-def top_landing_share() -> Column:
-    """Share of the busiest page, over the larger of listed entrances and sessions."""
-    base = F.greatest(zero(F.col("listed_entries")), F.col("visits"))
-    return ratio(F.col("top_entries"), base)
-
-
 # ------------------------------------------------------------------ the rules
 
 
 def _signal(
-    severity: int, kind: str, headline: Column, evidence: Column, weight: Column,
-    recurrence: Column | None = None,
+    kind: str, severity: int, fires: Column, weight: str, parts: dict[str, str],
+    recurrence: str = "NULL",
 ) -> Column:
-    return F.struct(
-        F.lit(severity).alias("severity"),
-        F.lit(kind).alias("kind"),
-        headline.alias("headline"),
-        evidence.alias("evidence"),
-        F.lit(C.ACTIONS[kind]).alias("action"),
-        (F.lit(None) if recurrence is None else recurrence).cast("int").alias("recurrence"),
-        weight.cast("double").alias("weight"),
-        F.lit(ALL_RULES.index(kind)).alias("rule_order"),
+    """The signal as a struct, NULL where the rule does not fire."""
+    headline = sentence(C.HEADLINES[kind], host="host", **parts)
+    evidence = sentence(C.EVIDENCE[kind], **parts)
+    signal = F.expr(
+        f"named_struct('severity', {severity}, 'kind', '{kind}', 'headline', {headline},"
+        f" 'evidence', {evidence}, 'action', {literal(C.ACTIONS[kind])},"
+        f" 'recurrence', int({recurrence}), 'weight', double({weight}),"
+        f" 'rule_order', {ALL_RULES.index(kind)})"
     )
+    return F.when(fires, signal)
 
 
-def _change() -> Column:
-    return F.col("visits") - F.col("previous_visits")
+CHANGE = "visits - previous_visits"
+DIRECT_SHARE = "IF(visits != 0, direct / visits, 0D)"
+TOP_SHARE = (
+    "coalesce(top_entries / nullif(greatest(coalesce(listed_entries, 0), visits), 0), 0D)"
+)
 
 
-def _is_subflood(rules: SignalRules) -> Column:
-    rate = F.col("pages_per_session")
-    return (
-        (F.col("delta") >= rules.subflood_delta)
-        & (_change() >= rules.subflood_change)
-        & (F.col("visits") >= rules.subflood_visits)
-        & (rate > 0)
-        & (rate <= rules.subflood_flat_pages)
-        & (ratio(F.col("direct"), F.col("visits")) >= rules.subflood_direct_share)
-        & (top_landing_share() >= rules.subflood_top_page_share)
-    )
+def top_landing_share() -> Column:
+    """Share of the busiest page, over the larger of listed entrances and sessions."""
+    return F.expr(TOP_SHARE)
 
 
 def _error_spike(rules: SignalRules) -> Column:
-    share, mean = F.col("error_share"), F.col("error_mean")
-    fires = (
-        (F.col("error_days") >= rules.error_min_days)
-        & (F.col("error_requests") >= rules.error_min_requests)
-        & (share >= rules.error_min_share)
-        & ((share >= mean * rules.error_multiple) | (share - mean >= rules.error_points))
-    )
-    headline = F.concat(
-        "host", F.lit(" error responses are "), percent_text(share, 1), F.lit(" of requests")
+    fires = F.expr(
+        f"error_days >= {rules.error_min_days} AND error_requests >= {rules.error_min_requests}"
+        f" AND error_share >= {rules.error_min_share}D"
+        f" AND (error_share >= error_mean * {rules.error_multiple}D"
+        f" OR error_share - error_mean >= {rules.error_points}D)"
     )
-    evidence = F.concat(
-        number_text(F.col("error_requests")), F.lit(" responses ≥ 400 out of "),
-        number_text(F.col("error_base")), F.lit(" requests, against a "),
-        F.col("error_days").cast("string"), F.lit("-day mean of "), percent_text(mean, 1),
-        F.lit("."),
+    parts = {
+        "share": percent("error_share", 1),
+        "errors": number("error_requests"),
+        "requests": number("error_base"),
+        "days": "string(error_days)",
+        "mean": percent("error_mean", 1),
+    }
+    return _signal("error-spike", 1, fires, "error_requests", parts)
+
+
+def _is_subflood(rules: SignalRules) -> Column:
+    return F.expr(
+        f"delta >= {rules.subflood_delta}D AND {CHANGE} >= {rules.subflood_change}"
+        f" AND visits >= {rules.subflood_visits}"
+        f" AND pages_per_session > 0 AND pages_per_session <= {rules.subflood_flat_pages}D"
+        f" AND {DIRECT_SHARE} >= {rules.subflood_direct_share}D"
+        f" AND {TOP_SHARE} >= {rules.subflood_top_page_share}D"
     )
-    return F.when(fires, _signal(1, "error-spike", headline, evidence, F.col("error_requests")))
 
 
 def _subflood(rules: SignalRules) -> Column:
-    visits = F.col("visits")
-    headline = F.concat(
-        "host", F.lit(" is up "), percent_text(F.col("delta")),
-        F.lit(", and it looks like a crawler rather than growth"),
-    )
-    evidence = F.concat(
-        number_text(visits), F.lit(" sessions (was "), number_text(F.col("previous_visits")),
-        F.lit("), "), percent_text(ratio(F.col("direct"), visits)), F.lit(" direct, "),
-        to_fixed(F.col("pages_per_session"), 1), F.lit(" pages/session, "),
-        percent_text(top_landing_share()), F.lit(" of entrances on "), "top_page", F.lit("."),
-    )
-    return F.when(
-        _is_subflood(rules),
-        _signal(1, "likely-bot-subflood", headline, evidence, F.abs(_change())),
-    )
+    parts = {
+        "delta": percent("delta"),
+        "visits": number("visits"),
+        "previous": number("previous_visits"),
+        "direct": percent(DIRECT_SHARE),
+        "rate": fixed("pages_per_session", 1),
+        "top_share": percent(TOP_SHARE),
+        "top_page": "top_page",
+    }
+    return _signal("likely-bot-subflood", 1, _is_subflood(rules), f"abs({CHANGE})", parts)
 
 
 def _malformed(rules: SignalRules) -> Column:
-    count = F.col("malformed_count")
-    headline = F.concat(
-        "host", F.lit(" is serving "), count.cast("string"), F.lit(" malformed URLs")
-    )
-    evidence = F.concat(
-        count.cast("string"),
-        F.lit(" landing pages contain encoded markup or tag fragments, e.g. "),
-        "malformed_example", F.lit("."),
-    )
-    return F.when(
-        count >= rules.malformed_min_paths,
-        _signal(2, "malformed-urls", headline, evidence, count * C.MALFORMED_WEIGHT),
-    )
+    fires = F.col("malformed_count") >= rules.malformed_min_paths
+    weight = f"malformed_count * {C.MALFORMED_WEIGHT}"
+    parts = {"count": "string(malformed_count)", "example": "malformed_example"}
+    return _signal("malformed-urls", 2, fires, weight, parts)
+
+
+def _gap(kind: str) -> Column:
+    count, lead = f"{kind}_count", f"{kind}_lead"
+    parts = {
+        "count": f"string({count})",
+        "query_word": plural(count, "query", "queries"),
+        "clicks": fixed(f"{kind}_clicks", 1),
+        "query": f"{lead}.query",
+        "position": fixed(f"{lead}.position", 1),
+        "ctr": percent(f"{lead}.ctr", 1),
+        "expected": percent(f"{lead}.expected_ctr", 1),
+        "impressions": number(f"{lead}.impressions"),
+    }
+    return _signal(f"{kind}-gap", 2, F.col(count) > 0, f"{kind}_clicks", parts)
 
 
-def _gap(kind: str, tail: str) -> Column:
-    count = F.col(f"{kind}_count")
-    noun = F.when(count == 1, " query").otherwise(" queries")
-    headline = F.concat("host", F.lit(" has "), count.cast("string"), noun, F.lit(tail))
-    signal = _signal(2, f"{kind}-gap", headline, lead_text(kind), F.col(f"{kind}_clicks"))
-    return F.when(count > 0, signal)
+def _movement(kind: str, severity: int, fires: Column) -> Column:
+    parts = {
+        "delta": percent("abs(delta)"),
+        "visits": number("visits"),
+        "change": number(f"abs({CHANGE})"),
+        "previous": number("previous_visits"),
+    }
+    return _signal(kind, severity, fires, f"abs({CHANGE})", parts)
 
 
 def _drop(rules: SignalRules) -> Column:
-    fires = (F.col("delta") <= rules.drop_delta) & (F.abs(_change()) >= rules.min_change)
-    headline = F.concat("host", F.lit(" sessions fell "), percent_text(F.abs(F.col("delta"))))
-    evidence = F.concat(
-        number_text(F.col("visits")), F.lit(" sessions, down "), number_text(F.abs(_change())),
-        F.lit(" from "), number_text(F.col("previous_visits")), F.lit("."),
-    )
-    return F.when(fires, _signal(2, "traffic-drop", headline, evidence, F.abs(_change())))
+    fires = F.expr(f"delta <= {rules.drop_delta}D AND abs({CHANGE}) >= {rules.min_change}")
+    return _movement("traffic-drop", 2, fires)
 
 
 def _rise(rules: SignalRules) -> Column:
-    fires = (
-        (F.col("delta") >= rules.rise_delta)
-        & (F.abs(_change()) >= rules.min_change)
-        & ~F.coalesce(_is_subflood(rules), F.lit(False))
-    )
-    headline = F.concat("host", F.lit(" sessions rose "), percent_text(F.col("delta")))
-    evidence = F.concat(
-        number_text(F.col("visits")), F.lit(" sessions, up "), number_text(_change()),
-        F.lit(" from "), number_text(F.col("previous_visits")), F.lit("."),
-    )
-    return F.when(fires, _signal(3, "traffic-rise", headline, evidence, F.abs(_change())))
+    rises = F.expr(f"delta >= {rules.rise_delta}D AND abs({CHANGE}) >= {rules.min_change}")
+    return _movement("traffic-rise", 3, rises & ~F.coalesce(_is_subflood(rules), F.lit(False)))
 
 
 def _no_comparison(period_days: int) -> Column:
-    this_side = F.col("partial_days") > 0
-    fires = F.col("delta").isNull() & (this_side | (F.col("previous_partial_days") > 0))
-    evidence = F.concat(
-        number_text(F.col("visits")), F.lit(" sessions is a floor: "),
-        F.when(this_side, "this").otherwise("the previous"),
-        F.lit(
-            " period contains a crawler-flooded day whose direct bucket is not separable."
-        ),
-    )
-    headline = F.concat("host", F.lit(" has no like-for-like comparison"))
-    run = F.col("flood_run") if period_days == 1 else None
-    return F.when(fires, _signal(3, "no-comparison", headline, evidence, F.col("visits"), run))
+    fires = F.expr("delta IS NULL AND (partial_days > 0 OR previous_partial_days > 0)")
+    parts = {
+        "visits": number("visits"),
+        "side": "IF(partial_days > 0, 'this', 'the previous')",
+    }
+    run = "flood_run" if period_days == 1 else "NULL"
+    return _signal("no-comparison", 3, fires, "visits", parts, run)
 
 
 def signals(
@@ -242,8 +214,8 @@ def signals(
         "error-spike": lambda: _error_spike(rules),
         "likely-bot-subflood": lambda: _subflood(rules),
         "malformed-urls": lambda: _malformed(rules),
-        "snippet-gap": lambda: _gap("snippet", " ranking well but not clicked"),
-        "rank-gap": lambda: _gap("rank", " ranking too deep to be seen"),
+        "snippet-gap": lambda: _gap("snippet"),
+        "rank-gap": lambda: _gap("rank"),
         "traffic-drop": lambda: _drop(rules),
         "traffic-rise": lambda: _rise(rules),
         "no-comparison": lambda: _no_comparison(period_days),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidegauge import constants as C
 from tidegauge.functions.ranking import exact_median
 from tidegauge.functions.scalars import expected_ctr, ratio, round_half_up, zero
+from tidegauge.functions.text import sentence
 from tidegauge.operators.sites import CHANNELS
 
 
@@ -208,7 +209,8 @@ def is_stale(updated_at: Column, now: Column) -> Column:
     return updated_at.isNull() | (age > C.STALE_HOURS * 3600)
 
 
-def coverage_note(days_available: Column, period_days: int) -> Column:
+def coverage_note(days_available: str, period_days: int) -> Column:
     """Text when fewer days are stored than the period asks for."""
-    text = F.format_string(f"%d of {period_days} daily snapshots available", days_available)
-    return F.when((F.lit(period_days) > 1) & (days_available < period_days), text)
+    note = sentence(C.COVERAGE_NOTE, days=f"string({days_available})", period=f"'{period_days}'")
+    short = f"{period_days} > 1 AND {days_available} < {period_days}"
+    return F.expr(f"CASE WHEN {short} THEN {note} END")

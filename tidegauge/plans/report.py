@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,19 +25,27 @@ KEYS = ["as_of", "host"]
 
 @dataclass
 class Tables:
-    """The daily tables by name; a table that is not given reads as empty."""
+    """The daily tables by name; a table that is not given reads as empty.
+
+    A table may be given as a function, which is called when the table is first
+    asked for: a report then plans only the tables that it reads.
+    """
 
     spark: SparkSession
-    frames: dict[str, DataFrame] = field(default_factory=dict)
+    frames: dict[str, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
 
     @classmethod
     def stored(cls, spark: SparkSession, root: str) -> Tables:
-        return cls(spark, {name: read_table(spark, root, name) for name in S.TABLES})
+        return cls(spark, {name: partial(read_table, spark, root, name) for name in S.TABLES})
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in self.frames:
-            return self.spark.createDataFrame([], S.TABLES[name])
-        return self.frames[name]
+        frame = self.frames.get(name)
+        if frame is None:
+            frame = self.spark.createDataFrame([], S.TABLES[name])
+        elif callable(frame):
+            frame = frame()
+        self.frames[name] = frame
+        return frame
 
 
 @dataclass
