@@ -290,7 +290,7 @@ for _days in (1, 7):
   LEFT JOIN (SELECT * FROM search_summary WHERE date = DATE '2024-01-30') q USING (host)""",
         classified(), site_rows(_days), OPPORTUNITIES, [OPP_COUNTS]))
     def _(v, days=_days):
-        rows = v.report(days, tables=v.staged_tables()).site_rows
+        rows = v.full_report(days).site_rows
         return rows.select(
             "host", "measurement", "visits", "views", "previous_visits", "bot_visits", "bot_days",
             "partial_visits", "partial_days", "previous_partial_days", "clean_days", "bytes", "delta",
@@ -497,7 +497,7 @@ def _(v):
   (SELECT count(*) AS trend_days FROM trend), (SELECT count(*) AS snapshots FROM snaps)""",
     classified(), site_rows(7), OPPORTUNITIES, [TREND, SNAPSHOTS]))
 def _(v):
-    totals = v.report(7, tables=v.staged_tables()).totals
+    totals = v.full_report(7).totals
     return totals.select(
         "visits", "bot_visits", "zone_requests", "domains", "direct", "snippet_opportunities",
         "rank_opportunities", "position_queries", "trend_days", "snapshots",
@@ -541,5 +541,6 @@ def _(v):
     OPPORTUNITIES))
 def _(v):
     report = v.report()
-    flagged = O.flag_keywords(report.keywords, report.opportunities)
+    classified_rows = O.classify_keywords(report.keywords, CONFIG.deny_df(v.spark))
+    flagged = O.flag_keywords(classified_rows)
     return flagged.select("host", "query", "is_opportunity", "kind")

@@ -184,7 +184,7 @@ for _days in (1, 7):
 
     @query(f"h10_rank_signals_{_days}d", sql(f"SELECT * FROM {all_signals(_days)}", *signal_ctes(_days)))
     def _(v, days=_days):
-        report = v.report(days, tables=v.staged_tables())
+        report = v.full_report(days)
         return H.rank_signals(report.signals()).select(*SIGNAL)
 
 
@@ -194,13 +194,13 @@ URGENCY = "ORDER BY severity, weight DESC, host"
 @query("h11_todays_actions", sql(
     f"SELECT * FROM {all_signals(1)} WHERE severity <= 2 {URGENCY} LIMIT 3", *signal_ctes(1)))
 def _(v):
-    return H.todays_actions(v.report(tables=v.staged_tables()).signals()).select(*SIGNAL)
+    return H.todays_actions(v.full_report().signals()).select(*SIGNAL)
 
 
 @query("h12_top_alert", sql(
     f"SELECT * FROM {all_signals(1)} WHERE severity = 1 {URGENCY} LIMIT 1", *signal_ctes(1)))
 def _(v):
-    return H.top_alert(v.report(tables=v.staged_tables()).signals()).select(*SIGNAL)
+    return H.top_alert(v.full_report().signals()).select(*SIGNAL)
 
 
 # ------------------------------------------------------- forums, digest, panels
@@ -255,7 +255,7 @@ def _(v):
     + top(f"(SELECT * FROM {TODAY} AND human > 0)", "date", "human DESC, host", 4)
     + f"), ({ERROR_SPIKE})", classified(), ERRORS))
 def _(v):
-    report = v.report(tables=v.staged_tables())
+    report = v.full_report()
     digest = L.daily_digest(report.split, report.sites)
     ranked = L.digest_ranked(report.split, report.sites)
     return L.digest_body(digest, ranked, H.top_alert(report.signals(["error-spike"])))
@@ -275,7 +275,7 @@ def _(v):
   (SELECT sum(human)::BIGINT AS human_visits, sum(crawler)::BIGINT AS bot_visits FROM {TODAY}), ({ERROR_SPIKE})""",
     classified(), ERRORS))
 def _(v):
-    report = v.report(tables=v.staged_tables())
+    report = v.full_report()
     digest = L.daily_digest(report.split, report.sites)
     today = R.latest(report.tables["traffic"], report.periods)
     return L.run_result(

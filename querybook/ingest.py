@@ -223,7 +223,7 @@ def _(v):
   FROM sites s LEFT JOIN refs_card USING (host) GROUP BY s.host""", classified(), site_rows(7)))
 def _(v):
     path = new_folder(v.spark, "export")
-    report = v.report(7, tables=v.staged_tables())
+    report = v.full_report(7)
     daily.write_report_json(report.export(), path)
     item = "referrers ARRAY<STRUCT<rank: INT, referrer: STRING, kind: STRING, visits: BIGINT>>"
     listed = F.transform("referrers", lambda r: F.concat_ws(":", r["referrer"], r["visits"]))

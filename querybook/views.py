@@ -306,6 +306,10 @@ class Views:
         )
         return Tables(self.spark, daily_tables(self.spark, no_exclusions, landed, FIRST, LAST))
 
+    def full_report(self, days: int = 1) -> Report:
+        """A report of many panels: staged tables, and classified days computed once."""
+        return self.report(days, tables=self.staged_tables(), pin=True)
+
     def report(self, days: int = 1, date: dt.date = LAST, rules: FloodRules = FLOOD_RULES,
                tables: Tables | None = None, **extra) -> Report:
         return Report(

@@ -12,47 +12,75 @@ from tidegauge.functions.scalars import expected_ctr, ratio, zero
 from tidegauge.functions.text import fixed, percent, sentence
 
 
+def mark_denied(keywords: DataFrame, deny: DataFrame) -> DataFrame:
+    """Mark queries that match one of their site's deny patterns, in any case."""
+    patterns = F.collect_list(F.concat(F.lit("(?i)"), "pattern"))
+    by_host = deny.groupBy("host").agg(patterns.alias("deny_patterns"))
+    query = F.col("query")
+    matched = F.exists("deny_patterns", lambda p: F.rlike(query, p))
+    return (
+        keywords.join(by_host, "host", "left")
+        .withColumn("denied", F.coalesce((query != "") & matched, F.lit(False)))
+        .drop("deny_patterns")
+    )
+
+
 def drop_denied(keywords: DataFrame, deny: DataFrame) -> DataFrame:
-    """Drop queries that match one of their site's deny patterns, in any case."""
-    d = deny.select(F.col("host").alias("deny_host"), F.concat(F.lit("(?i)"), "pattern").alias("p"))
-    denied = (F.col("host") == F.col("deny_host")) & F.rlike(F.col("query"), F.col("p"))
-    return keywords.join(d, denied & (F.col("query") != ""), "left_anti")
+    return mark_denied(keywords, deny).where(~F.col("denied")).drop("denied")
 
 
-def opportunities(
+def classify_keywords(
     keywords: DataFrame,
     deny: DataFrame | None = None,
     rules: OpportunityRules = OpportunityRules(),
 ) -> DataFrame:
-    """Keyword rows that are an opportunity, with their class and its own score.
+    """Every keyword row with the opportunity that it is, or NULL.
 
     snippet: clicks lost at the present position. rank: clicks to be had at the
     target position. The two are never ranked by one metric.
     """
-    rows = keywords if deny is None else drop_denied(keywords, deny)
+    rows = keywords.withColumn("denied", F.lit(False)) if deny is None else mark_denied(keywords, deny)
     impressions, position = zero(F.col("impressions")), zero(F.col("position"))
     clicks = zero(F.col("clicks"))
-    candidates = (
-        rows.where(
-            (position > 0)
-            & (impressions >= rules.min_impressions)
-            & (position <= rules.rank_max_position)
-        )
-        .withColumn("ctr", ratio(clicks, impressions))
-        .withColumn("expected_ctr", expected_ctr(position))
+    eligible = (
+        (position > 0)
+        & (position <= rules.rank_max_position)
+        & (impressions >= rules.min_impressions)
+        & ~F.col("denied")
     )
     at_target = expected_ctr(F.lit(float(rules.target_position)))
-    ranks_well = position <= rules.snippet_max_position
+    snippet = position <= rules.snippet_max_position
     underperforms = F.col("ctr") < F.col("expected_ctr") * rules.ctr_ratio
     lost = impressions * (F.col("expected_ctr") - F.col("ctr"))
     potential = impressions * at_target - clicks
+    worthwhile = F.col("score") >= rules.min_clicks
     return (
-        candidates.withColumn("lost_clicks", F.when(ranks_well & underperforms, lost))
-        .withColumn("potential_clicks", F.when(~ranks_well, potential))
-        .withColumn("score", F.coalesce("lost_clicks", "potential_clicks"))
-        .where(F.col("score") >= rules.min_clicks)
-        .withColumn("kind", F.when(F.col("lost_clicks").isNotNull(), "snippet").otherwise("rank"))
+        rows.withColumn("ctr", ratio(clicks, impressions))
+        .withColumn("expected_ctr", expected_ctr(position))
+        .withColumn(
+            "score",
+            F.when(eligible & snippet & underperforms, lost).when(eligible & ~snippet, potential),
+        )
+        .withColumn("kind", F.when(worthwhile, F.when(snippet, "snippet").otherwise("rank")))
+        .withColumn("score", F.when(worthwhile, F.col("score")))
+        .withColumn("lost_clicks", F.when(F.col("kind") == "snippet", F.col("score")))
+        .withColumn("potential_clicks", F.when(F.col("kind") == "rank", F.col("score")))
+        .drop("denied")
+    )
+
+
+def opportunities(
+    keywords: DataFrame,
+    deny: DataFrame | None = None,
+    rules: OpportunityRules = OpportunityRules(),
+) -> DataFrame:
+    """The keyword rows that are an opportunity, with their class and its own score."""
+    seen = (
+        (F.col("position") > 0)
+        & (F.col("position") <= rules.rank_max_position)
+        & (F.col("impressions") >= rules.min_impressions)
     )
+    return classify_keywords(keywords.where(seen), deny, rules).where(F.col("kind").isNotNull())
 
 
 def rank_opportunities(found: DataFrame) -> DataFrame:
@@ -83,11 +111,9 @@ def opportunity_reason() -> Column:
     )
 
 
-def flag_keywords(keywords: DataFrame, found: DataFrame) -> DataFrame:
-    """Keyword rows with their class and reason; NULL where there is none."""
-    keys = [*site_keys(keywords), "query"]
-    reasons = found.select(*keys, "kind", opportunity_reason().alias("reason"))
-    return keywords.join(reasons, keys, "left").withColumn(
+def flag_keywords(classified: DataFrame) -> DataFrame:
+    """Every keyword row with whether it is an opportunity, and why."""
+    return classified.withColumn("reason", opportunity_reason()).withColumn(
         "is_opportunity", F.col("kind").isNotNull()
     )
 

@@ -9,11 +9,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge import constants as C
 from tidegauge import schemas as S
 from tidegauge.config import SiteConfig
 from tidegauge.operators import ingest
 from tidegauge.sinks import daily
-from tidegauge.sinks.scratch import new_folder
+from tidegauge.sinks.scratch import staged
 
 
 @dataclass(frozen=True)
@@ -41,18 +42,19 @@ def daily_tables(
     if landed.beacons is not None:
         known = ingest.resolve_hosts(landed.beacons, config.aliases_df(spark))
         counted = ingest.drop_excluded(known, config.exclude_df(spark))
-        rolled = staged(spark, ingest.beacon_rollup(counted), "beacons")
+        rolled = staged(ingest.beacon_rollup(counted), "beacons", "section")
         totals.append(
             ingest.section(rolled, "traffic", "visits", "views").withColumn(
                 "bytes", F.lit(0).cast("long")
             )
         )
         referrers = ingest.section(rolled, "referrers", "referrer", "visits")
-        tables["referrers"] = ingest.top_referrers(referrers, 50, config.aliases_df(spark)).drop("rank")
+        ranked = ingest.top_referrers(referrers, C.STORED_REFERRERS, config.aliases_df(spark))
+        tables["referrers"] = ranked.drop("rank")
         landing = ingest.section(rolled, "landing", "page", "visits", "views")
-        tables["landing"] = ingest.top_pages(landing, 50).drop("rank")
+        tables["landing"] = ingest.top_pages(landing, C.STORED_LANDING_PAGES).drop("rank")
     if landed.zone_log is not None:
-        rolled = staged(spark, ingest.zone_rollup(landed.zone_log), "zone")
+        rolled = staged(ingest.zone_rollup(landed.zone_log), "zone", "section")
         totals.append(ingest.zone_traffic(rolled))
         tables["zone_pages"] = ingest.zone_top_paths(rolled).drop("rank")
         tables["zone_countries"] = ingest.zone_top_countries(rolled).drop("rank")
@@ -70,13 +72,6 @@ def daily_tables(
     return tables
 
 
-def staged(spark: SparkSession, rollup: DataFrame, purpose: str) -> DataFrame:
-    """A rollup written once and read back by section: cut lineage, one source scan."""
-    folder = new_folder(spark, f"rollup-{purpose}")
-    rollup.write.partitionBy("section").parquet(folder)
-    return spark.read.parquet(folder)
-
-
 def run_nightly(
     spark: SparkSession,
     root: str,

@@ -18,6 +18,7 @@ from tidegauge.operators import signals as H
 from tidegauge.operators import sites as P
 from tidegauge.operators import totals as T
 from tidegauge.operators import zone as Z
+from tidegauge.sinks.scratch import pinned
 from tidegauge.sources.tables import read_table
 
 KEYS = ["as_of", "host"]
@@ -59,6 +60,7 @@ class Report:
     opportunity_rules: OpportunityRules = OpportunityRules()
     signal_rules: SignalRules = SignalRules()
     domain: str | None = None
+    pin: bool = False  # compute the classified days once; for reports of many panels
 
     @property
     def days(self) -> int:
@@ -89,7 +91,8 @@ class Report:
     def split(self) -> DataFrame:
         """Classified and split days of the whole history."""
         classified = E.classify_floods(self._rows("traffic"), self.kinds, self.flood_rules)
-        return E.split_days(classified)
+        split = E.split_days(classified)
+        return pinned(split) if self.pin else split
 
     @cached_property
     def floods(self) -> DataFrame:

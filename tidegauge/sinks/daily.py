@@ -16,26 +16,24 @@ from pyspark.sql import functions as F
 from tidegauge import constants as C
 from tidegauge import schemas as S
 from tidegauge.operators.digest import clip_note
-from tidegauge.sinks.scratch import new_folder
+from tidegauge.sinks.scratch import staged
 from tidegauge.sources.tables import read_table
 
 
 def _rebuild(spark: SparkSession, root: str, name: str, rows: DataFrame, dates: list) -> None:
     """Put ``rows`` in place of everything that the table holds for ``dates``."""
     fields = S.TABLES[name].fieldNames()
-    staging = new_folder(spark, f"staging-{name}")
     # REBALANCE lets AQE split a busy date and merge quiet ones into good file sizes.
-    rows.select(*fields).hint("rebalance", "date").write.partitionBy("date").parquet(staging)
-    staged = spark.read.schema(S.TABLES[name]).parquet(staging)
+    ready = staged(rows.select(*fields).hint("rebalance", "date"), name, "date")
     (
-        staged.write.mode("overwrite")
+        ready.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("date")
         .parquet(f"{root}/{name}")
     )
     # Dynamic overwrite leaves a partition alone that has no new rows, so a date
     # that is now empty is overwritten by name.
-    present = {row.date for row in staged.select("date").distinct().collect()}
+    present = {row.date for row in ready.select("date").distinct().collect()}
     for date in sorted(set(dates) - present):
         empty = spark.createDataFrame([], S.TABLES[name]).drop("date")
         empty.write.mode("overwrite").parquet(f"{root}/{name}/date={date.isoformat()}")
@@ -72,6 +70,7 @@ def replace_scope(
 def upsert(spark: SparkSession, root: str, name: str, rows: DataFrame) -> None:
     """Insert rows, or put them in place of the stored rows with the same key."""
     keys = list(S.KEYS[name])
+    rows = staged(rows.select(*S.TABLES[name].fieldNames()), f"new-{name}")
     dates = _touched_dates(rows)
     if not dates:
         return
@@ -80,7 +79,7 @@ def upsert(spark: SparkSession, root: str, name: str, rows: DataFrame) -> None:
         .where(F.col("date").isin(dates))
         .join(rows.select(*keys), keys, "left_anti")
     )
-    _rebuild(spark, root, name, kept.unionByName(rows.select(*kept.columns)), dates)
+    _rebuild(spark, root, name, kept.unionByName(rows), dates)
 
 
 def search_scope(

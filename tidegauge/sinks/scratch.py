@@ -5,19 +5,37 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local temporary one only where none is named."""
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    """The cluster's shared folder; a temporary one only where none is set."""
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="tidegauge-")
-        spark.conf.set(CHECKPOINT_SETTING, folder)
+        context.setCheckpointDir(folder)
     return folder
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """The rows computed once, into reliable storage, with their lineage cut.
+
+    Unlike a cache this survives the loss of executors, and it keeps the
+    partitioning, so aggregates by the same key do not shuffle again.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def staged(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
+    """The rows written once to the shared folder and read back from there."""
+    folder = new_folder(df.sparkSession, f"staged-{purpose}")
+    df.write.partitionBy(*partition_by).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
