@@ -45,9 +45,8 @@ def normal(rows: list[tuple], names: list[str]) -> list[tuple]:
     def cell(x):
         if isinstance(x, bool) or x is None or isinstance(x, str):
             return repr(x)
-        if isinstance(x, (int, float)) or hasattr(x, "as_tuple"):
-            x = float(x)
-            return "nan" if math.isnan(x) else repr(round(x, 5) + 0.0)
+        if isinstance(x, float):
+            return "nan" if math.isnan(x) else repr(round(x, 6) + 0.0)
         return repr(x)
 
     return sorted(tuple(cell(row[i]) for i in order) for row in rows)
