@@ -24,7 +24,7 @@ SHAPE = ("round(pages_per_session, 6) AS pages_per_session, round(direct_share,
     f"SELECT {DATE}, host, visits, views, bytes, direct, non_direct, {SHAPE}, signature FROM signed", classified()))
 def _(v):
     report = v.report()
-    return E.day_shape(report._rows("traffic"), report.kinds, FLOOD_RULES).drop("as_of")
+    return E.day_shape(report.rows("traffic"), report.kinds, FLOOD_RULES).drop("as_of")
 
 
 @query("e2_flood_baseline", sql("SELECT host, baseline FROM baselines", classified()))
@@ -37,7 +37,7 @@ def _(v):
     classified()))
 def _(v):
     report = v.report()
-    return E.classify_floods(report._rows("traffic"), report.kinds, FLOOD_RULES).drop("as_of")
+    return E.classify_floods(report.rows("traffic"), report.kinds, FLOOD_RULES).drop("as_of")
 
 
 @query("e4_split_day", sql(
@@ -91,28 +91,28 @@ VERIFIED = "category <> '(unverified)'"
     FROM zone_bots WHERE date = DATE '2024-01-30' GROUP BY host) b USING (host)"""))
 def _(v):
     report = v.report()
-    bots = report._rows("zone_bots", "date")
+    bots = report.rows("zone_bots", "date")
     return Z.verified_bots(bots, report.sites.drop("measurement")).drop("as_of")
 
 
 @query("e9_verified_categories", sql(
     f"SELECT host, category, requests, visits FROM zone_bots WHERE date = DATE '2024-01-30' AND {VERIFIED}"))
 def _(v):
-    return Z.verified_categories(v.report()._rows("zone_bots", "date")).drop("as_of")
+    return Z.verified_categories(v.report().rows("zone_bots", "date")).drop("as_of")
 
 
 @query("e10_non_content_paths", sql(
     f"SELECT host, page, sum(requests)::BIGINT AS requests FROM zone_pages WHERE date = DATE '2024-01-30'"
     f" AND {non_content('page')} GROUP BY ALL"))
 def _(v):
-    return Z.non_content_paths(v.report()._rows("zone_pages", "date")).drop("as_of")
+    return Z.non_content_paths(v.report().rows("zone_pages", "date")).drop("as_of")
 
 
 @query("e10_error_statuses", sql(
     "SELECT host, status, sum(requests)::BIGINT AS requests FROM zone_status WHERE date = DATE '2024-01-30'"
     " AND status >= 400 GROUP BY ALL"))
 def _(v):
-    return Z.error_statuses(v.report()._rows("zone_status", "date")).drop("as_of")
+    return Z.error_statuses(v.report().rows("zone_status", "date")).drop("as_of")
 
 
 @query("e10_non_content_totals", sql(f"""SELECT host, sum(p)::BIGINT AS path_requests, sum(e)::BIGINT AS error_requests FROM (
@@ -120,7 +120,7 @@ def _(v):
   UNION ALL SELECT host, 0, requests FROM zone_status WHERE date = DATE '2024-01-30' AND status >= 400) GROUP BY host"""))
 def _(v):
     report = v.report()
-    pages, statuses = report._rows("zone_pages", "date"), report._rows("zone_status", "date")
+    pages, statuses = report.rows("zone_pages", "date"), report.rows("zone_status", "date")
     return Z.non_content_totals(pages, statuses).drop("as_of")
 
 
@@ -212,7 +212,7 @@ def _(v):
         "(SELECT host, page, sum(requests)::BIGINT AS requests, sum(zone_visits)::BIGINT AS zone_visits"
         " FROM zone_pages WHERE date > DATE '2024-01-23' GROUP BY ALL)", "host", "requests DESC, page", 8)))
 def _(v):
-    return P.file_card(v.report(7)._rows("zone_pages", "start")).drop("as_of")
+    return P.file_card(v.report(7).rows("zone_pages", "start")).drop("as_of")
 
 
 @query("f11_site_search_summary", sql(
@@ -234,7 +234,7 @@ def _(v):
     "SELECT host, country, visits, rank FROM " + top(
         "(SELECT * FROM zone_countries WHERE date = DATE '2024-01-30')", "host", "visits DESC, country", 10)))
 def _(v):
-    card = P.country_card(v.report()._rows("zone_countries", "date"))
+    card = P.country_card(v.report().rows("zone_countries", "date"))
     return card.select("host", "country", "visits", "rank")
 
 
@@ -242,7 +242,7 @@ def _(v):
     "SELECT host, status, requests, rank FROM " + top(
         "(SELECT * FROM zone_status WHERE date = DATE '2024-01-30')", "host", "requests DESC, status", 8)))
 def _(v):
-    card = P.status_card(v.report()._rows("zone_status", "date"))
+    card = P.status_card(v.report().rows("zone_status", "date"))
     return card.select("host", "status", "requests", "rank")
 
 

@@ -96,7 +96,7 @@ def _(v):
     ERRORS))
 def _(v):
     report = v.report()
-    series = H.error_series(report.statuses, report._rows("traffic"))
+    series = H.error_series(report.statuses, report.rows("traffic"))
     return H.error_facts(series, SIGNAL_RULES).drop("as_of", "error_base")
 
 
@@ -217,13 +217,13 @@ COUNTERS = ["users_count", "active_today", "active_7d", "active_30d", "new_today
   LEFT JOIN (SELECT host, avg(active_today) AS mean FROM """ + top("forum", "host", "date DESC", 14)
     + " GROUP BY host) m USING (host)"))
 def _(v):
-    return K.forum_report(CONFIG.forums_df(v.spark), v.report()._rows("forums"))
+    return K.forum_report(CONFIG.forums_df(v.spark), v.report().rows("forums"))
 
 
 @query("k1_forum_sparkline", sql(
     f"SELECT host, {DATE}, active_today AS visits FROM " + top("forum", "host", "date DESC", 14)))
 def _(v):
-    return K.forum_sparkline(v.report()._rows("forums"))
+    return K.forum_sparkline(v.report().rows("forums"))
 
 
 TODAY = "split WHERE date = DATE '2024-01-30'"
@@ -301,7 +301,7 @@ def _(v):
     f"SELECT host, country, visits, round(visits / sum(visits) OVER (PARTITION BY host), 6) AS share,"
     f" {BAR.format('visits', 'max(visits) OVER (PARTITION BY host)')} AS bar FROM zone_countries WHERE date = DATE '2024-01-30'"))
 def _(v):
-    card = P.country_card(v.report()._rows("zone_countries", "date"))
+    card = P.country_card(v.report().rows("zone_countries", "date"))
     return M.country_share(card).select("host", "country", "visits", "share", "bar")
 
 
@@ -309,7 +309,7 @@ def _(v):
     "SELECT host, status, requests, round(requests / sum(requests) OVER (PARTITION BY host), 6) AS share,"
     " status >= 400 AS is_error FROM zone_status WHERE date = DATE '2024-01-30'"))
 def _(v):
-    card = P.status_card(v.report()._rows("zone_status", "date"))
+    card = P.status_card(v.report().rows("zone_status", "date"))
     return M.status_share(card).select("host", "status", "requests", "share", "is_error")
 
 
@@ -351,7 +351,7 @@ def _(v):
         f"(SELECT host, page, sum(requests)::BIGINT AS requests FROM zone_pages WHERE date = DATE '2024-01-30'"
         f" AND {non_content('page')} GROUP BY ALL)", "host", "requests DESC, page", 5)))
 def _(v):
-    paths = Z.non_content_paths(v.report()._rows("zone_pages", "date"))
+    paths = Z.non_content_paths(v.report().rows("zone_pages", "date"))
     return M.first_of_lens(paths, "page").drop("as_of")
 
 
@@ -360,7 +360,7 @@ def _(v):
         "(SELECT host, status, requests FROM zone_status WHERE date = DATE '2024-01-30' AND status >= 400)",
         "host", "requests DESC, status", 5)))
 def _(v):
-    statuses = Z.error_statuses(v.report()._rows("zone_status", "date"))
+    statuses = Z.error_statuses(v.report().rows("zone_status", "date"))
     return M.first_of_lens(statuses, "status").drop("as_of")
 
 

@@ -72,21 +72,24 @@ def _(v):
     return B.landing_daily(v.counted)
 
 
-@query("b5_beacon_rollup_one_pass", sql(f"""SELECT 'traffic' AS section, {DATE}, host, NULL AS referrer, NULL AS page,
-    sum(visits)::BIGINT AS visits, sum(views)::BIGINT AS views FROM counted GROUP BY date, host
-  UNION ALL SELECT 'referrers', strftime(date, '%Y-%m-%d'), host, {REFERRER}, NULL, sum(visits)::BIGINT, sum(views)::BIGINT
-    FROM counted GROUP BY date, host, referer HAVING sum(visits) > 0
+@query("b5_beacon_rollup_one_pass", sql(f"""SELECT 'referrers' AS section, {DATE}, host, {REFERRER} AS referrer, NULL AS page,
+    sum(visits)::BIGINT AS visits, sum(views)::BIGINT AS views FROM counted GROUP BY date, host, referer HAVING sum(visits) > 0
   UNION ALL SELECT 'landing', strftime(date, '%Y-%m-%d'), host, NULL, path, sum(visits)::BIGINT, sum(views)::BIGINT
     FROM counted GROUP BY date, host, path""", [COUNTED]))
 def _(v):
     return B.beacon_rollup(v.counted)
 
 
+@query("b3_host_totals_from_rollup", sql(
+    f"SELECT {DATE}, host, sum(visits)::BIGINT AS visits, sum(views)::BIGINT AS views FROM counted GROUP BY ALL",
+    [COUNTED]))
+def _(v):
+    return B.beacon_traffic(B.beacon_rollup(v.counted))
+
+
 @query("b6_zone_rollup", sql("""SELECT section, strftime(date, '%Y-%m-%d') AS date, host, page, country, status, category, requests, visits, bytes FROM (
-  SELECT 'traffic' AS section, date, host, NULL AS page, NULL AS country, NULL::BIGINT AS status, NULL AS category,
-    sum(requests)::BIGINT AS requests, sum(visits)::BIGINT AS visits, sum(bytes)::BIGINT AS bytes FROM zone_log GROUP BY date, host
-  UNION ALL SELECT 'zone_pages', date, host, path, NULL, NULL, NULL, sum(requests)::BIGINT, sum(visits)::BIGINT, sum(bytes)::BIGINT
-    FROM zone_log GROUP BY date, host, path
+  SELECT 'zone_pages' AS section, date, host, path AS page, NULL AS country, NULL::BIGINT AS status, NULL AS category,
+    sum(requests)::BIGINT AS requests, sum(visits)::BIGINT AS visits, sum(bytes)::BIGINT AS bytes FROM zone_log GROUP BY date, host, path
   UNION ALL SELECT 'zone_countries', date, host, NULL, coalesce(nullif(country, ''), 'Unknown'), NULL, NULL, sum(requests)::BIGINT,
     sum(visits)::BIGINT, sum(bytes)::BIGINT FROM zone_log GROUP BY date, host, country
   UNION ALL SELECT 'zone_status', date, host, NULL, NULL, status, NULL, sum(requests)::BIGINT, sum(visits)::BIGINT, sum(bytes)::BIGINT
@@ -97,6 +100,11 @@ def _(v):
     return v.zone_rollup
 
 
+@query("b6_zone_totals", sql(f"SELECT {DATE}, host, visits, views, bytes FROM zone_daily"))
+def _(v):
+    return B.zone_traffic(v.zone_rollup)
+
+
 @query("b7_zone_top_paths", sql(
     f"SELECT {DATE}, host, page, requests, zone_visits, rank FROM "
     + top("zone_paths", "date, host", "requests DESC, page", 20)))
@@ -390,7 +398,7 @@ def _(v):
     classified()))
 def _(v):
     report = v.report(30)
-    kept = report._rows("landing", "start").join(report.floods, ["as_of", "host", "date"], "left_anti")
+    kept = report.rows("landing", "start").join(report.floods, ["as_of", "host", "date"], "left_anti")
     return kept.drop("as_of")
 
 
@@ -406,7 +414,7 @@ def _(v):
     FROM zone_status GROUP BY ALL) e USING (date, host) WHERE t.views > 0"""))
 def _(v):
     report = v.report()
-    return H.error_series(report.statuses, report._rows("traffic")).drop("as_of")
+    return H.error_series(report.statuses, report.rows("traffic")).drop("as_of")
 
 
 @query("j7_sites_left", sql(

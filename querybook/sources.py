@@ -88,7 +88,10 @@ def _(v):
 
 def land_zone(v: Views) -> str:
     """Write the request log as the API answers: one folder per dimension."""
-    rolled = v.zone_rollup
+    totals = B.zone_traffic(v.zone_rollup).withColumnRenamed("views", "requests")
+    rolled = v.zone_rollup.unionByName(
+        totals.withColumn("section", F.lit("traffic")), allowMissingColumns=True
+    )
     names = {"traffic": "total", "zone_pages": "path", "zone_countries": "country",
              "zone_status": "status", "zone_bots": "category"}
     group = F.struct(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import estate as X
-from tidegauge.config import Site, SiteConfig
+from tidegauge.config import SiteConfig
 from tidegauge.operators import digest as L
 from tidegauge.operators import forums as K
 from tidegauge.operators import opportunities as O
@@ -89,13 +89,13 @@ def test_site_order_within_a_class(day_report):
 
 
 def test_zone_lenses(day_report):
-    bots = Z.verified_bots(day_report._rows("zone_bots", "date")).first()
+    bots = Z.verified_bots(day_report.rows("zone_bots", "date")).first()
     assert (bots.verified_requests, bots.verified_visits, bots.unverified_requests) == (3389, 216, 16117)
     assert bots.verified_share < 0.2 and bots.measured
-    categories = Z.verified_categories(day_report._rows("zone_bots", "date")).collect()
+    categories = Z.verified_categories(day_report.rows("zone_bots", "date")).collect()
     assert len(categories) == 6 and categories[0].category == "Archiver"
     lens = Z.non_content_totals(
-        day_report._rows("zone_pages", "date"), day_report._rows("zone_status", "date")
+        day_report.rows("zone_pages", "date"), day_report.rows("zone_status", "date")
     ).first()
     assert (lens.path_requests, lens.error_requests) == (956, 2514)
     assert not [c for c in [*bots.__fields__, *lens.__fields__] if "human" in c or c == "requests"]
@@ -104,7 +104,7 @@ def test_zone_lenses(day_report):
 def test_missing_table_is_unmeasured_not_zero(spark):
     report = make(spark, zone_bots=None)
     zone = report.sites.where(F.col("host") == X.ZONE).drop("measurement")
-    bots = Z.verified_bots(report._rows("zone_bots", "date"), zone).first()
+    bots = Z.verified_bots(report.rows("zone_bots", "date"), zone).first()
     assert not bots.measured and bots.verified_requests == 0
     assert report.traffic.where(F.col("host") == X.ZONE).first().visits == 1059
 

@@ -87,14 +87,31 @@ def is_malformed(path: Column) -> Column:
 
 
 def expected_ctr(position: Column) -> Column:
-    """Expected click-through rate: geometric interpolation between the anchors."""
-    first, last = C.CTR_ANCHORS[0], C.CTR_ANCHORS[-1]
+    """Expected click-through rate: geometric interpolation between the anchors.
+
+    The segment of a position is counted off and its parameters are looked up, so
+    the generated code holds one power instead of one per segment.
+    """
+    (first, highest), (last, lowest) = C.CTR_ANCHORS[0], C.CTR_ANCHORS[-1]
+    segments = list(zip(C.CTR_ANCHORS, C.CTR_ANCHORS[1:]))
+    segment = sum(
+        ((position > upper).cast("int") for _, (upper, _) in segments[1:-1]),
+        (position > segments[0][1][0]).cast("int"),
+    )
+
+    def parameter(of) -> Column:
+        return F.get(F.array(*[F.lit(float(of(*s))) for s in segments]), segment)
+
+    start = parameter(lambda lower, upper: lower[0])
+    width = parameter(lambda lower, upper: upper[0] - lower[0])
+    rate = parameter(lambda lower, upper: lower[1])
+    decay = parameter(lambda lower, upper: upper[1] / lower[1])
     known = position.isNotNull() & ~F.isnan(position) & (position != float("inf"))
-    curve = F.when(~known | (position <= first[0]), F.lit(first[1]))
-    for (x1, y1), (x2, y2) in zip(C.CTR_ANCHORS, C.CTR_ANCHORS[1:]):
-        share = (position - x1) / float(x2 - x1)
-        curve = curve.when(position <= x2, F.lit(y1) * F.pow(F.lit(y2 / y1), share))
-    return curve.otherwise(F.lit(last[1]))
+    return (
+        F.when(~known | (position <= first), F.lit(highest))
+        .when(position >= last, F.lit(lowest))
+        .otherwise(rate * F.pow(decay, (position - start) / width))
+    )
 
 
 def anchor(host: Column) -> Column:

@@ -57,37 +57,38 @@ def landing_daily(beacons: DataFrame) -> DataFrame:
 
 
 def beacon_rollup(beacons: DataFrame) -> DataFrame:
-    """All three beacon rollups in one read of the source.
+    """The referrer and the landing rollup in one read of the source.
 
     Grouping sets keep the source scan single; each section is combined inside
-    the tasks before the one shuffle. Use :func:`section` to take a section out.
+    the tasks before the one shuffle. Totals need no set of their own: every
+    beacon row has a page, so :func:`beacon_traffic` adds the landing rows up.
+    Use :func:`section` to take a section out.
     """
     df = _named_beacons(beacons)
-    sets = [[*DAY], [*DAY, "referrer"], [*DAY, "page"]]
-    sets = [[F.col(c) for c in one] for one in sets]
+    sets = [[F.col(c) for c in [*DAY, name]] for name in ("referrer", "page")]
     rolled = df.groupingSets(sets, *DAY, "referrer", "page").agg(
-        F.grouping_id().alias("gid"),
         F.sum("visits").alias("visits"),
         F.sum("views").alias("views"),
         F.max(F.col("visits") > 0).alias("referred"),
     )
-    name = (
-        F.when(F.col("gid") == 0b0011, "traffic")
-        .when(F.col("gid") == 0b0001, "referrers")
-        .when(F.col("gid") == 0b0010, "landing")
-    )
+    by_page = F.col("referrer").isNull()
     return (
-        rolled.withColumn("section", name)
-        .where((F.col("section") != "referrers") | F.col("referred"))
-        .drop("gid", "referred")
+        rolled.withColumn("section", F.when(by_page, "landing").otherwise("referrers"))
+        .where(by_page | F.col("referred"))
+        .drop("referred")
     )
 
 
+def beacon_traffic(rollup: DataFrame) -> DataFrame:
+    return host_daily_traffic(rollup.where(F.col("section") == "landing"))
+
+
 def zone_rollup(log: DataFrame) -> DataFrame:
-    """Totals and four single-dimension rollups of request-log rows, in one read.
+    """Four single-dimension rollups of request-log rows, in one read.
 
     Empty dimension values are named before grouping, so that a NULL in the
-    result can only mean "not grouped by this column".
+    result can only mean "not grouped by this column". Totals are added up from
+    the status section, the smallest one that holds every request.
     """
     df = log.select(
         *DAY,
@@ -99,22 +100,21 @@ def zone_rollup(log: DataFrame) -> DataFrame:
         "visits",
         "bytes",
     )
-    dims = ["page", "country", "status", "category"]
-    sets = [[F.col(c) for c in [*DAY, *extra]] for extra in ([], *[[d] for d in dims])]
-    rolled = df.groupingSets(sets, *DAY, *dims).agg(
-        F.grouping_id().alias("gid"),
+    sections = {
+        "page": "zone_pages", "country": "zone_countries",
+        "status": "zone_status", "category": "zone_bots",
+    }
+    rolled = df.groupingSets(
+        [[F.col(c) for c in [*DAY, name]] for name in sections], *DAY, *sections
+    ).agg(
         F.sum("requests").alias("requests"),
         F.sum("visits").alias("visits"),
         F.sum("bytes").alias("bytes"),
     )
-    name = (
-        F.when(F.col("gid") == 0b1111, "traffic")
-        .when(F.col("gid") == 0b0111, "zone_pages")
-        .when(F.col("gid") == 0b1011, "zone_countries")
-        .when(F.col("gid") == 0b1101, "zone_status")
-        .when(F.col("gid") == 0b1110, "zone_bots")
+    return rolled.withColumn(
+        "section",
+        F.coalesce(*[F.when(F.col(c).isNotNull(), table) for c, table in sections.items()]),
     )
-    return rolled.withColumn("section", name).drop("gid")
 
 
 def section(rollup: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -124,8 +124,14 @@ def section(rollup: DataFrame, name: str, *columns: str) -> DataFrame:
 
 def zone_traffic(rollup: DataFrame) -> DataFrame:
     """Daily totals of zone hosts; ``views`` holds the request count."""
-    return section(rollup, "traffic", "visits", "requests", "bytes").withColumnRenamed(
-        "requests", "views"
+    return (
+        rollup.where(F.col("section") == "zone_status")
+        .groupBy(*DAY)
+        .agg(
+            F.sum("visits").alias("visits"),
+            F.sum("requests").alias("views"),
+            F.sum("bytes").alias("bytes"),
+        )
     )
 
 

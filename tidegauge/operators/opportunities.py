@@ -53,18 +53,19 @@ def classify_keywords(
     underperforms = F.col("ctr") < F.col("expected_ctr") * rules.ctr_ratio
     lost = impressions * (F.col("expected_ctr") - F.col("ctr"))
     potential = impressions * at_target - clicks
-    worthwhile = F.col("score") >= rules.min_clicks
+    score = F.when(eligible & snippet & underperforms, lost).when(eligible & ~snippet, potential)
+    found = F.col("score") >= rules.min_clicks
     return (
-        rows.withColumn("ctr", ratio(clicks, impressions))
-        .withColumn("expected_ctr", expected_ctr(position))
-        .withColumn(
-            "score",
-            F.when(eligible & snippet & underperforms, lost).when(eligible & ~snippet, potential),
+        rows.withColumns({"ctr": ratio(clicks, impressions), "expected_ctr": expected_ctr(position)})
+        .withColumn("score", score)
+        .withColumns(
+            {
+                "kind": F.when(found, F.when(snippet, "snippet").otherwise("rank")),
+                "lost_clicks": F.when(found & snippet, F.col("score")),
+                "potential_clicks": F.when(found & ~snippet, F.col("score")),
+                "score": F.when(found, F.col("score")),
+            }
         )
-        .withColumn("kind", F.when(worthwhile, F.when(snippet, "snippet").otherwise("rank")))
-        .withColumn("score", F.when(worthwhile, F.col("score")))
-        .withColumn("lost_clicks", F.when(F.col("kind") == "snippet", F.col("score")))
-        .withColumn("potential_clicks", F.when(F.col("kind") == "rank", F.col("score")))
         .drop("denied")
     )
 
@@ -74,13 +75,20 @@ def opportunities(
     deny: DataFrame | None = None,
     rules: OpportunityRules = OpportunityRules(),
 ) -> DataFrame:
-    """The keyword rows that are an opportunity, with their class and its own score."""
+    """The keyword rows that are an opportunity, with their class and its own score.
+
+    A filter on ``kind`` would be pushed below the projections with the whole
+    classification written out inside it, too large to be compiled to machine
+    code. Generating one row per opportunity keeps each expression where it is.
+    """
     seen = (
         (F.col("position") > 0)
         & (F.col("position") <= rules.rank_max_position)
         & (F.col("impressions") >= rules.min_impressions)
     )
-    return classify_keywords(keywords.where(seen), deny, rules).where(F.col("kind").isNotNull())
+    rows = classify_keywords(keywords.where(seen), deny, rules)
+    kind = F.explode_outer(F.array("kind"))
+    return rows.withColumn("kind", kind).where(F.col("kind").isNotNull())
 
 
 def rank_opportunities(found: DataFrame) -> DataFrame:

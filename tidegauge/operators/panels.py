@@ -78,7 +78,8 @@ def channel_share(mix: DataFrame, measured: DataFrame, visits: DataFrame) -> Dat
 def crawler_hosts(sites: DataFrame) -> DataFrame:
     """Flooded hosts by excluded sessions, with their share of everything measured."""
     rum = sites.where(F.col("measurement") == "rum")
-    everything = rum.agg(F.sum(F.col("visits") + F.col("bot_visits")).alias("everything"), F.lit(1).alias("one"))
+    measured = F.sum(F.col("visits") + F.col("bot_visits"))
+    everything = rum.agg(measured.alias("everything"), F.lit(1).alias("one"))
     return (
         rum.where(F.col("bot_visits") > 0)
         .select("host", "bot_visits", "bot_days", "partial_visits", F.lit(1).alias("one"))

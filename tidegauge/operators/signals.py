@@ -224,8 +224,10 @@ def signals(
     fired = [
         F.when(is_zone if name in ZONE_RULES else ~is_zone, column[name]()) for name in only
     ]
+    # The outer form keeps Spark from adding a filter that repeats every rule.
     return (
-        facts.withColumn("signal", F.explode(F.array_compact(F.array(*fired))))
+        facts.withColumn("signal", F.explode_outer(F.array(*fired)))
+        .where(F.col("signal").isNotNull())
         .select(*site_keys(facts), "signal.*")
         .withColumn("href", F.concat(F.lit("#"), anchor(F.col("host"))))
     )

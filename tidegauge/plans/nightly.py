@@ -44,9 +44,7 @@ def daily_tables(
         counted = ingest.drop_excluded(known, config.exclude_df(spark))
         rolled = staged(ingest.beacon_rollup(counted), "beacons", "section")
         totals.append(
-            ingest.section(rolled, "traffic", "visits", "views").withColumn(
-                "bytes", F.lit(0).cast("long")
-            )
+            ingest.beacon_traffic(rolled).withColumn("bytes", F.lit(0).cast("long"))
         )
         referrers = ingest.section(rolled, "referrers", "referrer", "visits")
         ranked = ingest.top_referrers(referrers, C.STORED_REFERRERS, config.aliases_df(spark))

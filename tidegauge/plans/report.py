@@ -70,7 +70,7 @@ class Report:
     def _domain(self, df: DataFrame) -> DataFrame:
         return df if self.domain is None else df.where(F.col("host") == self.domain)
 
-    def _rows(self, name: str, first: str = "history_start") -> DataFrame:
+    def rows(self, name: str, first: str = "history_start") -> DataFrame:
         return self._domain(R.within(self.tables[name], self.periods, first))
 
     # ------------------------------------------------------------- base frames
@@ -85,12 +85,12 @@ class Report:
 
     @cached_property
     def kinds(self) -> DataFrame:
-        return R.kinds_by_day(self._rows("referrers"))
+        return R.kinds_by_day(self.rows("referrers"))
 
     @cached_property
     def split(self) -> DataFrame:
         """Classified and split days of the whole history."""
-        classified = E.classify_floods(self._rows("traffic"), self.kinds, self.flood_rules)
+        classified = E.classify_floods(self.rows("traffic"), self.kinds, self.flood_rules)
         split = E.split_days(classified)
         return pinned(split) if self.pin else split
 
@@ -100,7 +100,7 @@ class Report:
 
     @cached_property
     def period_referrers(self) -> DataFrame:
-        return self._rows("referrers", "start")
+        return self.rows("referrers", "start")
 
     @cached_property
     def referrers(self) -> DataFrame:
@@ -108,27 +108,27 @@ class Report:
 
     @cached_property
     def landing(self) -> DataFrame:
-        return P.merge_landing(self._rows("landing", "start"), self.floods)
+        return P.merge_landing(self.rows("landing", "start"), self.floods)
 
     @cached_property
     def keywords(self) -> DataFrame:
-        return self._rows("keywords", "date")
+        return self.rows("keywords", "date")
 
     @cached_property
     def search_pages(self) -> DataFrame:
-        return self._rows("search_pages", "date")
+        return self.rows("search_pages", "date")
 
     @cached_property
     def search_history(self) -> DataFrame:
-        return self._rows("search_summary")
+        return self.rows("search_summary")
 
     @cached_property
     def search_latest(self) -> DataFrame:
-        return self._rows("search_summary", "date")
+        return self.rows("search_summary", "date")
 
     @cached_property
     def statuses(self) -> DataFrame:
-        return self._rows("zone_status")
+        return self.rows("zone_status")
 
     # ------------------------------------------------------------- site panels
 
@@ -192,7 +192,7 @@ class Report:
         if "no-comparison" in wanted:
             facts = facts.join(E.flood_run(self.floods), KEYS, "left")
         if "error-spike" in wanted:
-            series = H.error_series(self.statuses, self._rows("traffic"))
+            series = H.error_series(self.statuses, self.rows("traffic"))
             facts = facts.join(H.error_facts(series, self.signal_rules), KEYS, "left")
         return facts
 
@@ -237,22 +237,22 @@ class Report:
             rows = F.sort_array(F.collect_list(F.struct("rank", *columns)))
             return card.groupBy(*KEYS).agg(rows.alias(name))
 
-        latest_pages = self._rows("zone_pages", "date")
-        latest_status = self._rows("zone_status", "date")
-        spark_rows = P.sparkline(self.split)
+        search = ("clicks", "impressions", "ctr", "position")
+        files = P.file_card(self.rows("zone_pages", "start"))
+        countries = P.country_card(self.rows("zone_countries", "date"))
+        statuses = self.rows("zone_status", "date")
+        spark = F.sort_array(F.collect_list(F.struct("date", "visits", "flood")))
         lists = [
             nested(P.referrer_card(self.referrers), "referrers", "referrer", "kind", "visits"),
             nested(self.landing_card, "landing", "page", "visits", "views"),
-            nested(P.file_card(self._rows("zone_pages", "start")), "files", "page", "requests", "zone_visits"),
-            nested(P.keyword_card(self.keywords), "keywords", "query", "clicks", "impressions", "ctr", "position"),
-            nested(P.search_page_card(self.search_pages), "pages", "page", "clicks", "impressions", "ctr", "position"),
-            nested(P.country_card(self._rows("zone_countries", "date")), "countries", "country", "visits"),
-            nested(P.status_card(latest_status), "statuses", "status", "requests"),
-            spark_rows.groupBy(*KEYS).agg(
-                F.sort_array(F.collect_list(F.struct("date", "visits", "flood"))).alias("spark")
-            ),
-            Z.verified_bots(self._rows("zone_bots", "date")),
-            Z.non_content_totals(latest_pages, latest_status),
+            nested(files, "files", "page", "requests", "zone_visits"),
+            nested(P.keyword_card(self.keywords), "keywords", "query", *search),
+            nested(P.search_page_card(self.search_pages), "pages", "page", *search),
+            nested(countries, "countries", "country", "visits"),
+            nested(P.status_card(statuses), "statuses", "status", "requests"),
+            P.sparkline(self.split).groupBy(*KEYS).agg(spark.alias("spark")),
+            Z.verified_bots(self.rows("zone_bots", "date")),
+            Z.non_content_totals(self.rows("zone_pages", "date"), statuses),
         ]
         report = self.site_rows
         for part in lists:
