@@ -217,6 +217,12 @@ def test_opportunities(day_report, totals):
     )
 
 
+def test_classification_is_not_written_out_in_a_filter(day_report):
+    plan = day_report.opportunities._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("POWER" in line for line in filters)
+
+
 def test_denied_queries_stay_listed_but_are_no_opportunity(spark):
     sites = tuple(
         replace(s, deny_patterns=("^W1$", "(unclosed")) if s.host == X.WALLET else s
