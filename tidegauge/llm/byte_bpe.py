@@ -22,11 +22,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidegauge.llm.rows import map_rows
+from tidegauge.llm.rows import map_arrow, map_rows
 
 NO_PAIR = np.int32(2**31 - 1)
 LONG_PIECE = 512
@@ -259,7 +260,7 @@ def decode(df: DataFrame, ids: str, ranks_path: str, out: str = "decoded") -> Da
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 lists = part.column(ids)
-                counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
+                counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
                 flat = np.asarray(lists.flatten(), np.int64)
                 if len(flat) and (flat.min() < 0 or flat.max() >= len(sizes)):
                     raise ValueError("a token id is outside the vocabulary")
@@ -270,7 +271,7 @@ def decode(df: DataFrame, ids: str, ranks_path: str, out: str = "decoded") -> Da
                 made = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [made], schema.fieldNames())
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def vocabulary(spark: SparkSession, ranks_path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

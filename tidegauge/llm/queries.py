@@ -39,3 +39,50 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in benchmark items."""
+    from tidegauge.llm import decontaminate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.verdict(decontaminate.find(docs, "text", table(spark, sf_dir, "benchmark"), "item_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+# Items as windows, document words numbered, every window looked up at every word.
+ORACLES["op9_decontaminate"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM (
+        SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents)
+), b AS (
+    SELECT item_id, w, len(w) AS n FROM (
+        SELECT item_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark)
+), win AS (
+    SELECT item_id, least(n, 13) AS m, array_to_string(w[i:i + least(n, 13) - 1], ' ') AS t
+    FROM (SELECT *, unnest(range(1, greatest(n - 13, 0) + 2)) AS i FROM b WHERE n > 0)
+), place AS (
+    SELECT r, i, m, array_to_string(w[i:i + m - 1], ' ') AS t
+    FROM (SELECT r, w, n, unnest(range(1, n + 1)) AS i FROM d), (SELECT DISTINCT m FROM win)
+    WHERE i + m - 1 <= n
+), hit AS (
+    SELECT r, i, m, item_id FROM place JOIN win USING (m, t)
+), cover AS (
+    SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS k FROM (SELECT DISTINCT r, i, m FROM hit)) GROUP BY r
+), items AS (
+    SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+    FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY r
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= n AS contaminated
+FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
+"""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +25,7 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
 def slices(batch: pa.RecordBatch, column: str, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of bounded rows and bytes; one row may exceed the bytes."""
     start, used = 0, 0
-    lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+    lengths = pc.binary_length(batch.column(column)).to_pylist()
     for i, n in enumerate(lengths):
         if i > start and (i - start >= rows or used + (n or 0) > size):
             yield batch.slice(start, i - start)
@@ -33,6 +35,17 @@ def slices(batch: pa.RecordBatch, column: str, rows: int = SLICE_ROWS, size: int
         yield batch.slice(start)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` whose workers find this package.
+
+    On a cluster the package is installed or given by --py-files; where the driver
+    only has it in a folder, workers on the same storage look there too.
+    """
+    context = df.sparkSession.sparkContext
+    context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(df: DataFrame, text: str, added: T.StructType, make: Callable[[list], list]) -> DataFrame:
     """All columns of ``df`` and those that ``make(texts)`` gives, a list per added column.
 
@@ -51,7 +64,7 @@ def map_rows(df: DataFrame, text: str, added: T.StructType, make: Callable[[list
                 extra = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, arrow)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + extra, names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def to_arrow(kind: T.DataType) -> pa.DataType:
