@@ -60,12 +60,12 @@ WITH d AS (
     SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM (
         SELECT doc_id, list_filter(regexp_split_to_array(
             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents)
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents)
 ), b AS (
     SELECT item_id, w, len(w) AS n FROM (
         SELECT item_id, list_filter(regexp_split_to_array(
             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark)
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark)
 ), win AS (
     SELECT item_id, least(n, 13) AS m, array_to_string(w[i:i + least(n, 13) - 1], ' ') AS t
     FROM (SELECT *, unnest(range(1, greatest(n - 13, 0) + 2)) AS i FROM b WHERE n > 0)
@@ -86,3 +86,12 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT)
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= n AS contaminated
 FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
 """
+
+
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    from tidegauge.llm import simhash
+
+    found = simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", keep=["doc_id"])
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -46,13 +46,13 @@ def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataF
     return df.mapInArrow(run, schema)
 
 
-def map_rows(df: DataFrame, text: str, added: T.StructType, make: Callable[[list], list]) -> DataFrame:
-    """All columns of ``df`` and those that ``make(texts)`` gives, a list per added column.
+def map_rows(df: DataFrame, text: str, added: T.StructType, make: Callable[[list], list], keep: list[str] | None = None) -> DataFrame:
+    """All columns of ``df`` (or those of ``keep``) and those that ``make(texts)`` gives, a list each.
 
     ``make`` gets the values of column ``text`` (None for null). A column of ``df``
     that has the name of an added one is replaced.
     """
-    keep = [c for c in df.columns if c not in added.fieldNames()]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in added.fieldNames()]
     schema = T.StructType([df.schema[c] for c in keep] + list(added))
     arrow = [to_arrow(f.dataType) for f in added]
     names = schema.fieldNames()
