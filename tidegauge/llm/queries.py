@@ -95,3 +95,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", keep=["doc_id"])
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learnt outside the held-out fold."""
+    from tidegauge.llm import toxicity
+    from tidegauge.llm.labelled import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, "doc_id", "text", table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, "text", model, keep=["doc_id"])
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"),
+    )
