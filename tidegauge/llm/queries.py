@@ -110,3 +110,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"),
     )
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document when 200-byte repeats are cut out."""
+    from tidegauge.llm import suffix_dedup
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    texts = suffix_dedup.per_text(docs, "text").select(
+        "t1", "t2", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+    return suffix_dedup.keyed(docs, "text").select("doc_id", "t1", "t2").join(texts, ["t1", "t2"]).drop("t1", "t2")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 #: Rows and UTF-8 bytes that a Python worker holds as objects at a time.
-SLICE_ROWS, SLICE_BYTES = 2000, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 2000, 2 << 20
 
 
 def columns(df: DataFrame, **wanted: str) -> DataFrame:
