@@ -216,8 +216,11 @@ def counted_starts(classes: DataFrame) -> DataFrame:
     return found.groupBy("h", "g").agg(F.collect_list(one).alias("starts"))
 
 
-def per_text(docs: DataFrame, text: str, bucket_limit: int = 4096) -> DataFrame:
-    """(t1, t2, n_bytes, spans, kept) of every distinct text: what goes and the bytes that stay."""
+def per_text(docs: DataFrame, text: str, characters: bool = False, bucket_limit: int = 4096) -> DataFrame:
+    """(t1, t2, n_bytes, spans, kept) of every distinct text: what goes and the bytes that stay.
+
+    With ``characters`` a character that a span would split stays whole.
+    """
     texts = keyed(docs.select(F.col(f"`{text}`").alias("text")), "text").select("t1", "t2", "data")
     all_runs = runs(texts)
     anchors_twice = all_runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -239,7 +242,7 @@ def per_text(docs: DataFrame, text: str, bucket_limit: int = 4096) -> DataFrame:
             (F.col("start") + s.start).alias("start"), (F.col("start") + s.end + LENGTH - 1).alias("end")))).alias("s"))
         .groupBy("t1", "t2").agg(F.collect_set("s").alias("spans"))
     )
-    return removed(distinct.join(spans, ["t1", "t2"], "left"))
+    return removed(distinct.join(spans, ["t1", "t2"], "left"), characters)
 
 
 def all_starts():
@@ -247,7 +250,7 @@ def all_starts():
     return F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("one.n").cast("long").alias("end"))).alias("starts")
 
 
-def removed(texts: DataFrame) -> DataFrame:
+def removed(texts: DataFrame, characters: bool) -> DataFrame:
     """Merge the spans of each text and cut them out."""
     schema = T.StructType([
         T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()), T.StructField("n_bytes", T.LongType()),
@@ -263,7 +266,7 @@ def removed(texts: DataFrame) -> DataFrame:
                 for raw, spans in zip(data, part.column("spans").to_pylist()):
                     own = merge(spans or [])
                     merged.append([{"start": a, "end": b} for a, b in own])
-                    edges = [0, *(x for s in own for x in s), len(raw)]
+                    edges = [0, *(x for s in (whole_characters(raw, own) if characters else own) for x in s), len(raw)]
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if own else raw)
                 yield pa.RecordBatch.from_arrays([
                     part.column("t1"), part.column("t2"), pa.array([len(x) for x in data], pa.int64()),
@@ -273,6 +276,18 @@ def removed(texts: DataFrame) -> DataFrame:
     return map_arrow(texts.select("t1", "t2", "data", "spans"), run, schema)
 
 
+def whole_characters(raw: bytes, spans: list[list[int]]) -> list[list[int]]:
+    """The spans without the parts of characters at their ends (bytes 10xxxxxx go on with one)."""
+    out = []
+    for a, b in spans:
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append([a, b])
+    return out
+
+
 def merge(spans: list[dict]) -> list[list[int]]:
     """Maximal runs: spans that overlap or touch become one."""
     out: list[list[int]] = []
@@ -289,8 +304,9 @@ def cut_documents(docs: DataFrame, text: str) -> DataFrame:
 
     A character that a cut would split stays whole. A null text stays null.
     """
-    found = keyed(docs, text).drop("data")
-    kept = per_text(docs, text).select("t1", "t2", "kept")
-    own = [c for c in docs.columns if c != text]
-    out = found.join(kept, ["t1", "t2"]).withColumn(text, F.when(F.col(f"`{text}`").isNotNull(), F.col("kept").cast("string")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns]) if own is not None else out
+    found = keyed(docs, text)
+    own = found.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns) if c != text], F.col(f"`{text}`").isNull().alias("none"), "t1", "t2")
+    kept = per_text(docs, text, characters=True).select("t1", "t2", F.col("kept").cast("string").alias("kept_text"))
+    out = own.join(kept, ["t1", "t2"])
+    names = [F.when(~F.col("none"), F.col("kept_text")).alias(c) if c == text else F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return out.select(*names)

@@ -231,8 +231,8 @@ def learn(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label: str
     return fit(sample(docs, doc_id, text, labels, label, per_class, max_bytes))
 
 
-def score(docs: DataFrame, text: str, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``score`` and toxic ``spans`` of characters."""
+def score(docs: DataFrame, text: str, model: Model, keep: list[str] | None = None, added: tuple[str, str] = ("score", "spans")) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with the score and the toxic spans of characters, named by ``added``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(texts: list[str | None]) -> list[list]:
@@ -245,7 +245,7 @@ def score(docs: DataFrame, text: str, model: Model, keep: list[str] | None = Non
                 spans.append(spans_of(t, p))
         return [scores, spans]
 
-    return map_rows(docs, text, T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(SPAN))]), make, keep)
+    return map_rows(docs, text, T.StructType([T.StructField(added[0], T.DoubleType()), T.StructField(added[1], T.ArrayType(SPAN))]), make, keep)
 
 
 def spans_of(text: str | None, p: np.ndarray) -> list[dict]:
