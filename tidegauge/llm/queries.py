@@ -124,3 +124,26 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"),
     )
     return suffix_dedup.keyed(docs, "text").select("doc_id", "t1", "t2").join(texts, ["t1", "t2"]).drop("t1", "t2")
+
+
+@query
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; learnt outside the held-out fold."""
+    from tidegauge.llm import quality_model
+    from tidegauge.llm.labelled import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.learn(docs, "doc_id", "text", table(spark, sf_dir, "labels"))
+    scored = quality_model.score(docs, "text", model, keep=["doc_id"])
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, base rule and certified rules of every document."""
+    from tidegauge.llm import quality_rules
+
+    found = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *quality_rules.BASE, "base_failed", "kept", F.array_join("failed", ",").alias("failed_rules"))
