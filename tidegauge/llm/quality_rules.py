@@ -4,11 +4,13 @@ Base measures and the fixed base rule come first. Each further rule is a measure
 grid of cut-offs; a document above the cut-off is rejected. Per stratum (band of length)
 and rule, the good labelled documents above a cut-off are counted, and an exact binomial
 test asks whether the true share of good documents above it is at most ``risk`` /
-number of rules. The level is divided by the number of all tests (strata, rules and
-cut-offs: Bonferroni), so that with probability 1 - ``delta`` no stratum loses more than
-``risk`` of its good documents to all rules together. Of the certified cut-offs the one
-with the best balance of bad against good documents is taken; where none is certified,
-or labels are missing, the rule is off in that stratum.
+number of rules. The level is divided by the number of strata and rules (Bonferroni);
+the cut-offs of one rule are tested in a fixed order, from the one that rejects least,
+up to the first that fails, which needs no further division. So with probability 1 -
+``delta`` no stratum loses more than ``risk`` of its good documents to all rules
+together. Of the certified cut-offs the one with the best balance of bad against good
+documents is taken; where none is certified, or labels are missing, the rule is off in
+that stratum.
 
 The counts come from one aggregate over all labelled documents outside the held-out
 fold; only its table of fixed size reaches the driver. The measures are computed once,
@@ -36,7 +38,7 @@ BLANKS = " \t\n\r\x0b\x0c"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MEASURES = [*BASE, "n_lines", "n_upper", "n_marks", "n_distinct"]
 #: Lower ends of the bands of length, in words.
-BANDS = (0, 60, 200, 800)
+BANDS = (0, 100, 400)
 GRID = 40
 
 
@@ -90,10 +92,8 @@ def rules() -> dict:
         "symbols": (F.col("n_symbols") / words, 1.0),
         "upper": (F.col("n_upper") / chars, 0.8),
         "dup_lines": (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), 0.8),
-        "repeats": (F.col("n_repeat_words") / words, 0.2),
         "marks": (F.col("n_marks") / words, 1.0),
         "monotony": (1 - F.col("n_distinct") / words, 0.9),
-        "long_words": (chars / words / 40, 1.0),
     }
 
 
@@ -126,21 +126,23 @@ def certified(k: int, n: int, risk: float, level: float) -> bool:
 def choose(counts: dict[tuple[int, str, int, int], int], risk: float, delta: float) -> dict[tuple[int, str], int]:
     """Cut-off number per (stratum, rule), from counts per (stratum, rule, cell, label)."""
     names, strata = list(rules()), range(len(BANDS))
-    level = delta / (len(names) * len(BANDS) * GRID)
+    level = delta / (len(names) * len(BANDS))
     out = {}
     for s in strata:
         for name in names:
             above = [[sum(counts.get((s, name, c, y), 0) for c in range(j + 1, GRID + 1)) for j in range(GRID)] for y in (0, 1)]
             good = sum(counts.get((s, name, c, 1), 0) for c in range(GRID + 1))
             best = 0
-            for j in range(GRID):
+            for j in reversed(range(GRID)):
+                if not certified(above[1][j], good, risk / len(names), level):
+                    break
                 gain = above[0][j] - 5 * above[1][j]
-                if gain > best and certified(above[1][j], good, risk / len(names), level):
+                if gain > best:
                     out[s, name], best = j, gain
     return out
 
 
-def cut_offs(measured: DataFrame, doc_id: str, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> dict[tuple[int, str], int]:
+def cut_offs(measured: DataFrame, doc_id: str, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> dict[tuple[int, str], int]:
     """Certified cut-offs, from labelled rows of ``measured`` outside the held-out fold."""
     known = columns(labels, id="doc_id", y="quality").where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
     rows = measured.where("NOT base_failed").join(known, F.col(f"`{doc_id}`") == F.col("id"))
@@ -158,7 +160,7 @@ def verdict(measured: DataFrame, chosen: dict[tuple[int, str], int]) -> DataFram
     return measured.withColumn("failed", names).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
 
-def judged(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+def judged(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Measures and verdict of every row, by id."""
     measured = staged(measures(docs, text, keep=[doc_id]), "measures")
     return verdict(measured, cut_offs(measured, doc_id, labels, risk, delta))
