@@ -147,3 +147,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", table(spark, sf_dir, "labels"))
     return found.select("doc_id", *quality_rules.BASE, "base_failed", "kept", F.array_join("failed", ",").alias("failed_rules"))
+
+
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and rule labels of every document."""
+    from tidegauge.llm import licenses
+
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    starts = F.transform("places", lambda p: p.start)
+    base = F.transform("places", lambda p: p.label)
+    labels = F.array_union(base, F.transform("detections", lambda d: d.label))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(labels), ",").alias("labels"), "score",
+    )
