@@ -164,3 +164,13 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
         F.array_join(F.array_sort(labels), ",").alias("labels"), "score",
     )
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back."""
+    from tidegauge.llm import warc
+    from tidegauge.llm.rows import shared_folder
+
+    chunks = warc.archived(table(spark, sf_dir, "pages"), "page_id", "url", "html", shared_folder(spark, "warc"))
+    return chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
