@@ -223,11 +223,13 @@ def per_text(docs: DataFrame, text: str, characters: bool = False, bucket_limit:
     """
     texts = keyed(docs.select(F.col(f"`{text}`").alias("text")), "text").select("t1", "t2", "data")
     all_runs = runs(texts)
-    anchors_twice = all_runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Written first: a join of two shuffled sides is one whose hot keys Spark can split.
+    anchors_twice = staged(all_runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
     found = staged(all_runs.join(anchors_twice, "h", "left_semi"), "runs")
     classes = found.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "start", "n")).alias("one"))
     classes = staged(classes, "classes")
     open_anchors = classes.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 AND least = 1").select("h", "k")
+    open_anchors = staged(open_anchors, "open-anchors")
     want = (
         classes.join(open_anchors, "h").select("one.t1", "one.t2", F.struct("h", "g", "c", "k", "one.start", "one.n").alias("w"))
         .groupBy("t1", "t2").agg(F.collect_list("w").alias("want"))
