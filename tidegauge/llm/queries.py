@@ -174,3 +174,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     chunks = warc.archived(table(spark, sf_dir, "pages"), "page_id", "url", "html", shared_folder(spark, "warc"))
     return chunks.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    from tidegauge.llm import html_text
+
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html"), "html", keep=["page_id"])
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).cast("long")
+    return found.select("page_id", "text", F.length("text").cast("long").alias("n_chars"), lines.alias("n_lines"))
