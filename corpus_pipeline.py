@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import byte_bpe, decontaminate, simhash, suffix_dedup, toxicity
-from tidegauge.llm.rows import staged
+from tidegauge.llm.rows import numbered, restored, staged
 
 TOXIC = 0.7
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -21,8 +21,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC; a null or empty text has no evidence and stays."""
     model = toxicity.learn(docs, "doc_id", "text", spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, "text", model, added=("_score", "_spans"))
-    return scored.where(F.col("_score") < TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, name = numbered(docs)
+    return restored(toxicity.score(rows, name("text"), model).where(F.col("score") < TOXIC), docs.columns)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,9 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which fewer than 5 % of the words stand in benchmark items."""
-    found = decontaminate.find(docs, "text", spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
-    return decontaminate.verdict(found).where(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, name = numbered(docs)
+    found = decontaminate.find(rows, name("text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
+    return restored(decontaminate.verdict(found).where(~F.col("contaminated")), docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

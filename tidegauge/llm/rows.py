@@ -22,6 +22,17 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").alias(alias) for alias, name in wanted.items()])
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """The table with columns c0, c1, ..., which clash with nothing, and the new name of each."""
+    new = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*new.values()), new.__getitem__
+
+
+def restored(df: DataFrame, names: list[str]) -> DataFrame:
+    """Only the numbered columns, under the names they had."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def slices(batch: pa.RecordBatch, column: str, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of bounded rows and bytes; one row may exceed the bytes."""
     start, used = 0, 0

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.llm.components import components
-from tidegauge.llm.rows import map_arrow, map_rows, staged
+from tidegauge.llm.rows import map_arrow, map_rows, numbered, restored, staged
 
 #: (lowest bit, width) of the ring's segments.
 SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
@@ -189,10 +189,11 @@ def classes(docs: DataFrame, doc_id: str, text: str, words: int = 4, threshold:
     """``docs`` with ``fp``, ``label`` (one per class) and ``component_id``, the class's smallest id.
 
     With ``keep`` (which does not hold the text) the fingerprints are computed once and
-    written; else texts are read a second time rather than stored again.
+    written; else texts are read a second time rather than stored again. Columns of
+    these three names are replaced.
     """
+    docs = docs.drop("fp", "label", "component_id")
     marked = fingerprints(docs, text, words, keep=keep)
-    ids = marked
     if keep is not None:
         marked = ids = staged(marked, "simhash-fingerprints")
     else:
@@ -206,6 +207,7 @@ def classes(docs: DataFrame, doc_id: str, text: str, words: int = 4, threshold:
 
 def keep_one(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The columns of ``docs``; of each class the row of the smallest id (any one of equal ids)."""
-    found = classes(docs, doc_id, text)
-    first = found.where(F.col(f"`{doc_id}`").eqNullSafe(F.col("component_id")))
-    return first.dropDuplicates(["label"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, name = numbered(docs)
+    found = classes(rows, name(doc_id), name(text))
+    first = found.where(F.col(name(doc_id)).eqNullSafe(F.col("component_id")))
+    return restored(first.dropDuplicates(["label"]), docs.columns)

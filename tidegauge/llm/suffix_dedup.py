@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.llm.difference_cover import repeated
-from tidegauge.llm.rows import map_arrow, staged
+from tidegauge.llm.rows import map_arrow, numbered, restored, staged
 
 LENGTH, ANCHOR = 200, 80
 #: Bytes that are hashed, or sorted, at a time.
@@ -306,9 +306,8 @@ def cut_documents(docs: DataFrame, text: str) -> DataFrame:
 
     A character that a cut would split stays whole. A null text stays null.
     """
-    found = keyed(docs, text)
-    own = found.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns) if c != text], F.col(f"`{text}`").isNull().alias("none"), "t1", "t2")
+    rows, name = numbered(docs)
+    own = keyed(rows, name(text)).drop("data").withColumn("none", F.col(name(text)).isNull()).drop(name(text))
     kept = per_text(docs, text, characters=True).select("t1", "t2", F.col("kept").cast("string").alias("kept_text"))
-    out = own.join(kept, ["t1", "t2"])
-    names = [F.when(~F.col("none"), F.col("kept_text")).alias(c) if c == text else F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)]
-    return out.select(*names)
+    out = own.join(kept, ["t1", "t2"]).withColumn(name(text), F.when(~F.col("none"), F.col("kept_text")))
+    return restored(out, docs.columns)
