@@ -40,6 +40,7 @@ MEASURES = [*BASE, "n_lines", "n_upper", "n_marks", "n_distinct"]
 #: Lower ends of the bands of length, in words.
 BANDS = (0, 100, 400)
 GRID = 40
+RULES = ["symbols", "upper", "dup_lines", "marks", "monotony"]
 
 
 def repeated_window_words(words: list[bytes], width: int = 5) -> int:
@@ -125,7 +126,7 @@ def certified(k: int, n: int, risk: float, level: float) -> bool:
 
 def choose(counts: dict[tuple[int, str, int, int], int], risk: float, delta: float) -> dict[tuple[int, str], int]:
     """Cut-off number per (stratum, rule), from counts per (stratum, rule, cell, label)."""
-    names, strata = list(rules()), range(len(BANDS))
+    names, strata = RULES, range(len(BANDS))
     level = delta / (len(names) * len(BANDS))
     out = {}
     for s in strata:
@@ -146,7 +147,7 @@ def cut_offs(measured: DataFrame, doc_id: str, labels: DataFrame, risk: float =
     """Certified cut-offs, from labelled rows of ``measured`` outside the held-out fold."""
     known = columns(labels, id="doc_id", y="quality").where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
     rows = measured.where("NOT base_failed").join(known, F.col(f"`{doc_id}`") == F.col("id"))
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), cell(n).alias("cell")) for n in rules()]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), cell(n).alias("cell")) for n in RULES]))
     table = rows.select(band().alias("band"), "y", pairs.alias("p")).groupBy("band", "p.rule", "p.cell", "y").count()
     return choose({(r.band, r.rule, r.cell, int(r.y)): r["count"] for r in table.collect()}, risk, delta)
 
