@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from querybook.registry import query
 from querybook.sql import DATE, OPPORTUNITIES, classified, ctr_case, non_content, site_rows, sql, top
-from querybook.views import CONFIG, FLOOD_RULES, LAST
+from querybook.views import CONFIG, FLOOD_RULES, LAST, WITH_IDLE
 from tidegauge.functions import scalars as D
 from tidegauge.operators import floods as E
 from tidegauge.operators import opportunities as O
@@ -217,12 +219,11 @@ def _(v):
 
 @query("f11_site_search_summary", sql(
     "SELECT s.host, clicks, impressions, round(ctr, 6) AS ctr, position, q.host IS NOT NULL AS has_search"
-    " FROM sites s LEFT JOIN (SELECT * FROM search_summary WHERE date = DATE '2024-01-30' AND impressions > 4500) q USING (host)"))
+    " FROM (SELECT host FROM sites UNION ALL SELECT 'idle.example') s"
+    " LEFT JOIN (SELECT * FROM search_summary WHERE date = DATE '2024-01-30') q USING (host)"))
 def _(v):
-    report = v.report()
-    # Sites below the line stand for sites that have no search row on the date.
-    rows = report.search_latest.where(F.col("impressions") > 4500)
-    return P.site_search_summary(report.sites, rows).drop("as_of")
+    report = replace(v.report(), config=WITH_IDLE)
+    return P.site_search_summary(report.sites, report.search_latest).drop("as_of")
 
 
 @query("f12_site_bytes", sql("SELECT host, bytes FROM st", classified(), site_rows(30)))
@@ -254,12 +255,14 @@ def _(v):
 
 @query("f15_site_window_label", sql(
     """SELECT host, coalesce(max(w) FILTER (WHERE s = 1), max(w) FILTER (WHERE s = 2), max(w) FILTER (WHERE s = 3)) AS search_window
-  FROM (SELECT host, 1 AS s, search_window AS w FROM search_summary WHERE date = DATE '2024-01-30' AND host <> 'site0.example'
-  UNION ALL SELECT host, 2, search_window FROM keywords UNION ALL SELECT host, 3, search_window FROM search_pages) GROUP BY host"""))
+  FROM (SELECT host, 1 AS s, search_window AS w FROM search_summary WHERE date = DATE '2024-01-30'
+  UNION ALL SELECT host, 2, search_window FROM keywords UNION ALL SELECT host, 3, search_window FROM search_pages
+  UNION ALL SELECT 'idle.example', 2, search_window FROM keywords WHERE host = 'site0.example') GROUP BY host"""))
 def _(v):
     report = v.report()
-    summary = report.search_latest.where(F.col("host") != "site0.example")
-    return P.window_label(summary, report.keywords, report.search_pages).drop("as_of")
+    # A site that has no summary row is labelled by its keywords.
+    idle = report.keywords.where(F.col("host") == "site0.example").withColumn("host", F.lit("idle.example"))
+    return P.window_label(report.search_latest, report.keywords.unionByName(idle), report.search_pages).drop("as_of")
 
 
 for _sort, _by in {
@@ -454,11 +457,11 @@ def _(v):
 
 @query("t16_thin_sample", sql(
     """SELECT host, round(sample / corpus, 6) AS share, sample > 0 AND sample / corpus < 0.25 AS thin FROM
-  (SELECT host, sum(impressions) AS sample FROM keywords WHERE position <= 15 GROUP BY host) JOIN
+  (SELECT host, sum(impressions) AS sample FROM keywords GROUP BY host) JOIN
   (SELECT host, impressions AS corpus FROM search_summary WHERE date = DATE '2024-01-30') USING (host) WHERE corpus > 0"""))
 def _(v):
     report = v.report()
-    sample = report.keywords.where(F.col("position") <= 15).groupBy("host").agg(F.sum("impressions").alias("sample"))
+    sample = report.keywords.groupBy("host").agg(F.sum("impressions").alias("sample"))
     corpus = report.search_latest.select("host", F.col("impressions").alias("corpus")).where("corpus > 0")
     share = D.ratio(F.col("sample"), F.col("corpus"))
     return sample.join(corpus, "host").select("host", share.alias("share"), T.thin_sample(share).alias("thin"))
@@ -541,6 +544,6 @@ def _(v):
     OPPORTUNITIES))
 def _(v):
     report = v.report()
-    classified_rows = O.classify_keywords(report.keywords, CONFIG.deny_df(v.spark))
+    classified_rows = O.classify_keywords(report.keywords, CONFIG.deny(v.spark))
     flagged = O.flag_keywords(classified_rows)
     return flagged.select("host", "query", "is_opportunity", "kind")

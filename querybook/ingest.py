@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from querybook.registry import query
 from querybook.sql import DATE, WINDOW, classified, site_rows, sql, top
+from querybook.sources import land_zone
 from querybook.views import CONFIG, LAST
 from tidegauge.functions.scalars import search_window
 from tidegauge.operators import audit as N
@@ -19,6 +20,7 @@ from tidegauge.operators import signals as H
 from tidegauge.operators import totals as T
 from tidegauge.sinks import daily
 from tidegauge.sinks.scratch import new_folder
+from tidegauge.sources import landed as A
 from tidegauge.sources.tables import read_table
 
 
@@ -105,6 +107,26 @@ def _(v):
     return B.zone_traffic(v.zone_rollup)
 
 
+@query("b6_zone_rollup_from_responses", sql(f"""SELECT section, {DATE}, host, page, country, status, category, requests, visits, bytes FROM (
+  SELECT 'zone_total' AS section, date, host, NULL AS page, NULL AS country, NULL::BIGINT AS status, NULL AS category,
+    views AS requests, visits, bytes FROM zone_daily
+  UNION ALL SELECT 'zone_pages', date, host, path, NULL, NULL, NULL, sum(requests)::BIGINT, sum(visits)::BIGINT, sum(bytes)::BIGINT
+    FROM zone_log GROUP BY date, host, path
+  UNION ALL SELECT 'zone_countries', date, host, NULL, coalesce(nullif(country, ''), 'Unknown'), NULL, NULL, sum(requests)::BIGINT,
+    sum(visits)::BIGINT, sum(bytes)::BIGINT FROM zone_log GROUP BY date, host, country
+  UNION ALL SELECT 'zone_status', date, host, NULL, NULL, status, NULL, sum(requests)::BIGINT, sum(visits)::BIGINT, sum(bytes)::BIGINT
+    FROM zone_log GROUP BY date, host, status
+  UNION ALL SELECT 'zone_bots', date, host, NULL, NULL, NULL, coalesce(nullif(category, ''), '(unverified)'), sum(requests)::BIGINT,
+    sum(visits)::BIGINT, sum(bytes)::BIGINT FROM zone_log GROUP BY date, host, category)"""))
+def _(v):
+    return B.zone_rollup_from_groups(A.read_zone(v.spark, land_zone(v)))
+
+
+@query("b6_zone_totals_from_responses", sql(f"SELECT {DATE}, host, visits, views, bytes FROM zone_daily"))
+def _(v):
+    return B.zone_traffic(B.zone_rollup_from_groups(A.read_zone(v.spark, land_zone(v))))
+
+
 @query("b7_zone_top_paths", sql(
     f"SELECT {DATE}, host, page, requests, zone_visits, rank FROM "
     + top("zone_paths", "date, host", "requests DESC, page", 20)))
@@ -114,14 +136,14 @@ def _(v):
 
 @query("b8_zone_top_countries", sql(
     f"SELECT {DATE}, host, country, visits, rank FROM "
-    + top("all_countries", "date, host", "visits DESC, country", 10)))
+    + top("zone_countries", "date, host", "visits DESC, country", 10)))
 def _(v):
     return B.zone_top_countries(v.zone_rollup)
 
 
 @query("b9_zone_top_statuses", sql(
     f"SELECT {DATE}, host, status, requests, rank FROM "
-    + top("all_status", "date, host", "requests DESC, status", 3)))
+    + top("zone_status", "date, host", "requests DESC, status", 3)))
 def _(v):
     return B.zone_top_statuses(v.zone_rollup, 3)
 
@@ -426,14 +448,14 @@ def _(v):
 @query("j8_period_days", sql(
     f"SELECT strftime(t.date, '%Y-%m-%d') AS date, t.host, coalesce(human, 0) AS human, coalesce(crawler, 0) AS crawler,"
     " coalesce(human_views, 0) AS human_views, coalesce(crawler_views, 0) AS crawler_views,"
-    " coalesce(partial, false) AS partial FROM traffic t LEFT JOIN split s ON s.host = t.host AND s.date = t.date"
-    " AND s.host <> 'site0.example' WHERE t.date > DATE '2024-01-23'", classified()))
+    " coalesce(partial, false) AS partial FROM (FROM traffic UNION ALL SELECT * REPLACE ('idle.example' AS host) FROM traffic WHERE host = 'site0.example') t"
+    " LEFT JOIN split s ON s.host = t.host AND s.date = t.date WHERE t.date > DATE '2024-01-23'", classified()))
 def _(v):
     report = v.report(7)
     rows = R.within(v.tables["traffic"], WEEK, "start")
     # A site that was never classified still has its days, as zeros.
-    known = report.split.where(F.col("host") != "site0.example")
-    return E.split_stored_days(rows, known).drop("as_of")
+    idle = rows.where(F.col("host") == "site0.example").withColumn("host", F.lit("idle.example"))
+    return E.split_stored_days(rows.unionByName(idle), report.split).drop("as_of")
 
 
 @query("j9_trend_x_search", sql(
@@ -450,7 +472,7 @@ def _(v):
     "SELECT host, query, clicks, impressions FROM keywords k WHERE NOT EXISTS (SELECT 1 FROM deny d"
     " WHERE d.host = k.host AND regexp_matches(k.query, '(?i)' || d.pattern))"))
 def _(v):
-    kept = O.drop_denied(v.keywords, CONFIG.deny_df(v.spark))
+    kept = O.drop_denied(v.keywords, CONFIG.deny(v.spark))
     return kept.select("host", "query", "clicks", "impressions")
 
 

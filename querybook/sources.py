@@ -160,15 +160,14 @@ CTR = "round(CASE WHEN impressions <> 0 THEN clicks / impressions ELSE 0 END, 6)
 
 
 @query("a6_keyword_scan", sql(
-    f"SELECT {DATE}, host, query, clicks, impressions, {CTR}, position, search_window FROM "
-    + top("keywords", "date, host", "clicks DESC, impressions DESC, query", 500)))
+    f"SELECT {DATE}, host, query, clicks, impressions, {CTR}, position, search_window FROM keywords"))
 def _(v):
     return A.read_keywords(v.spark, land_search(v, _with_ctr(v.keywords), "query"))
 
 
 @query("a7_search_page_scan", sql(
-    f"SELECT {DATE}, host, page, clicks, impressions, {CTR}, round(position, 6) AS position, search_window FROM "
-    + top("search_pages", "date, host", "clicks DESC, impressions DESC, page", 15)))
+    f"SELECT {DATE}, host, page, clicks, impressions, {CTR}, round(position, 6) AS position, search_window"
+    " FROM search_pages"))
 def _(v):
     return A.read_search_pages(v.spark, land_search(v, v.search_pages, "page"))
 
@@ -184,7 +183,7 @@ def _(v):
     "SELECT host, page, clicks, impressions FROM search_pages"
     " WHERE host <> 'site1.example' OR regexp_matches(page, '^https://site1\\.example/r/1')"))
 def _(v):
-    kept = A.filter_pages(v.search_pages, CONFIG.page_filters_df(v.spark))
+    kept = A.filter_pages(v.search_pages, CONFIG.page_filters())
     return kept.select("host", "page", "clicks", "impressions")
 
 
@@ -304,8 +303,8 @@ def _(v):
     "SELECT k.host, query FROM keywords k WHERE EXISTS (SELECT 1 FROM deny d"
     " WHERE d.host = k.host AND regexp_matches(k.query, '(?i)' || d.pattern))"))
 def _(v):
-    rows = v.keywords.select("host", "query")
-    return rows.join(O.drop_denied(rows, CONFIG.deny_df(v.spark)), ["host", "query"], "left_anti")
+    marked = O.mark_denied(v.keywords.select("host", "query"), CONFIG.deny(v.spark))
+    return marked.where("denied").drop("denied")
 
 
 @query("d7_anchor", sql(

@@ -115,13 +115,11 @@ BASE = [
   sum(views)::BIGINT AS views FROM rum GROUP BY ALL)""",
     """zone_paths AS (SELECT date, host, path AS page, sum(requests)::BIGINT AS requests,
   sum(visits)::BIGINT AS zone_visits FROM zone_log GROUP BY ALL)""",
-    "zone_pages AS " + top("zone_paths", "date, host", "requests DESC, page", 50, "* EXCLUDE rank"),
-    """all_countries AS (SELECT date, host, CASE WHEN country = '' THEN 'Unknown' ELSE country END
+    "zone_pages AS (SELECT * FROM zone_paths)",
+    """zone_countries AS (SELECT date, host, CASE WHEN country = '' THEN 'Unknown' ELSE country END
   AS country, sum(visits)::BIGINT AS visits FROM zone_log GROUP BY ALL)""",
-    "zone_countries AS " + top("all_countries", "date, host", "visits DESC, country", 10, "* EXCLUDE rank"),
-    """all_status AS (SELECT date, host, status::BIGINT AS status, sum(requests)::BIGINT AS requests
+    """zone_status AS (SELECT date, host, status::BIGINT AS status, sum(requests)::BIGINT AS requests
   FROM zone_log GROUP BY ALL)""",
-    "zone_status AS " + top("all_status", "date, host", "requests DESC, status", 8, "* EXCLUDE rank"),
     """zone_bots AS (SELECT date, host, CASE WHEN category = '' THEN '(unverified)' ELSE category END
   AS category, sum(requests)::BIGINT AS requests, sum(visits)::BIGINT AS visits
   FROM zone_log GROUP BY ALL)""",

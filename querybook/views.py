@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,8 @@ CONFIG = SiteConfig(
     forums=(("forum0.example", "Forum Zero"), ("forum1.example", "Forum One"),
             ("forum2.example", "Forum Two")),
 )
+# The same sites and one of which no source has a row.
+WITH_IDLE = replace(CONFIG, sites=(*CONFIG.sites, Site("idle.example")))
 FIRST = dt.date(2024, 1, 1)
 LAST = dt.date(2024, 1, 30)
 # Thresholds at which the test tables, which are quiet, show every verdict.
@@ -274,7 +277,7 @@ class Views:
             return rum.unionByName(zone)
 
         def referrers() -> DataFrame:
-            return B.top_referrers(B.referrer_daily(self.rum), 50, aliases()).drop("rank")
+            return B.with_kind(B.referrer_daily(self.rum), aliases())
 
         def bots() -> DataFrame:
             return B.section(self.zone_rollup, "zone_bots", "category", "requests", "visits")
@@ -284,10 +287,10 @@ class Views:
             {
                 "traffic": traffic,
                 "referrers": referrers,
-                "landing": lambda: B.top_pages(B.landing_daily(self.rum), 50).drop("rank"),
-                "zone_pages": lambda: B.zone_top_paths(self.zone_rollup).drop("rank"),
-                "zone_countries": lambda: B.zone_top_countries(self.zone_rollup).drop("rank"),
-                "zone_status": lambda: B.zone_top_statuses(self.zone_rollup).drop("rank"),
+                "landing": lambda: B.landing_daily(self.rum),
+                "zone_pages": lambda: B.zone_paths(self.zone_rollup),
+                "zone_countries": lambda: B.section(self.zone_rollup, "zone_countries", "country", "visits"),
+                "zone_status": lambda: B.section(self.zone_rollup, "zone_status", "status", "requests"),
                 "zone_bots": bots,
                 "keywords": lambda: self.keywords,
                 "search_pages": lambda: self.search_pages,

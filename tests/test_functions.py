@@ -163,6 +163,6 @@ def test_config(spark):
     config = SiteConfig((Site("a", ("www.a",), deny_patterns=("(", "ok")), Site("b", measurement="zone")))
     assert config.hosts("zone") == ["b"]
     assert {tuple(r) for r in config.aliases_df(spark).collect()} == {("a", "a"), ("www.a", "a"), ("b", "b")}
-    assert [tuple(r) for r in config.deny_df(spark).collect()] == [("a", "ok")]
+    assert config.deny(spark) == {"a": ["ok"]}
     assert config.exclude_df(spark).count() == 0
     assert C.CTR_ANCHORS[0] == (1, 0.285)

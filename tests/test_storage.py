@@ -230,6 +230,104 @@ def test_page_filter_and_cap(spark):
     pages = spark.createDataFrame(
         [("a", "https://a/1"), ("a", "https://b/1"), ("c", "https://c/1")], "host STRING, page STRING"
     )
-    filters = spark.createDataFrame([("a", "^https://a/")], "host STRING, page_filter STRING")
-    assert rows_of(landed.filter_pages(pages, filters), "page") == [("a", "https://a/1"), ("c", "https://c/1")]
+    assert landed.filter_pages(pages, {}) is pages
+    assert rows_of(landed.filter_pages(pages, {"a": "^https://a/"}), "page") == [("a", "https://a/1"), ("c", "https://c/1")]
     assert landed.cap_groups(pages.withColumn("n", F.length("page")), ["host"], "n", ["page"], 1).count() == 2
+
+
+def stored(spark, tmp_path, name, *order):
+    return rows_of(tables.read_table(spark, str(tmp_path / "root"), name).drop("date"), *(order or S.KEYS[name][1:]))
+
+
+def run_at(day):
+    return dt.datetime.combine(day, dt.time(13))
+
+
+ZONE_COLUMNS = "date DATE, host STRING, path STRING, country STRING, status INT, category STRING, requests BIGINT, visits BIGINT, bytes BIGINT"
+
+
+def test_landed_groups_are_counted_once(spark, tmp_path):
+    """A response per dimension, each with all requests: totals are those of one of them."""
+    def group(n, visits, size, **dimensions):
+        return {"count": n, "sum": {"visits": visits, "edgeResponseBytes": size}, "dimensions": dimensions}
+
+    responses = {
+        "total": [group(10, 3, 100)],
+        "path": [group(7, 1, 70, clientRequestPath="/f"), group(2, 1, 20, clientRequestPath=""), group(1, 1, 10)],
+        "country": [group(10, 3, 100, clientCountryName="US")],
+        "status": [group(7, 1, 70, edgeResponseStatus=404), group(3, 2, 30, edgeResponseStatus=200)],
+        "category": [group(3, 2, 30, verifiedBotCategory="Archiver"), group(7, 1, 70, verifiedBotCategory="")],
+    }
+    for dimension, groups in responses.items():
+        folder = tmp_path / f"zone/date={D2.isoformat()}/host=z.example/dimension={dimension}"
+        write(folder / "1.json", {"data": {"viewer": {"zones": [{"httpRequestsAdaptiveGroups": groups}]}}})
+    groups = landed.read_zone(spark, str(tmp_path / "zone"))
+    run_nightly(spark, str(tmp_path / "root"), CONFIG, Landed(zone_groups=groups), D2, D2, run_at(D2))
+    assert stored(spark, tmp_path, "traffic") == [("z.example", 3, 10, 100)]
+    assert stored(spark, tmp_path, "zone_pages") == [("z.example", "/", 3, 2), ("z.example", "/f", 7, 1)]
+    assert stored(spark, tmp_path, "zone_countries") == [("z.example", "US", 3)]
+    assert stored(spark, tmp_path, "zone_status") == [("z.example", 200, 3), ("z.example", 404, 7)]
+    assert stored(spark, tmp_path, "zone_bots") == [("z.example", "(unverified)", 7, 1), ("z.example", "Archiver", 3, 2)]
+    with pytest.raises(ValueError):
+        run_nightly(spark, str(tmp_path / "root"), CONFIG, Landed(zone_log=groups, zone_groups=groups), D2, D2, run_at(D2))
+
+
+def test_sources_that_were_not_pulled_stay(spark, tmp_path):
+    land(tmp_path, D2, ("a.example", "", "/x", 5, 3))
+    nightly(spark, tmp_path, D2, [(D2, "z.example", "/f", "", 404, "", 7, 1, 70)])
+    beacons = landed.read_beacons(spark, str(tmp_path / "landed"))
+    run_nightly(spark, str(tmp_path / "root"), CONFIG, Landed(beacons), D2, D2, run_at(D2))
+    assert stored(spark, tmp_path, "traffic") == [("a.example", 3, 5, 0), ("idle.example", 0, 0, 0), ("z.example", 1, 7, 70)]
+    assert stored(spark, tmp_path, "zone_pages") == [("z.example", "/f", 7, 1)]
+
+
+def test_nothing_is_cut_when_stored(spark, tmp_path):
+    """60 referrers above (direct), 12 statuses: the flood and the error share see all of them."""
+    names = [f"r{i}.example" for i in range(60)]
+    land(tmp_path, D2, *[("a.example", r, "/x", 4, 4) for r in names], ("a.example", "", "/x", 3, 3))
+    zone = [(D2, "z.example", f"/p{i}", f"C{i % 30}", 400 + i, "", 10 - i % 3, 1, 1) for i in range(70)]
+    nightly(spark, tmp_path, D2, zone)
+    referrers = stored(spark, tmp_path, "referrers")
+    assert len(referrers) == 61 and ("a.example", "(direct)", "direct", 3) in referrers
+    assert len(stored(spark, tmp_path, "zone_status")) == 70 and len(stored(spark, tmp_path, "zone_pages")) == 70
+    assert len(stored(spark, tmp_path, "zone_countries")) == 30
+    report = Report(Tables.stored(spark, str(tmp_path / "root")), CONFIG, reads.Period(D2))
+    shape = report.split.where("host = 'a.example'").first()
+    assert (shape.direct, shape.non_direct) == (3, 240)
+
+
+def test_landed_reads_prune_dates(spark, tmp_path):
+    land(tmp_path, D1, ("a.example", "", "/x", 1, 1))
+    land(tmp_path, D2, ("a.example", "", "/x", 1, 1))
+    from tidegauge.plans.nightly import daily_tables
+
+    landed_rows = Landed(landed.read_beacons(spark, str(tmp_path / "landed")))
+    rows = daily_tables(spark, CONFIG, landed_rows, D2, D2)["traffic"]
+    assert rows_of(rows.where("visits > 0"), "host") == [(D2, "a.example", 1, 1, 0)]
+    read = landed.read_beacons(spark, str(tmp_path / "landed")).where(F.col("date").between(F.lit(D2), F.lit(D2)))
+    assert "PartitionFilters: [isnotnull(date" in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_totals_leave_other_hosts_out(spark, tmp_path):
+    """Hosts that are no longer configured stay in the tables but not in the report."""
+    keyword = lambda host: (D2, host, "q", 5, 100, 0.05, 2.0, "w")
+    frames = {
+        name: spark.createDataFrame([dict(zip(["date", "host", key, "clicks", "impressions", "ctr", "position", "search_window"], keyword(h))) for h in ("a.example", "gone.example")], S.TABLES[name])
+        for name, key in (("keywords", "query"), ("search_pages", "page"))
+    }
+    summary = [(D2, h, 5, 100, 0.05, 2.0, "w") for h in ("a.example", "gone.example")]
+    names = ["date", "host", "clicks", "impressions", "ctr", "position", "search_window"]
+    frames["search_summary"] = spark.createDataFrame([dict(zip(names, r)) for r in summary], S.TABLES["search_summary"])
+    report = Report(Tables(spark, frames), CONFIG, reads.Period(D2))
+    for rows in (report.keywords, report.search_pages, report.search_latest, report.search_history):
+        assert [r.host for r in rows.collect()] == ["a.example"]
+
+
+def test_deny_and_page_patterns_are_literals(spark):
+    from tidegauge.operators import opportunities
+
+    rows = spark.createDataFrame([("a", "free stuff"), ("a", "other"), ("b", "free"), ("c", None)], "host STRING, query STRING")
+    marked = opportunities.mark_denied(rows, {"a": ["^FREE", "x"], "b": ["x"]})
+    assert rows_of(marked, "host", "query") == [("a", "free stuff", True), ("a", "other", False), ("b", "free", False), ("c", None, False)]
+    assert "Join" not in marked._jdf.queryExecution().executedPlan().toString()
+    assert not opportunities.mark_denied(rows, {}).where("denied").count()

@@ -89,19 +89,14 @@ class SiteConfig:
         rows = [(s.host, path) for s in self.sites for path in s.exclude_paths]
         return local_table(spark, rows, "host path")
 
-    def page_filters_df(self, spark: SparkSession) -> DataFrame:
-        rows = [(s.host, s.page_filter) for s in self.sites if s.page_filter]
-        return local_table(spark, rows, "host page_filter")
-
-    def deny_df(self, spark: SparkSession) -> DataFrame:
-        """Deny patterns that compile; one that does not compile denies nothing."""
-        rows = [
-            (s.host, pattern)
-            for s in self.sites
-            for pattern in s.deny_patterns
-            if compiles(spark, pattern)
-        ]
-        return local_table(spark, rows, "host pattern")
+    def page_filters(self) -> dict[str, str]:
+        return {s.host: s.page_filter for s in self.sites if s.page_filter}
+
+    def deny(self, spark: SparkSession) -> dict[str, list[str]]:
+        """Deny patterns that compile, by host; one that does not compile denies nothing."""
+        valid = {p for p in {p for s in self.sites for p in s.deny_patterns} if compiles(spark, p)}
+        found = {s.host: [p for p in s.deny_patterns if p in valid] for s in self.sites}
+        return {host: patterns for host, patterns in found.items() if patterns}
 
     def forums_df(self, spark: SparkSession) -> DataFrame:
         return local_table(spark, list(self.forums), "host name")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge import constants as C
@@ -117,29 +117,68 @@ def zone_rollup(log: DataFrame) -> DataFrame:
     )
 
 
+ZONE_DIMENSIONS = {
+    "total": "zone_total", "path": "zone_pages", "country": "zone_countries",
+    "status": "zone_status", "category": "zone_bots",
+}
+
+
+def zone_rollup_from_groups(groups: DataFrame) -> DataFrame:
+    """The same sections from groups by one dimension each.
+
+    Every dimension counts all requests again, so a group belongs to the section of
+    its own dimension only; totals have groups of their own. Values that are equal
+    once named (an empty and a missing one) are added up.
+    """
+
+    def of(dimension: str, value) -> Column:
+        return F.when(F.col("dimension") == dimension, value)
+
+    names = F.create_map(*[F.lit(x) for pair in ZONE_DIMENSIONS.items() for x in pair])
+    rows = groups.where(F.col("dimension").isin(list(ZONE_DIMENSIONS))).select(
+        *DAY,
+        of("path", named(F.col("path"), C.ROOT_PATH)).alias("page"),
+        of("country", named(F.col("country"), C.UNKNOWN_COUNTRY)).alias("country"),
+        of("status", F.coalesce("status", F.lit(0))).alias("status"),
+        of("category", named(F.col("category"), C.UNVERIFIED_CATEGORY)).alias("category"),
+        "requests", "visits", "bytes",
+        names[F.col("dimension")].alias("section"),
+    )
+    keys = ["page", "country", "status", "category", "section"]
+    return rows.groupBy(*DAY, *keys).agg(*[F.sum(c).alias(c) for c in ("requests", "visits", "bytes")])
+
+
 def section(rollup: DataFrame, name: str, *columns: str) -> DataFrame:
     """One section of a rollup with its own columns."""
     return rollup.where(F.col("section") == name).select(*DAY, *columns)
 
 
 def zone_traffic(rollup: DataFrame) -> DataFrame:
-    """Daily totals of zone hosts; ``views`` holds the request count."""
+    """Daily totals of zone hosts; ``views`` holds the request count.
+
+    Where a day has no total of its own, its statuses are added up.
+    """
+
+    def total(measure: str) -> Column:
+        own = F.sum(F.when(F.col("section") == "zone_total", F.col(measure)))
+        return F.coalesce(own, F.sum(F.when(F.col("section") == "zone_status", F.col(measure))))
+
     return (
-        rollup.where(F.col("section") == "zone_status")
+        rollup.where(F.col("section").isin("zone_total", "zone_status"))
         .groupBy(*DAY)
-        .agg(
-            F.sum("visits").alias("visits"),
-            F.sum("requests").alias("views"),
-            F.sum("bytes").alias("bytes"),
-        )
+        .agg(total("visits").alias("visits"), total("requests").alias("views"), total("bytes").alias("bytes"))
     )
 
 
+def zone_paths(rollup: DataFrame) -> DataFrame:
+    """Requests by path, all of them."""
+    pages = section(rollup, "zone_pages", "page", "requests", "visits")
+    return pages.withColumnRenamed("visits", "zone_visits")
+
+
 def zone_top_paths(rollup: DataFrame, n: int = C.STORED_ZONE_PATHS) -> DataFrame:
     """Most requested paths: for a file host, "top" means most hit."""
-    pages = section(rollup, "zone_pages", "page", "requests", "visits")
-    pages = pages.withColumnRenamed("visits", "zone_visits")
-    return top_n(pages, DAY, [F.desc("requests"), F.asc("page")], n)
+    return top_n(zone_paths(rollup), DAY, [F.desc("requests"), F.asc("page")], n)
 
 
 def zone_top_countries(rollup: DataFrame, n: int = C.STORED_ZONE_COUNTRIES) -> DataFrame:

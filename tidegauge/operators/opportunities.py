@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,26 +15,28 @@ from tidegauge.functions.scalars import expected_ctr, ratio, zero
 from tidegauge.functions.text import fixed, percent, sentence
 
 
-def mark_denied(keywords: DataFrame, deny: DataFrame) -> DataFrame:
-    """Mark queries that match one of their site's deny patterns, in any case."""
-    patterns = F.collect_list(F.concat(F.lit("(?i)"), "pattern"))
-    by_host = deny.groupBy("host").agg(patterns.alias("deny_patterns"))
+def mark_denied(keywords: DataFrame, deny: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Mark queries that match one of their site's deny patterns, in any case.
+
+    Patterns are configuration: each distinct one is a literal, compiled once.
+    """
+    hosts: dict[str, list[str]] = {}
+    for host, patterns in deny.items():
+        for pattern in patterns:
+            hosts.setdefault(pattern, []).append(host)
     query = F.col("query")
-    matched = F.exists("deny_patterns", lambda p: F.rlike(query, p))
-    return (
-        keywords.join(by_host, "host", "left")
-        .withColumn("denied", F.coalesce((query != "") & matched, F.lit(False)))
-        .drop("deny_patterns")
-    )
+    matches = [F.col("host").isin(sorted(set(own))) & query.rlike(f"(?i){p}") for p, own in hosts.items()]
+    matched = reduce(Column.__or__, matches, F.lit(False))
+    return keywords.withColumn("denied", F.coalesce((query != "") & matched, F.lit(False)))
 
 
-def drop_denied(keywords: DataFrame, deny: DataFrame) -> DataFrame:
+def drop_denied(keywords: DataFrame, deny: Mapping[str, Sequence[str]]) -> DataFrame:
     return mark_denied(keywords, deny).where(~F.col("denied")).drop("denied")
 
 
 def classify_keywords(
     keywords: DataFrame,
-    deny: DataFrame | None = None,
+    deny: Mapping[str, Sequence[str]] | None = None,
     rules: OpportunityRules = OpportunityRules(),
 ) -> DataFrame:
     """Every keyword row with the opportunity that it is, or NULL.
@@ -72,7 +77,7 @@ def classify_keywords(
 
 def opportunities(
     keywords: DataFrame,
-    deny: DataFrame | None = None,
+    deny: Mapping[str, Sequence[str]] | None = None,
     rules: OpportunityRules = OpportunityRules(),
 ) -> DataFrame:
     """The keyword rows that are an opportunity, with their class and its own score.

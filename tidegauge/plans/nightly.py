@@ -9,12 +9,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge import constants as C
 from tidegauge import schemas as S
 from tidegauge.config import SiteConfig
 from tidegauge.operators import ingest
 from tidegauge.sinks import daily
 from tidegauge.sinks.scratch import staged
+from tidegauge.sources.landed import filter_pages
 
 
 @dataclass(frozen=True)
@@ -22,51 +22,72 @@ class Landed:
     """Flat source rows of a run; a source that was not pulled is None."""
 
     beacons: DataFrame | None = None
-    zone_log: DataFrame | None = None
+    zone_log: DataFrame | None = None  # request rows with all their dimensions
     keywords: DataFrame | None = None
     search_pages: DataFrame | None = None
     search_summary: DataFrame | None = None
     forums: DataFrame | None = None
+    zone_groups: DataFrame | None = None  # the request log as groups by one dimension each (read_zone)
+
+
+SCOPES = {
+    **dict.fromkeys(("referrers", "landing"), "measurement = 'rum'"),
+    **dict.fromkeys(("zone_pages", "zone_countries", "zone_status", "zone_bots"), "measurement = 'zone'"),
+    **dict.fromkeys(("keywords", "search_pages", "search_summary"), "property IS NOT NULL"),
+}
 
 
 def daily_tables(
     spark: SparkSession, config: SiteConfig, landed: Landed, start: dt.date, end: dt.date
 ) -> dict[str, DataFrame]:
-    """Every daily table that the run can fill.
+    """Every daily table that the run can fill, whole: lists are cut where a card is drawn.
 
-    Each raw source is read once: its rollup with grouping sets is written to the
-    shared folder, and the tables are cut out of that far smaller result.
+    Of each raw source the dates of the run are read, once: its rollup with grouping
+    sets is written to the shared folder, and the tables are taken from that far
+    smaller result.
     """
     tables: dict[str, DataFrame] = {}
-    totals = []
+    totals, measured = [], []
+
+    def of_the_run(rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("date").between(F.lit(start), F.lit(end)))
+
     if landed.beacons is not None:
-        known = ingest.resolve_hosts(landed.beacons, config.aliases_df(spark))
+        measured.append("rum")
+        known = ingest.resolve_hosts(of_the_run(landed.beacons), config.aliases_df(spark))
         counted = ingest.drop_excluded(known, config.exclude_df(spark))
         rolled = staged(ingest.beacon_rollup(counted), "beacons", "section")
         totals.append(
             ingest.beacon_traffic(rolled).withColumn("bytes", F.lit(0).cast("long"))
         )
         referrers = ingest.section(rolled, "referrers", "referrer", "visits")
-        ranked = ingest.top_referrers(referrers, C.STORED_REFERRERS, config.aliases_df(spark))
-        tables["referrers"] = ranked.drop("rank")
-        landing = ingest.section(rolled, "landing", "page", "visits", "views")
-        tables["landing"] = ingest.top_pages(landing, C.STORED_LANDING_PAGES).drop("rank")
-    if landed.zone_log is not None:
-        rolled = staged(ingest.zone_rollup(landed.zone_log), "zone", "section")
+        tables["referrers"] = ingest.with_kind(referrers, config.aliases_df(spark))
+        tables["landing"] = ingest.section(rolled, "landing", "page", "visits", "views")
+    if landed.zone_log is not None and landed.zone_groups is not None:
+        raise ValueError("the request log was landed in both forms, which would count it twice")
+    if landed.zone_log is not None or landed.zone_groups is not None:
+        measured.append("zone")
+        if landed.zone_log is not None:
+            rolled = ingest.zone_rollup(of_the_run(landed.zone_log))
+        else:
+            rolled = ingest.zone_rollup_from_groups(of_the_run(landed.zone_groups))
+        rolled = staged(rolled, "zone", "section")
         totals.append(ingest.zone_traffic(rolled))
-        tables["zone_pages"] = ingest.zone_top_paths(rolled).drop("rank")
-        tables["zone_countries"] = ingest.zone_top_countries(rolled).drop("rank")
-        tables["zone_status"] = ingest.zone_top_statuses(rolled).drop("rank")
+        tables["zone_pages"] = ingest.zone_paths(rolled)
+        tables["zone_countries"] = ingest.section(rolled, "zone_countries", "country", "visits")
+        tables["zone_status"] = ingest.section(rolled, "zone_status", "status", "requests")
         tables["zone_bots"] = ingest.section(rolled, "zone_bots", "category", "requests", "visits")
     if totals:
         traffic = totals[0] if len(totals) == 1 else totals[0].unionByName(totals[1])
-        tables["traffic"] = ingest.fill_sites(
-            traffic, config.sites_df(spark), start.isoformat(), end.isoformat()
-        )
+        # A source that was not pulled says nothing of its sites: their rows stay as stored.
+        pulled = config.sites_df(spark).where(F.col("measurement").isin(measured))
+        tables["traffic"] = ingest.fill_sites(traffic, pulled, start.isoformat(), end.isoformat())
     for name in ("keywords", "search_pages", "search_summary", "forums"):
         rows = getattr(landed, name)
         if rows is not None:
-            tables[name] = rows.select(*S.TABLES[name].fieldNames())
+            if name == "search_pages":
+                rows = filter_pages(rows, config.page_filters())
+            tables[name] = of_the_run(rows).select(*S.TABLES[name].fieldNames())
     return tables
 
 
@@ -98,11 +119,8 @@ def run_nightly(
         elif name == "traffic":
             measured = rows.join(scope, ["date", "host"], "left_semi")
             daily.upsert(spark, root, name, measured)
-        elif name in ("keywords", "search_pages", "search_summary"):
-            searchable = sites.where(F.col("property").isNotNull()).select("host")
-            daily.replace_scope(
-                spark, root, name, rows, scope.join(searchable, "host", "left_semi")
-            )
         else:
-            daily.replace_scope(spark, root, name, rows, scope)
+            # Only the sites that a table's source measures are in its scope.
+            own = sites.where(SCOPES[name])
+            daily.replace_scope(spark, root, name, rows, scope.join(own, "host", "left_semi"))
     daily.log_run(spark, root, run_at, end, notes)

@@ -73,6 +73,10 @@ class Report:
     def rows(self, name: str, first: str = "history_start") -> DataFrame:
         return self._domain(R.within(self.tables[name], self.periods, first))
 
+    def selected(self, name: str, first: str = "history_start") -> DataFrame:
+        """Rows of the selected sites alone; a table may hold hosts that are no longer configured."""
+        return self.rows(name, first).join(self.sites.select(*KEYS), KEYS, "left_semi")
+
     # ------------------------------------------------------------- base frames
 
     @cached_property
@@ -112,19 +116,19 @@ class Report:
 
     @cached_property
     def keywords(self) -> DataFrame:
-        return self.rows("keywords", "date")
+        return self.selected("keywords", "date")
 
     @cached_property
     def search_pages(self) -> DataFrame:
-        return self.rows("search_pages", "date")
+        return self.selected("search_pages", "date")
 
     @cached_property
     def search_history(self) -> DataFrame:
-        return self.rows("search_summary")
+        return self.selected("search_summary")
 
     @cached_property
     def search_latest(self) -> DataFrame:
-        return self.rows("search_summary", "date")
+        return self.selected("search_summary", "date")
 
     @cached_property
     def statuses(self) -> DataFrame:
@@ -146,8 +150,7 @@ class Report:
 
     @cached_property
     def opportunities(self) -> DataFrame:
-        deny = self.config.deny_df(self.tables.spark)
-        return O.opportunities(self.keywords, deny, self.opportunity_rules)
+        return O.opportunities(self.keywords, self.config.deny(self.tables.spark), self.opportunity_rules)
 
     @cached_property
     def opportunity_facts(self) -> DataFrame:

@@ -7,7 +7,7 @@ paths carry what the response itself does not say: ``date=YYYY-MM-DD``, and
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,23 +73,25 @@ def _search_row(row: Column) -> list[Column]:
     ]
 
 
-def _read_search(spark: SparkSession, paths, key: str, limit: int) -> DataFrame:
+def _read_search(spark: SparkSession, paths, key: str, limit: int | None) -> DataFrame:
     rows = (
         _json(spark, paths, S.SEARCH_RESPONSE)
         .select("date", "host", F.explode("rows").alias("r"))
         .select("date", "host", F.get("r.keys", F.lit(0)).alias(key), *_search_row(F.col("r")))
     )
+    if limit is None:
+        return rows
     order = [F.desc("clicks"), F.desc("impressions"), F.asc(key)]
     return top_n(rows, ["date", "host"], order, limit).drop("rank")
 
 
-def read_keywords(spark: SparkSession, paths, limit: int = C.STORED_KEYWORDS) -> DataFrame:
-    """Search rows by query, the first ``limit`` per site."""
+def read_keywords(spark: SparkSession, paths, limit: int | None = None) -> DataFrame:
+    """Search rows by query, all of them or the first ``limit`` per site."""
     return _read_search(spark, paths, "query", limit)
 
 
-def read_search_pages(spark: SparkSession, paths, limit: int = C.STORED_SEARCH_PAGES) -> DataFrame:
-    """Search rows by landing page, the first ``limit`` per site."""
+def read_search_pages(spark: SparkSession, paths, limit: int | None = None) -> DataFrame:
+    """Search rows by landing page, all of them or the first ``limit`` per site."""
     return _read_search(spark, paths, "page", limit)
 
 
@@ -135,10 +137,16 @@ def cap_groups(
     return top_n(df, keys, [F.desc(by), *[F.asc(c) for c in ties]], n).drop("rank")
 
 
-def filter_pages(df: DataFrame, page_filters: DataFrame, page: str = "page") -> DataFrame:
-    """Keep rows whose page URL matches the site's filter; sites without one keep all."""
-    return (
-        df.join(page_filters, "host", "left")
-        .where(F.col("page_filter").isNull() | F.rlike(F.col(page), F.col("page_filter")))
-        .drop("page_filter")
-    )
+def filter_pages(df: DataFrame, page_filters: Mapping[str, str], page: str = "page") -> DataFrame:
+    """Keep rows whose page URL matches the site's filter; sites without one keep all.
+
+    Filters are configuration, so each is a literal pattern, which is compiled once.
+    """
+    if not page_filters:
+        return df
+    by_pattern: dict[str, list[str]] = {}
+    for host, pattern in page_filters.items():
+        by_pattern.setdefault(pattern, []).append(host)
+    matches = [F.col("host").isin(hosts) & F.col(page).rlike(p) for p, hosts in by_pattern.items()]
+    free = F.col("host").isNull() | ~F.col("host").isin(list(page_filters))
+    return df.where(reduce(Column.__or__, matches, free))
