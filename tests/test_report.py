@@ -1,5 +1,7 @@
 """The report of the estate against its known answers."""
 
+import datetime as dt
+import json
 import statistics
 from dataclasses import replace
 
@@ -351,3 +353,38 @@ def test_export_is_nested_and_bounded(day_report, tmp_path, spark):
     assert [p.page for p in rows[X.SUBFLOOD].landing] == ["/wiki/Main_Page", "/sitemap.xml.gz", "/wiki/Other"]
     assert rows[X.ZONE].verified_requests == 3389
     assert len(rows[X.FLOODED].spark) == 14
+
+
+def rows_without(df, *columns):
+    return sorted((tuple(r) for r in df.drop(*columns).collect()), key=str)
+
+
+def test_several_report_dates_are_several_reports(spark, day_report):
+    """Every panel of three dates together is that of three single reports."""
+
+    last = day_report.periods.date
+    periods = [R.Period(last - dt.timedelta(n)) for n in (0, 2, 5)]
+    together = replace(day_report, periods=periods)
+    for name in ("totals", "forums", "digest", "digest_ranked", "coverage", "kinds", "site_rows"):
+        got = getattr(together, name)
+        for p in periods:
+            own = getattr(replace(day_report, periods=p), name)
+            mine = got.where(F.col("as_of") == F.lit(p.date)).select(*[c for c in own.columns if c != "as_of"])
+            assert rows_without(mine) == rows_without(own, "as_of"), (name, p)
+
+
+def test_document_has_every_part(spark, day_report):
+    rows = day_report.document().collect()
+    parts = {r.part for r in rows}
+    assert {"totals", "coverage", "traffic_trend", "search_trend", "site", "forum"} <= parts
+    sites = [r for r in rows if r.part == "site"]
+    assert len(sites) == day_report.sites.count() and all(r.as_of == day_report.periods.date for r in rows)
+
+    places = [json.loads(r.body)["place"] for r in rows if r.part == "signal"]
+    assert sorted(places) == list(range(1, len(places) + 1))
+
+
+def test_result_of_a_run(day_report):
+    result = day_report.run_result(["gsc pages a: 403"], ["a"]).first()
+    assert (result.date, result.search_ok, result.failed_hosts) == (day_report.periods.date, False, "a")
+    assert result.human_visits == day_report.digest.first().human_visits

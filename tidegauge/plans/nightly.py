@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tidegauge import schemas as S
 from tidegauge.config import SiteConfig
 from tidegauge.operators import ingest
+from tidegauge.operators.reads import Period
+from tidegauge.plans.report import Report, Tables
 from tidegauge.sinks import daily
 from tidegauge.sinks.scratch import staged
 from tidegauge.sources.landed import filter_pages
@@ -101,10 +103,11 @@ def run_nightly(
     run_at: dt.datetime,
     notes: Sequence[str] = (),
     failed_hosts: Sequence[str] = (),
-) -> None:
-    """Fill the daily tables for the dates of a run and record it.
+) -> DataFrame:
+    """Fill the daily tables for the dates of a run, record it, and give its result.
 
-    Hosts whose pull failed are left out of every scope, so their stored rows
+    The result (one row: sessions of the last date, first alert, notes) is computed
+    from the stored tables when it is asked for. Hosts whose pull failed are left out of every scope, so their stored rows
     stay. Without a search source the search tables are not touched.
     """
     tables = daily_tables(spark, config, landed, start, end)
@@ -124,3 +127,4 @@ def run_nightly(
             own = sites.where(SCOPES[name])
             daily.replace_scope(spark, root, name, rows, scope.join(own, "host", "left_semi"))
     daily.log_run(spark, root, run_at, end, notes)
+    return Report(Tables.stored(spark, root), config, Period(end)).run_result(notes, failed_hosts)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
-from functools import cached_property, partial
+from dataclasses import dataclass, field, replace
+from functools import cached_property, partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegauge import schemas as S
 from tidegauge.config import FloodRules, OpportunityRules, SignalRules, SiteConfig
+from tidegauge.operators import digest as D
 from tidegauge.operators import floods as E
+from tidegauge.operators import forums as K
 from tidegauge.operators import opportunities as O
 from tidegauge.operators import reads as R
 from tidegauge.operators import signals as H
@@ -89,7 +92,9 @@ class Report:
 
     @cached_property
     def kinds(self) -> DataFrame:
-        return R.kinds_by_day(self.rows("referrers"))
+        """Sessions by channel. Grouped before the days are given to their report dates."""
+        by_day = R.kinds_by_day(self._domain(self.tables["referrers"]))
+        return R.within(by_day, self.periods)
 
     @cached_property
     def split(self) -> DataFrame:
@@ -202,11 +207,68 @@ class Report:
     def signals(self, rules: Sequence[str] = H.ALL_RULES) -> DataFrame:
         return H.signals(self.facts(rules), self.signal_rules, self.days, rules)
 
+    @cached_property
+    def ranked_signals(self) -> DataFrame:
+        """All signals with their place among those of the report date."""
+        order = [F.col("severity"), F.desc("weight"), F.col("host"), F.col("rule_order")]
+        place = F.row_number().over(W.partitionBy("as_of").orderBy(*order))
+        return self.signals().withColumn("place", place)
+
     # ------------------------------------------------------------------ totals
 
+    def by_period(self, make: Callable[[Report], DataFrame]) -> DataFrame:
+        """A panel over all sites. Of several report dates, each has its own, tagged ``as_of``."""
+        if isinstance(self.periods, R.Period):
+            return make(self)
+        dated = [make(replace(self, periods=p)).withColumn("as_of", F.lit(p.date)) for p in self.periods]
+        return reduce(DataFrame.unionByName, dated)
+
     @cached_property
     def totals(self) -> DataFrame:
-        """One row with every total over all selected sites."""
+        """One row (per report date) with every total over all selected sites."""
+        return self.by_period(Report._totals)
+
+    @cached_property
+    def traffic_trend(self) -> DataFrame:
+        return self.by_period(lambda r: T.last_dates(T.traffic_trend(r.split, r.kinds, r.sites)))
+
+    @cached_property
+    def search_trend(self) -> DataFrame:
+        return self.by_period(lambda r: T.last_dates(T.search_trend(r.search_history)))
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        """Stored days of the period and the one before, first day, and a note when days are missing."""
+        def of(r: Report) -> DataFrame:
+            found = R.dates_available(self.tables["traffic"], r.periods)
+            return found.withColumn("note", T.coverage_note("days_available", r.days))
+
+        return self.by_period(of)
+
+    @cached_property
+    def forums(self) -> DataFrame:
+        """Activity of every configured forum."""
+        forums = self.config.forums_df(self.tables.spark)
+        return self.by_period(lambda r: K.forum_report(forums, R.within(r.tables["forums"], r.periods)))
+
+    @cached_property
+    def digest(self) -> DataFrame:
+        return self.by_period(lambda r: D.daily_digest(r.split, r.sites))
+
+    @cached_property
+    def digest_ranked(self) -> DataFrame:
+        return self.by_period(lambda r: D.digest_ranked(r.split, r.sites))
+
+    def run_result(self, notes: Sequence[str] = (), failed_hosts: Sequence[str] = ()) -> DataFrame:
+        """Outcome of the nightly run of the report date, one row."""
+        if not isinstance(self.periods, R.Period):
+            raise ValueError("a run has one date")
+        today = self.rows("traffic", "date").join(self.sites.select(*KEYS), KEYS, "left_semi")
+        alert = H.top_alert(self.signals())
+        date = F.lit(self.periods.date)
+        return D.run_result(today, self.digest, alert, date, tuple(notes), tuple(failed_hosts))
+
+    def _totals(self) -> DataFrame:
         one = F.lit(1).alias("one")
         zone = T.zone_totals(self.traffic).withColumnsRenamed(
             {c: f"zone_{c}" for c in ("visits", "requests", "bytes", "sites", "hosts")}
@@ -241,6 +303,7 @@ class Report:
             return card.groupBy(*KEYS).agg(rows.alias(name))
 
         search = ("clicks", "impressions", "ctr", "position")
+        zone_sites = self.sites.where(F.col("measurement") == "zone").select(*KEYS)
         files = P.file_card(self.rows("zone_pages", "start"))
         countries = P.country_card(self.rows("zone_countries", "date"))
         statuses = self.rows("zone_status", "date")
@@ -254,10 +317,38 @@ class Report:
             nested(countries, "countries", "country", "visits"),
             nested(P.status_card(statuses), "statuses", "status", "requests"),
             P.sparkline(self.split).groupBy(*KEYS).agg(spark.alias("spark")),
-            Z.verified_bots(self.rows("zone_bots", "date")),
+            Z.verified_bots(self.rows("zone_bots", "date"), zone_sites),
             Z.non_content_totals(self.rows("zone_pages", "date"), statuses),
         ]
         report = self.site_rows
         for part in lists:
             report = report.join(part, KEYS, "left")
         return report
+
+    def document(self) -> DataFrame:
+        """The whole report as JSON documents: (as_of, part, host, body), a row per entry.
+
+        Parts are totals, coverage, run, traffic_trend, search_trend, signal (in order of
+        their rank in the body), forum, site, opportunity and verified_category. Entries
+        stay rows, so that no part is gathered in one task.
+        """
+        parts = {
+            "totals": self.totals,
+            "coverage": self.coverage,
+            "run": self.tables["runs"].orderBy(F.desc("run_at")).limit(1),
+            "traffic_trend": self.traffic_trend,
+            "search_trend": self.search_trend,
+            "signal": self.ranked_signals,
+            "forum": self.forums,
+            "site": self.export(),
+            "opportunity": O.rank_opportunities(self.opportunities),
+            "verified_category": Z.verified_categories(self.rows("zone_bots", "date").join(self.sites.select(*KEYS), KEYS, "left_semi")),
+        }
+        only = self.periods.date if isinstance(self.periods, R.Period) else None
+        rows = []
+        for name, part in parts.items():
+            as_of = F.col("as_of") if "as_of" in part.columns else F.lit(only).cast("date")
+            host = F.col("host") if "host" in part.columns else F.lit(None).cast("string")
+            body = F.to_json(F.struct(*[c for c in part.columns if c != "as_of"]))
+            rows.append(part.select(as_of.alias("as_of"), F.lit(name).alias("part"), host.alias("host"), body.alias("body")))
+        return reduce(DataFrame.unionByName, rows)

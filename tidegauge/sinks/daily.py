@@ -68,9 +68,15 @@ def replace_scope(
 
 
 def upsert(spark: SparkSession, root: str, name: str, rows: DataFrame) -> None:
-    """Insert rows, or put them in place of the stored rows with the same key."""
+    """Insert rows, or put them in place of the stored rows with the same key.
+
+    Of incoming rows with one key the largest, column by column, is stored.
+    """
     keys = list(S.KEYS[name])
-    rows = staged(rows.select(*S.TABLES[name].fieldNames()), f"new-{name}")
+    fields = S.TABLES[name].fieldNames()
+    rest = [c for c in fields if c not in keys]
+    one = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("one")).select(*keys, "one.*")
+    rows = staged(one.select(*fields), f"new-{name}")
     dates = _touched_dates(rows)
     if not dates:
         return
