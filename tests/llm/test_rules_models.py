@@ -1,6 +1,7 @@
 """Quality rules, both classifiers, licenses, archives and page texts."""
 
 import base64
+import gzip
 import hashlib
 import math
 import re
@@ -214,6 +215,9 @@ def test_archives(spark, tmp_path):
             for r in own:
                 done += bytes(r.data)
                 assert r.payload_digest == base64.b32encode(hashlib.sha1(done).digest()).decode()
+    # Any reader of gzip members can read them.
+    whole = b"".join(gzip.open(f).read() for f in (tmp_path / "a").glob("*.warc.gz"))
+    assert whole.count(b"WARC/1.1\r\nWARC-Type: ") == len(pages)
     # Below the least size nothing is a revisit; no pages, no records.
     assert {r.record_type for r in warc.archived(df, "page_id", "url", "html", f"file://{tmp_path}/b", least=10**6).collect()} == {"response"}
     assert warc.archived(df.where("false"), "page_id", "url", "html", f"file://{tmp_path}/c").collect() == []

@@ -2,7 +2,7 @@
 
 A payload is never one cell of a Python batch: it is a sequence of rows (record, chunk
 number, at most ``CHUNK`` bytes). A writing task takes the chunk rows of its records in
-order and appends them to its archive, which rolls over at ``archive_bytes``. A reading
+order and appends them to its archive, a gzip member per record, which rolls over at ``archive_bytes``. A reading
 task walks an archive with one small buffer and gives chunk rows back, each with the
 SHA-1 of the payload so far, so the last chunk of a record has the whole digest.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -94,7 +95,7 @@ def write(chunks: DataFrame, folder: str, archive_bytes: int = 256 << 20) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        out, name, records, used = None, "", 0, 0
+        out, member, name, records, used = None, None, "", 0, 0
 
         def listed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([records]), pa.array([used])], ["archive", "records", "bytes"])
@@ -109,16 +110,19 @@ def write(chunks: DataFrame, folder: str, archive_bytes: int = 256 << 20) -> Dat
                             yield listed()
                             out = None
                         if out is None:
-                            name, records, used = f"{uuid.uuid4().hex}.warc", 0, 0
-                            out = store.open_output_stream(f"{root}/{name}")
-                        head = headers(row)
-                        out.write(head)
-                        records, used = records + 1, used + len(head)
-                    out.write(row["data"])
-                    used += len(row["data"])
+                            name, records, used = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                            # Arrow would compress a .gz file once more, as a whole.
+                            out = store.open_output_stream(f"{root}/{name}", compression=None)
+                        member = zlib.compressobj(wbits=31)
+                        part = member.compress(headers(row))
+                        records += 1
+                    else:
+                        part = b""
+                    part += member.compress(row["data"])
                     if row["chunk_no"] == row["n_chunks"] - 1:
-                        out.write(b"\r\n\r\n")
-                        used += 4
+                        part += member.compress(b"\r\n\r\n") + member.flush()
+                    out.write(part)
+                    used += len(part)
         if out is not None:
             out.close()
             yield listed()
@@ -126,6 +130,30 @@ def write(chunks: DataFrame, folder: str, archive_bytes: int = 256 << 20) -> Dat
     return map_arrow(chunks, run, "archive string, records bigint, bytes bigint")
 
 
+class Members:
+    """The bytes of a file of gzip members one after another, some at a time."""
+
+    def __init__(self, stream):
+        self.stream, self.zip = stream, None
+
+    def read(self, n: int) -> bytes:
+        """``n`` bytes, or fewer at the end of the file."""
+        out = b""
+        while len(out) < n:
+            if self.zip is None or self.zip.eof:
+                raw = (self.zip.unused_data if self.zip else b"") or self.stream.read(CHUNK)
+                if not raw:
+                    break
+                self.zip = zlib.decompressobj(31)
+            else:
+                raw = self.zip.unconsumed_tail or self.stream.read(CHUNK)
+            more = self.zip.decompress(raw, n - len(out))
+            if not raw and not more and not self.zip.eof:
+                raise ValueError("the archive ends within a record")
+            out += more
+        return out
+
+
 class Walk:
     """An archive read forward with a buffer of about one chunk."""
 
@@ -162,7 +190,7 @@ def fields(head: bytes) -> dict[str, str]:
 
 def chunks_of(stream, chunk: int = CHUNK) -> Iterator[dict]:
     """Chunk rows of an archive; a digest that differs from the header is an error."""
-    walk = Walk(stream)
+    walk = Walk(Members(stream))
     while head := walk.until(b"\r\n\r\n"):
         own = fields(head)
         http = walk.until(b"\r\n\r\n")
@@ -206,7 +234,7 @@ def read(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for archive in batch.column("archive").to_pylist():
                 store, path = fs.FileSystem.from_uri(archive)
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     rows = []
                     for row in chunks_of(stream):
                         rows.append(row)
