@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tidegauge.llm.labelled import sample
 from tidegauge.llm.rows import map_rows
 
-PER_CLASS, MAX_BYTES = 4000, 24 << 20
+PER_CLASS, MAX_BYTES = 4000, 14 << 20
 BITS = 18
 #: Longest sequence of one training step; neighbours of a cut do not see each other.
 STEP = 256
@@ -55,14 +55,18 @@ def features(word: str) -> list[int]:
 
 def toxic_forms(texts: list[list[str]], labels: list[int], odds: float = 12.0, least: int = 4) -> set[str]:
     """Words and beginnings that are far more frequent in toxic documents."""
-    counts = [Counter(), Counter()]
+    toxic = Counter()
     for words, y in zip(texts, labels):
-        counts[y].update({form for w in set(words) for form in beginnings(w)})
+        if y:
+            toxic.update({form for w in set(words) for form in beginnings(w)})
+    toxic = {form: n for form, n in toxic.items() if n >= least}
+    # Of the others only the forms that could be chosen are counted.
+    clean = Counter()
+    for words, y in zip(texts, labels):
+        if not y:
+            clean.update({form for w in set(words) for form in beginnings(w)}.intersection(toxic))
     n0, n1 = labels.count(0), labels.count(1)
-    return {
-        form for form, n in counts[1].items()
-        if n >= least and (n / n1) > odds * ((counts[0][form] + 0.5) / n0)
-    }
+    return {form for form, n in toxic.items() if (n / n1) > odds * ((clean[form] + 0.5) / n0)}
 
 
 class Field:
