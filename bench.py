@@ -26,7 +26,7 @@ HEADLINES = [
     # decisions
     "h1_error_spike", "h7_traffic_drop", "x4_recurrence", "k1_forum_report", "l1_daily_digest",
     # whole reports, by way of the stored tables
-    "f17_site_report_7d", "h10_rank_signals_7d", "t_report_totals", "s2_replace_scope",
+    "f17_site_report_7d", "h10_rank_signals_7d", "t_report_totals", "s2_replace_scope", "s5_json_export",
 ]
 
 
