@@ -298,7 +298,8 @@ def _(v):
 
 @query("m2_country_share", sql(
     f"SELECT host, country, visits, round(visits / sum(visits) OVER (PARTITION BY host), 6) AS share,"
-    f" {BAR.format('visits', 'max(visits) OVER (PARTITION BY host)')} AS bar FROM zone_countries WHERE date = DATE '2024-01-30'"))
+    f" {BAR.format('visits', 'max(visits) OVER (PARTITION BY host)')} AS bar FROM "
+    + top("zone_countries", "date, host", "visits DESC, country", 10) + " WHERE date = DATE '2024-01-30'"))
 def _(v):
     card = P.country_card(v.report().rows("zone_countries", "date"))
     return M.country_share(card).select("host", "country", "visits", "share", "bar")
