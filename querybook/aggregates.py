@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from querybook.registry import query
+from querybook.registry import placed, query
 from querybook.sql import DATE, OPPORTUNITIES, classified, ctr_case, non_content, site_rows, sql, top
 from querybook.views import CONFIG, FLOOD_RULES, LAST, WITH_IDLE
 from tidegauge.functions import scalars as D
@@ -270,11 +270,11 @@ for _sort, _by in {
 }.items():
 
     @query(f"f16_site_order_{_sort}", sql(
-        f"SELECT host, measurement, visits, round(delta, 6) AS delta FROM sr ORDER BY measurement <> 'rum', {_by}",
+        f"SELECT host, measurement, visits, round(delta, 6) AS delta, row_number() OVER (ORDER BY measurement <> 'rum', {_by}) AS place FROM sr",
         classified(), site_rows(7)))
     def _(v, sort=_sort):
         columns = ["host", "measurement", "visits", "delta"]
-        return P.site_order(v.report(7).traffic.select(*columns), sort)
+        return placed(P.site_order(v.report(7).traffic.select(*columns), sort))
 
 
 OPP_COUNTS = """counts AS (SELECT host, count(*) FILTER (WHERE kind = 'snippet') AS snippet_count,

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from querybook.registry import query
+from querybook.registry import placed, query
 from querybook.sql import DATE, WINDOW, classified, site_rows, sql, top
 from querybook.sources import land_zone
 from querybook.views import CONFIG, LAST
@@ -334,16 +334,18 @@ def _(v):
 
 
 @query("r6_keywords_latest", sql(
-    f"SELECT {DATE}, host, query, clicks, impressions, position, search_window FROM keywords WHERE date = DATE '2024-01-30'"))
+    f"SELECT {DATE}, host, query, clicks, impressions, position, search_window,"
+    " row_number() OVER (ORDER BY clicks DESC, impressions DESC, host, query) AS place FROM keywords WHERE date = DATE '2024-01-30'"))
 def _(v):
-    return R.by_clicks(R.latest(v.keywords, WEEK), "query").drop("as_of")
+    return placed(R.by_clicks(R.latest(v.keywords, WEEK), "query").drop("as_of"))
 
 
 @query("r7_search_pages_latest", sql(
-    f"SELECT {DATE}, host, page, clicks, impressions, round(ctr, 6) AS ctr, round(position, 6) AS position, search_window"
+    f"SELECT {DATE}, host, page, clicks, impressions, round(ctr, 6) AS ctr, round(position, 6) AS position, search_window,"
+    " row_number() OVER (ORDER BY clicks DESC, impressions DESC, host, page) AS place"
     " FROM search_pages WHERE date = DATE '2024-01-30'"))
 def _(v):
-    return R.by_clicks(R.latest(v.search_pages, WEEK), "page").drop("as_of")
+    return placed(R.by_clicks(R.latest(v.search_pages, WEEK), "page").drop("as_of"))
 
 
 @query("r8_search_summary_history", sql(
@@ -359,10 +361,11 @@ def _(v):
 
 
 @query("r10_zone_countries_latest", sql(
-    f"SELECT {DATE}, host, country, visits FROM zone_countries WHERE date = DATE '2024-01-30'"))
+    f"SELECT {DATE}, host, country, visits, row_number() OVER (ORDER BY visits DESC, host, country) AS place"
+    " FROM zone_countries WHERE date = DATE '2024-01-30'"))
 def _(v):
     rows = R.latest(v.tables["zone_countries"], WEEK).drop("as_of")
-    return rows.orderBy(F.desc("visits"), "host", "country")
+    return placed(rows.orderBy(F.desc("visits"), "host", "country"))
 
 
 @query("r11_zone_status_history", sql(f"SELECT {DATE}, host, status, requests FROM zone_status"))
@@ -372,10 +375,11 @@ def _(v):
 
 
 @query("r12_zone_bots_latest", sql(
-    f"SELECT {DATE}, host, category, requests, visits FROM zone_bots WHERE date = DATE '2024-01-30'"))
+    f"SELECT {DATE}, host, category, requests, visits, row_number() OVER (ORDER BY requests DESC, host, category) AS place"
+    " FROM zone_bots WHERE date = DATE '2024-01-30'"))
 def _(v):
     rows = R.latest(v.tables["zone_bots"], WEEK).drop("as_of")
-    return rows.orderBy(F.desc("requests"), "host", "category")
+    return placed(rows.orderBy(F.desc("requests"), "host", "category"))
 
 
 @query("r13_forum_history", sql(

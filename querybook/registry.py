@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,12 @@ def out(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """The rows with their place in the order that they come in, so that it is compared too."""
+    numbered = df.withColumn("__at", F.monotonically_increasing_id())
+    return numbered.withColumn("place", F.row_number().over(W.orderBy("__at"))).drop("__at")
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(views) -> DataFrame`` under ``name``, with its SQL twin."""
 
