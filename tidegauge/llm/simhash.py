@@ -39,6 +39,15 @@ SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 SEED = 42
 
 
+def chain_mask(first: int, n: int) -> int:
+    """The bits of ``n`` consecutive segments of the ring."""
+    return sum(((1 << width) - 1) << low for low, width in (SEGMENTS[(first + j) % len(SEGMENTS)] for j in range(n)))
+
+
+#: Length of a chain -> its bits, by its first segment.
+CHAINS = {n: np.array([chain_mask(i, n) for i in range(len(SEGMENTS))], np.uint64) for n in (2, 3, 4)}
+
+
 def shingle_hashes(text: str | None, words: int = 4) -> np.ndarray:
     """XXH64 of every shingle, repeats included; A-Z in lower case."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -93,8 +102,7 @@ def close(a: np.ndarray, b: np.ndarray, segment: np.ndarray | int, threshold: in
     """Which pairs link: chains from ``segment`` within their budgets, then all bits."""
     x = a ^ b
     good = np.ones(x.shape, bool)
-    masks = [np.array([sum((((1 << SEGMENTS[(i + j) % 5][1]) - 1) << SEGMENTS[(i + j) % 5][0]) for j in range(n)) for i in range(5)], np.uint64) for n in range(2, 5)]
-    for n, mask in zip(range(2, 5), masks):
+    for n, mask in CHAINS.items():
         at = np.flatnonzero(good)
         if not len(at):
             return good
