@@ -36,7 +36,7 @@ LONG_PIECE = 512
 PLAIN_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 NOT_PLAIN = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]").search
 #: Distinct pieces and their bytes that a worker remembers before it starts anew.
-MEMORY_PIECES, MEMORY_BYTES = 600_000, 12 << 20
+MEMORY_PIECES, MEMORY_BYTES = 200_000, 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -48,7 +48,7 @@ def kind(token: str) -> int:
 
 def kinds(text: str | None) -> np.ndarray:
     tokens = TOKEN.findall(text) if text else []
-    if len(SEEN) > 400_000:
+    if len(SEEN) > 200_000:
         SEEN.clear()
     for t in set(tokens).difference(SEEN):
         SEEN[t] = kind(t)

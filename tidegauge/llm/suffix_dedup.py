@@ -37,7 +37,7 @@ from tidegauge.llm.rows import map_arrow, numbered, restored, staged
 
 LENGTH, ANCHOR = 200, 80
 #: Bytes that are hashed, or sorted, at a time.
-CHUNK, BLOCK = 1 << 20, 1 << 20
+CHUNK, BLOCK = 1 << 19, 1 << 19
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 BASE = 0x9E3779B97F4A7C15 | 1
 RUN = "h bigint, g bigint, t1 bigint, t2 bigint, start int, n int"

@@ -81,7 +81,7 @@ class Field:
         return float(self.w[features(word)].sum())
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > 400_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         for word in set(words).difference(self.known):
             self.known[word] = self.emission(word)
@@ -171,7 +171,7 @@ class Model:
         while k < len(order):
             group = order[k : k + 512]
             # Not more than a few million cells at a time.
-            while len(group) > 1 and len(texts[group[-1]]) * len(group) > 1 << 19:
+            while len(group) > 1 and len(texts[group[-1]]) * len(group) > 1 << 18:
                 group = group[: len(group) // 2]
             sizes = np.array([len(texts[i]) for i in group])
             flat = self.field.emissions([w for i in group for w in texts[i]])
