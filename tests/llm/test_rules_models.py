@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -14,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidegauge.llm import html_text, licenses, quality_model, quality_rules, toxicity, warc
+from tidegauge.llm.labelled import sample
 
 BLANK = r"[^\x20\x09-\x0D]+"
 
@@ -127,6 +129,27 @@ def test_models_without_both_labels(odd_docs, no_docs, labels, spark):
         assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_long_texts_end_no_sample(spark):
+    """Each label has its own bytes, and what does not fit is passed over."""
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in ids], "doc_id long, y int")
+    first = [r.doc_id for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    long = {first[0], first[5], *[i for i in first if i % 4 == 0][:1]}
+    texts = {i: "w" * 5000 if i in long else f"text {i:04d}" for i in ids}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    short = [(texts[i], int(i % 4 == 0)) for i in first if i not in long]
+    assert sample(docs, "doc_id", "text", known, "y", 4000, 4000) == short
+    # Ten short texts of each label, and neither label takes the bytes of the other.
+    got = sample(docs, "doc_id", "text", known, "y", 4000, 95)
+    assert sorted(got) == sorted(r for y in (0, 1) for r in [x for x in short if x[1] == y][:10])
+    # Repeated rows of one id count as rows of its label alone.
+    more = docs.union(docs.where(F.col("doc_id") == next(i for i in first if i % 4 and i not in long)).crossJoin(spark.range(50)).select("doc_id", "text"))
+    assert sum(y for _, y in sample(more, "doc_id", "text", known, "y", 20, 4000)) == 20
+    assert sample(docs, "doc_id", "text", known, "y", 4000, 5) == []
+    # Nor do long texts and labels without a text take the places of others.
+    assert Counter(y for _, y in sample(docs, "doc_id", "text", known, "y", 7, 4000)) == {0: 7, 1: 7}
+
+
 def test_context_sums_are_sums_over_pairs(spark):
     texts = ["a b c a", "b", None, "", "c c"]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")

@@ -14,23 +14,29 @@ def held_out(doc_id):
 
 
 def sample(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label: str, per_class: int, max_bytes: int) -> list[tuple[str, int]]:
-    """(text, label) of at most ``per_class`` learnable rows per label and ``max_bytes`` in all.
+    """(text, label) of at most ``per_class`` learnable rows and ``max_bytes`` of text per label.
 
-    The bound holds for the fit alone. Ids are drawn by hash before any text is read;
-    rows without an id, label or text, and the held-out fold, are left out. Repeated
-    rows stay within the bound as rows.
+    The bounds hold for the fit alone, and for each label by itself. Rows are drawn by the
+    hash of the id, repeated ones as rows of their own; rows without an id, label or text,
+    and the held-out fold, are left out. A text that is longer than what is left of its
+    label's bytes is passed over; the rows after it are still taken.
     """
-    known = columns(labels, id="doc_id", y=label).where(
-        F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))
-    ).withColumn("h", F.xxhash64("id"))
-    some = known.where("y = 0").orderBy("h", "id").limit(per_class).union(known.where("y = 1").orderBy("h", "id").limit(per_class))
-    rows = columns(docs, id=doc_id, text=text).where(F.col("text").isNotNull()).join(F.broadcast(some), "id")
-    kept = staged(rows.select("h", "id", "y", "text"), "labelled")
-    # A very long text, or repeated rows of one id, must not break the bound.
-    out, used = [], 0
-    for row in kept.orderBy("h", "id", F.xxhash64("text")).limit(2 * per_class).toLocalIterator():
-        used += len(row.text.encode("utf-8", "surrogatepass"))
-        if used > max_bytes:
-            break
-        out.append((row.text, int(row.y)))
-    return out
+    known = columns(labels, id="doc_id", y=label).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    texts = columns(docs, id=doc_id, text=text).select("id", "text", F.xxhash64("text").alias("t"), F.octet_length("text").alias("n"))
+    # Drawn by length, so that the driver gets no text but those that are learnt from.
+    short = texts.where(F.col("n") <= max_bytes).drop("text").join(known.withColumn("h", F.xxhash64("id")), "id")
+    short = staged(short.select("h", "id", F.col("y").cast("int").alias("y"), "t", "n"), "labelled")
+    drawn: list[tuple[int, int, int, int, int]] = []
+    for y in (0, 1):
+        left = max_bytes
+        for place, row in enumerate(short.where(F.col("y") == y).orderBy("h", "id", "t").limit(per_class).collect()):
+            if row.n <= left:
+                left -= row.n
+                drawn.append((row.h, y, place, row.t, row.n))
+    if not drawn:
+        return []
+    keys = docs.sparkSession.createDataFrame(list({d[3:] for d in drawn}), "t long, n int")
+    found = texts.select("t", "n", "text").join(F.broadcast(keys), ["t", "n"]).dropDuplicates(["t", "n"])
+    text_of = {(r.t, r.n): r.text for r in found.toLocalIterator()}
+    # In the order of the hash, both labels mixed.
+    return [(text_of[t, n], y) for _, y, _, t, n in sorted(drawn)]

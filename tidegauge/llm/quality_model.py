@@ -9,7 +9,7 @@ bounded labelled sample, gives a logit, whose temperature is set on a part of th
 that the network has not seen.
 
 The vectors and the network have fixed sizes and are broadcast. The fit uses at most
-``PER_CLASS`` rows per label and ``MAX_BYTES`` of text; vectors use all texts, and whole
+``PER_CLASS`` rows and ``MAX_BYTES`` of text per label; vectors use all texts, and whole
 texts are scored. A null or empty text has a zero vector and the network's score for it.
 With labels of one kind only, every score is the share of label 1 (0 without labels).
 """

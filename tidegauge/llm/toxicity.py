@@ -9,8 +9,8 @@ backward marginals. A document's score comes from its marginals (expected number
 toxic words, their share, the largest one) by a logistic function fitted on the same
 rows. Spans are runs of words whose marginal is over one half, as character offsets.
 
-The fit uses at most ``PER_CLASS`` labelled rows per label and ``MAX_BYTES`` of text
-(the model has a fixed size and is broadcast); every text is scored whole.
+The fit uses at most ``PER_CLASS`` labelled rows and ``MAX_BYTES`` of text per label (the
+model has a fixed size and is broadcast); every text is scored whole.
 
 Null and empty texts, and texts without a letter, have no spans and the score of no
 evidence. Where there are no labelled rows of both kinds, every score is the share of
@@ -208,7 +208,9 @@ def fit(rows: list[tuple[str, int]], share: float | None = None) -> Model:
         # One kind of label only: a constant score.
         rate = (sum(labels) + 0.0) / max(1, len(labels))
         return Model(Field(), [30.0 if rate else -30.0, 0.0, 0.0, 0.0])
-    texts = [words_of(t) for t, _ in rows]
+    # One object per distinct word: the texts of the sample repeat few words.
+    same: dict[str, str] = {}
+    texts = [[same.setdefault(w, w) for w in words_of(t)] for t, _ in rows]
     forms = toxic_forms(texts, labels)
     marked: dict[str, bool] = {}
 
