@@ -111,6 +111,23 @@ def test_toxic_words_are_found_and_scored(spark):
     assert got[3].score == got[4].score == got[5].score < 0.5
 
 
+def test_scores_do_not_follow_the_balance_of_the_sample(spark):
+    """The mean score of a sample with as many toxic rows as others is that of the labels."""
+    ids = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 != 1]
+    # A word that half of the toxic documents and some of the others have.
+    rows = [(i, int(i % 10 == 0), "wabx wbax " + ("blockhead " if i % 20 == 0 or i % 101 == 1 else "") + f"wcax w{i % 7}x") for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, toxic int, text string")
+    share = sum(y for _, y, _ in rows) / len(rows)
+    means = []
+    for most in (4000, 30):
+        model = toxicity.learn(df, "doc_id", "text", df, per_class=most)
+        means.append(toxicity.score(df, "text", model).agg(F.avg("score")).first()[0])
+    assert all(abs(m - share) < 0.06 for m in means), (means, share)
+    # Too long to be learnt from: the share of the labels, not that of what is left.
+    none = df.withColumn("text", F.when(F.col("toxic") == 0, F.repeat("text", 100)).otherwise(F.col("text")))
+    assert abs(toxicity.learn(none, "doc_id", "text", df, max_bytes=500).score(np.zeros(0)) - share) < 1e-9
+
+
 def test_long_texts_take_part_as_a_whole():
     model = toxicity.fit(made_texts())
     p = model.marginals([["wabx"] * 30_000 + ["blockhead"], ["wabx"], []])

@@ -7,14 +7,15 @@ The field has two states, hashed features of the word itself (the word, beginnin
 endings) and transitions; it is trained on whole texts by gradient steps over forward-
 backward marginals. A document's score comes from its marginals (expected number of
 toxic words, their share, the largest one) by a logistic function fitted on the same
-rows. Spans are runs of words whose marginal is over one half, as character offsets.
+rows, and shifted from the sample's share of toxic rows to that of all learnable labels,
+so that a score means the same at every size. Spans are runs of words whose marginal is over one half, as character offsets.
 
 The fit uses at most ``PER_CLASS`` labelled rows and ``MAX_BYTES`` of text per label (the
 model has a fixed size and is broadcast); every text is scored whole.
 
 Null and empty texts, and texts without a letter, have no spans and the score of no
 evidence. Where there are no labelled rows of both kinds, every score is the share of
-toxic ones (0 if there are none).
+toxic ones among the learnable labels (0 if there are none).
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.labelled import sample
-from tidegauge.llm.rows import map_rows
+from tidegauge.llm.labelled import held_out, sample
+from tidegauge.llm.rows import columns, map_rows
 
 PER_CLASS, MAX_BYTES = 4000, 14 << 20
 BITS = 18
@@ -206,8 +208,8 @@ def fit(rows: list[tuple[str, int]], share: float | None = None) -> Model:
     labels = [y for _, y in rows]
     if len(set(labels)) < 2:
         # One kind of label only: a constant score.
-        rate = (sum(labels) + 0.0) / max(1, len(labels))
-        return Model(Field(), [30.0 if rate else -30.0, 0.0, 0.0, 0.0])
+        rate = (sum(labels) + 0.0) / max(1, len(labels)) if share is None else share
+        return Model(Field(), [30.0 if rate >= 1 else -30.0 if rate <= 0 else math.log(rate / (1 - rate)), 0.0, 0.0, 0.0])
     # One object per distinct word: the texts of the sample repeat few words.
     same: dict[str, str] = {}
     texts = [[same.setdefault(w, w) for w in words_of(t)] for t, _ in rows]
@@ -234,7 +236,8 @@ def fit(rows: list[tuple[str, int]], share: float | None = None) -> Model:
 
 
 def learn(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> Model:
-    return fit(sample(docs, doc_id, text, labels, label, per_class, max_bytes))
+    known = columns(labels, id="doc_id", y=label).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    return fit(sample(docs, doc_id, text, labels, label, per_class, max_bytes), known.agg(F.avg("y")).first()[0])
 
 
 def score(docs: DataFrame, text: str, model: Model, keep: list[str] | None = None) -> DataFrame:
