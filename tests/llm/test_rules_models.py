@@ -277,6 +277,20 @@ def test_page_texts(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<style>@media print{ .no-print, nav {display:none}} @media (max-width:600px){.s{display:none}} @supports (x:y){b{display:none}}.h{display:none}</style><nav>n</nav><p class=no-print>p<p class=s>s<p class=h>no<p><b>b</b>", "n\n\np\n\ns\n\nb"),
+    ("<style>@import 'x.css'; @media screen { .a{color:red;display:none} } @media screen and (max-width:9px){.b{display:none}} @media print, all{.c{display:none}}</style><i class=a>no</i><i class=b>b</i><i class=c>no</i>", "b"),
+    ("<style media=print>p{display:none}</style><style>/* } */ .q::before{content:'}'} .r{&:hover{display:none}} .t{display:none;&:hover{color:red}}</style><p>p<p class=r>r<p class=t>no", "p\n\nr"),
+    ("<style>@media print{.a{display:none}</style><noscript><style>.b{display:none}</style></noscript><i class=a>a</i><i class=b>b</i>", "ab"),
+    ("so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2 TeX</annotation></semantics></math> holds", "so x=2 holds"),
+    ("a<svg><title/><defs><text>no</text></defs><desc>no</desc><path d='M0'/><text>Jan</text><g/><text>Feb <tspan>12</tspan></text></svg>b", "a\nJan\nFeb 12\nb"),
+    ("<svg><path><p>after</p>x", "after\n\nx"), ("<svg><foreignObject><div>in</div><p>deep</foreignObject></svg>", "in\n\ndeep"),
+    ("a<xmp>  <b>x</b>\n    y &amp;</xmp>z", "a\n\n  <b>x</b>\n    y &amp;\n\nz"),
+])
+def test_pages_show_what_a_screen_shows(page, text):
+    assert html_text.visible_text(page) == text
+
+
 def test_deep_and_broken_pages_take_linear_time():
     for page in ("<div>" * 50_000 + "x", "<a b='" * 30_000, "<li>" * 30_000, "</b>" * 30_000, "<!--" * 30_000, "<td colspan=999999999 rowspan=99999999>" * 300):
         html_text.visible_text(page)

@@ -4,7 +4,9 @@ A page is cut into tags and text, and built into a tree whose missing tags are i
 a new list item, paragraph, row or cell ends the one before, an end tag ends what stands
 open inside it, and one that matches nothing is ignored. Elements that a browser does
 not show (by tag, attribute, inline style or a simple style sheet rule) are left out with
-all they hold. The rest is written as lines: block elements break the line, paragraphs
+all they hold. Rules count that hold on any screen: those in @-blocks for print, widths
+and other conditions do not; a rule that hides is not weighed against one that shows. Of
+drawings the text elements are shown, of formulas their text. The rest is written as lines: block elements break the line, paragraphs
 and the like keep a blank line around them, list items get their marker and indent, and
 the cells of a table stand in columns as wide as their widest cell (up to ``WIDEST``
 characters; a longer cell runs over).
@@ -28,9 +30,16 @@ from tidegauge.llm.rows import map_rows
 
 VOID = set("area base br col embed hr img input link meta source track wbr param".split())
 RAW = set("script style title textarea iframe noembed noframes xmp".split())
-UNSEEN = set("head script style title template noscript iframe noembed noframes datalist object video audio canvas rp svg math".split())
+UNSEEN = set("head script style title template noscript iframe noembed noframes datalist object video audio canvas rp annotation annotation-xml".split())
+#: Parts of a drawing that are only drawn where they are referred to.
+UNDRAWN = set("defs symbol clippath mask pattern marker".split())
+#: Tags that end an open drawing or formula, and what in these may hold them.
+ENDS_FOREIGN = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HOLDS_HTML = set("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 #: Blocks with a blank line around them, and blocks that only break the line.
-SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr menu fieldset".split())
+SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre xmp figure hr menu fieldset".split())
 BLOCKS = SPACED | set(
     "div section article header footer main nav aside address li dt dd tr caption form figcaption details summary option optgroup body html legend center dialog hgroup search".split()
 )
@@ -58,7 +67,9 @@ NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)[ \t\n\r\f]*(=)?[ \t\n\r\f]*")
 BARE = re.compile(r"[^\s>]*")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|[{};]|[^{};"'/]+|/""", re.S)
+#: Blocks of rules that hold on every screen.
+ANY_SCREEN = re.compile(r"@layer\b.*|@media\s+(?:.*,)?\s*(?:(?:only\s+)?(?:all|screen)|not\s+print)\s*(?:,.*)?", re.I | re.S)
 SIMPLE = re.compile(r"^([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?$")
 
 
@@ -70,8 +81,8 @@ class Node:
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
-    """(kind, name or text, attributes); kinds are text, raw, open and close."""
-    at, n = 0, len(page)
+    """(kind, name or text, attributes); kinds are text, raw, open, empty (<a/>) and close."""
+    at, n, foreign = 0, len(page), 0
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -91,13 +102,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
             if name:
+                foreign = max(0, foreign - (name[0].lower() in ("svg", "math")))
                 yield "close", name[0].lower(), {}
         elif name := NAME.match(page, lt + 1):
-            tag, at, attributes = name[0].lower(), name.end(), {}
+            tag, at, attributes, empty = name[0].lower(), name.end(), {}, False
             while True:
                 found = ATTRIBUTE.match(page, at)
                 if not found:
-                    at = page.find(">", at) + 1 or n
+                    end = page.find(">", at)
+                    empty, at = end > at and page[end - 1] == "/", end + 1 or n
                     break
                 at, key, value = found.end(), found[1].lower(), ""
                 if found[2]:
@@ -109,8 +122,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
                         bare = BARE.match(page, at)
                         value, at = bare[0], bare.end()
                 attributes.setdefault(key, html.unescape(value))
-            yield "open", tag, attributes
-            if tag in RAW:
+            yield "empty" if empty else "open", tag, attributes
+            foreign += tag in ("svg", "math") and not empty
+            if tag in RAW and not (empty and foreign):
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
                 stop = end.start() if end else n
                 yield "raw", page[at:stop], {}
@@ -150,12 +164,18 @@ def tree(page: str) -> tuple[Node, str]:
                 stack[-1].children.append(text)
         elif kind == "raw":
             if stack[-1].tag == "style":
-                sheets.append(name)
+                media = stack[-1].attributes.get("media", "").strip()
+                if not (count["noscript"] or count["template"]) and (not media or ANY_SCREEN.fullmatch(f"@media {media}")):
+                    sheets.append(name)
             elif stack[-1].tag == "textarea":
                 stack[-1].children.append(html.unescape(name))
-        elif kind == "open":
+            elif stack[-1].tag == "xmp":
+                stack[-1].children.append(name)
+        elif kind in ("open", "empty"):
             if count["head"] and name not in IN_HEAD and name != "head":
                 end_open({"head"}, set())
+            if name in ENDS_FOREIGN:
+                end_open({"svg", "math"}, HOLDS_HTML)
             if name in IMPLIED:
                 end_open(*IMPLIED[name])
             if name in ENDS_P and count["p"]:
@@ -164,7 +184,8 @@ def tree(page: str) -> tuple[Node, str]:
                 continue
             node = Node(name, attributes)
             stack[-1].children.append(node)
-            if name not in VOID:
+            foreign = name in ("svg", "math") or (count["svg"] or count["math"]) and not count["foreignobject"] or name == "foreignobject"
+            if name not in VOID and not (kind == "empty" and foreign):
                 stack.append(node)
                 count[name] += 1
         elif name == "br":
@@ -183,10 +204,42 @@ def tree(page: str) -> tuple[Node, str]:
     return root, "\n".join(sheets)
 
 
+def rules(sheets: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on any screen, nested ones left out."""
+    # Open blocks: (what stands before the brace, whether its rules hold, own declarations).
+    blocks: list[tuple[str, bool, list[str]]] = [("", True, [])]
+    held: list[str] = []
+    for found in CSS.finditer(sheets):
+        part = found[0]
+        if part.startswith("/*"):
+            continue
+        if part == "{":
+            before = "".join(held).strip()
+            holds = blocks[-1][1] and bool(ANY_SCREEN.fullmatch(before)) if before.startswith("@") else False
+            # Of a rule within a rule neither selectors nor declarations are of use.
+            own = before if blocks[-1][1] and not before.startswith("@") else ""
+            blocks.append((own, holds, []))
+            held.clear()
+        elif part == "}":
+            if len(blocks) > 1:
+                selectors, _, declarations = blocks.pop()
+                if selectors:
+                    yield selectors, ";".join([*declarations, "".join(held)])
+            held.clear()
+        elif part == ";":
+            blocks[-1][2].append("".join(held))
+            held.clear()
+        else:
+            held.append(part)
+    for selectors, _, declarations in blocks[1:]:
+        if selectors:
+            yield selectors, ";".join([*declarations, "".join(held)])
+
+
 def hidden_by_sheet(sheets: str) -> set[tuple[str, str]]:
     """(tag or '', '.class' or '#id' or '') of simple selectors that hide."""
     out = set()
-    for selectors, body in RULE.findall(re.sub(r"/\*.*?(?:\*/|\Z)", "", sheets, flags=re.S)):
+    for selectors, body in rules(sheets):
         if HIDING.search(body):
             for s in selectors.split(","):
                 m = SIMPLE.match(s.strip())
@@ -207,6 +260,11 @@ def is_hidden(node: Node, sheet: set[tuple[str, str]]) -> bool:
     return False
 
 
+def is_undrawn(node: Node) -> bool:
+    a = node.attributes
+    return node.tag in UNDRAWN or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")
+
+
 class Frame:
     """Lines of one column of text: the page, or a table cell."""
 
@@ -306,6 +364,8 @@ def render(root: Node, sheet: set[tuple[str, str]]) -> str:
     """The tree as lines of text."""
     frames, tables, lists = [Frame()], [], []
     keep = 0
+    #: Whether text is shown here: in a drawing only within its text elements.
+    drawn = [True]
     todo: list[tuple[Node, Iterator, object]] = []
 
     def enter(node: Node) -> None:
@@ -338,7 +398,7 @@ def render(root: Node, sheet: set[tuple[str, str]]) -> str:
                 frame.indents.append(" " * len(undo))
             elif tag in ("blockquote", "dd"):
                 frame.indents.append("    " if tag == "dd" else "  ")
-            elif tag == "pre":
+            elif tag in ("pre", "xmp"):
                 keep += 1
         elif tag == "br":
             if "".join(frame.held).strip():
@@ -347,6 +407,13 @@ def render(root: Node, sheet: set[tuple[str, str]]) -> str:
                 frame.gap = max(frame.gap, 1)
         elif tag == "q":
             frame.text('"', True)
+        elif tag == "svg" or len(drawn) > 1 and tag in ("text", "foreignobject"):
+            drawn.append(tag != "svg")
+            frame.block(0) if tag != "svg" else None
+        elif tag == "mtr":
+            frame.block(0)
+        elif tag == "mtd":
+            frame.text(" ", False)
         children = iter(node.children)
         if tag == "details" and "open" not in node.attributes:
             # A closed one shows its summary only.
@@ -377,7 +444,7 @@ def render(root: Node, sheet: set[tuple[str, str]]) -> str:
                 tables[-1].rows[-1].append((text, span_of(node, "colspan", 1000), span_of(node, "rowspan", 65534)))
         elif tag in BLOCKS:
             frame = frames[-1]
-            if tag == "pre":
+            if tag in ("pre", "xmp"):
                 frame.flush(True) if frame.held and "".join(frame.held).strip() else frame.held.clear()
                 while frame.lines and not frame.lines[-1]:
                     frame.lines.pop()
@@ -391,6 +458,9 @@ def render(root: Node, sheet: set[tuple[str, str]]) -> str:
                 frame.indents.pop()
         elif tag == "q":
             frames[-1].text('"', True)
+        elif tag == "svg" or len(drawn) > 1 and tag in ("text", "foreignobject"):
+            drawn.pop()
+            frames[-1].block(0) if tag != "svg" else None
 
     enter(root)
     while todo:
@@ -400,8 +470,9 @@ def render(root: Node, sheet: set[tuple[str, str]]) -> str:
             todo.pop()
             leave(node, undo)
         elif isinstance(child, str):
-            frames[-1].text(child, keep > 0)
-        elif not is_hidden(child, sheet):
+            if drawn[-1]:
+                frames[-1].text(child, keep > 0)
+        elif not is_hidden(child, sheet) and not (len(drawn) > 1 and is_undrawn(child)):
             enter(child)
     frames[0].flush()
     return "\n".join(frames[0].lines)
