@@ -291,6 +291,25 @@ def test_pages_show_what_a_screen_shows(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<table><tr><td>a<br>bcd<td>e<tr><td>f<td>g<br>h</table>", "a    e\nbcd\nf    g\n     h"),
+    ("<table><tr><td>1<td><pre>def f():\n    return  1\n\nf()</pre><td>2</table>z", "1\n\ndef f():\n    return  1\n\nf()\n\n   2\n\nz"),
+    ("<table><tr><td>a<td><pre>x   y</pre></table>", "a  x   y"),
+    ("<table><tr><td><ul><li>a<li>b<ul><li>c</ul></ul><td><p>one<p>two</table>", "- a\n- b\n  - c\n\none\n\ntwo"),
+    ("<table><tr><td>l<td><table><tr><td>in<td>1<tr><td>ner<td>2</table><tr><td>m<td>n</table>", "l\n\nin   1\nner  2\n\nm  n"),
+    ("<table><caption>A<br>B</caption><tr><td>c</table>", "A\nB\nc"),
+    (f"<table><tr><td>{'x' * 50}<br>y<td>z</table>", f"{'x' * 50}\ny\n\nz"),
+    ("<table><tr><td><p>k</p><td><div>5</div><tr><td>longer<td>6</table>", "k       5\nlonger  6"),
+])
+def test_cells_keep_their_lines(page, text):
+    assert html_text.visible_text(page) == text
+
+
+def test_tall_cells_take_linear_room():
+    page = "<table><tr>" + "<td>x" * 20_000 + "<td>" + "y<br>" * 20_000
+    assert len(html_text.visible_text(page)) < 5 * len(page)
+
+
 def test_deep_and_broken_pages_take_linear_time():
     for page in ("<div>" * 50_000 + "x", "<a b='" * 30_000, "<li>" * 30_000, "</b>" * 30_000, "<!--" * 30_000, "<td colspan=999999999 rowspan=99999999>" * 300):
         html_text.visible_text(page)

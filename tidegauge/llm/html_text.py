@@ -8,8 +8,10 @@ all they hold. Rules count that hold on any screen: those in @-blocks for print,
 and other conditions do not; a rule that hides is not weighed against one that shows. Of
 drawings the text elements are shown, of formulas their text. The rest is written as lines: block elements break the line, paragraphs
 and the like keep a blank line around them, list items get their marker and indent, and
-the cells of a table stand in columns as wide as their widest cell (up to ``WIDEST``
-characters; a longer cell runs over).
+the cells of a table stand in columns as wide as their widest line (up to ``WIDEST``
+characters; a longer line runs over). A row is as high as its tallest cell. A cell of
+several lines that holds blocks or a table, has a line over ``WIDEST`` or would stand
+beyond column ``FARTHEST`` is written by itself, between blank lines.
 
 Every step works with lists and stacks of its own, so depth is no limit, and reads the
 page once. A null page or one without visible text gives an empty text. What is not
@@ -61,7 +63,7 @@ IMPLIED = {
 IN_HEAD = set("title meta link style script base noscript template".split())
 #: An end tag does not close what is outside the table cell it stands in.
 WALLS = {"td": {"table"}, "th": {"table"}, "li": {"ul", "ol", "menu"}}
-WIDEST = 40
+WIDEST, FARTHEST = 40, 120
 SPACE = re.compile(r"[ \t\n\r\f]+")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)[ \t\n\r\f]*(=)?[ \t\n\r\f]*")
@@ -272,6 +274,8 @@ class Frame:
         self.lines: list[str] = []
         self.held: list[str] = []
         self.gap, self.marker, self.indents = 0, "", []
+        # Whether it holds blocks, and preformatted text.
+        self.blocks = self.kept = False
 
     def text(self, text: str, keep: bool) -> None:
         if keep:
@@ -313,53 +317,87 @@ def span_of(node: Node, name: str, most: int) -> int:
     return min(most, max(1, int(value))) if value.isascii() and value.isdigit() and len(value) < 9 else 1
 
 
+class Cell:
+    """Lines of a table cell, the columns and rows that it spans, and whether it stands by itself."""
+
+    __slots__ = ("alone", "column", "deep", "lines", "wide")
+
+    def __init__(self, lines: list[str], blocks: bool, wide: int, deep: int):
+        self.lines, self.wide, self.deep, self.column = lines, wide, deep, 0
+        self.alone = len(lines) > 1 and (blocks or max(map(len, lines)) > WIDEST)
+
+
 class Table:
-    """Cells of a table, row by row: (text, columns it spans, rows it spans)."""
+    """Cells of a table, row by row."""
 
     def __init__(self):
-        self.rows: list[list[tuple[str, int, int]]] = []
+        self.rows: list[list[Cell]] = []
         self.caption: list[str] = []
+        self.kept = False
 
     def lines(self) -> list[str]:
         # Place the cells: what spans down from a row above takes its columns first.
         down: dict[int, int] = {}
-        placed: list[list[tuple[int, str, int]]] = []
         for row in self.rows:
-            out, column, spanning = [], 0, {}
-            for text, wide, deep in row:
+            column, spanning = 0, {}
+            for cell in row:
                 while down.get(column, 0) > 0:
                     column += 1
-                out.append((column, text, wide))
-                if deep > 1:
-                    spanning.update({c: deep for c in range(column, column + wide)})
-                column += wide
+                cell.column = column
+                if cell.deep > 1:
+                    spanning.update({c: cell.deep for c in range(column, column + cell.wide)})
+                column += cell.wide
             down = {c: d - 1 for c, d in down.items() if d > 1}
             for c, d in spanning.items():
                 down[c] = d - 1
-            placed.append(out)
         widths: dict[int, int] = {}
-        for row in placed:
-            for column, text, wide in row:
-                if wide == 1 and len(text) <= WIDEST:
-                    widths[column] = max(widths.get(column, 0), len(text))
+        for row in self.rows:
+            for cell in row:
+                if cell.wide == 1 and not cell.alone:
+                    for line in cell.lines or [""]:
+                        if len(line) <= WIDEST:
+                            widths[cell.column] = max(widths.get(cell.column, 0), len(line))
         starts, at = {}, 0
-        last = max((c for row in placed for c, _, _ in row), default=-1)
+        last = max((cell.column for row in self.rows for cell in row), default=-1)
         for column in range(last + 1):
             starts[column] = at
             if column in widths:
                 at += widths[column] + 2
-        out = list(self.caption)
-        for row in placed:
-            line = ""
-            for column, text, _ in row:
-                if text:
-                    line = line.ljust(starts[column]) if len(line) + 2 <= starts[column] or not line else f"{line}  "
-                    line += text
-            if line:
-                out.append(line)
+        out, gap = list(self.caption), False
+        for row in self.rows:
+            # Cells side by side, and between them those that stand by themselves.
+            beside: list[Cell] = []
+            for cell in [*row, None]:
+                alone = cell is not None and (cell.alone or len(cell.lines) > 1 and starts[cell.column] > FARTHEST)
+                if cell is not None and not alone:
+                    beside.append(cell)
+                    continue
+                for lines, apart in ((side_by_side(beside, starts), False), (cell.lines if alone else [], True)):
+                    if lines:
+                        if out and (gap or apart):
+                            out.append("")
+                        out.extend(lines)
+                        gap = apart
+                beside = []
         return out
 
 
+def side_by_side(cells: list[Cell], starts: dict[int, int]) -> list[str]:
+    out, k = [], 0
+    cells = [cell for cell in cells if cell.lines]
+    while cells:
+        line = ""
+        for cell in cells:
+            text, start = cell.lines[k], starts[cell.column]
+            if text:
+                line = line.ljust(start) if len(line) + 2 <= start or not line else f"{line}  "
+                line += text
+        out.append(line)
+        k += 1
+        cells = [cell for cell in cells if len(cell.lines) > k]
+    return out
+
+
 def render(root: Node, sheet: set[tuple[str, str]]) -> str:
     """The tree as lines of text."""
     frames, tables, lists = [Frame()], [], []
@@ -371,6 +409,8 @@ def render(root: Node, sheet: set[tuple[str, str]]) -> str:
     def enter(node: Node) -> None:
         nonlocal keep
         tag, frame, undo = node.tag, frames[-1], None
+        if tag in BLOCKS:
+            frame.blocks = True
         if tag == "table":
             frame.block(1)
             tables.append(Table())
@@ -380,6 +420,7 @@ def render(root: Node, sheet: set[tuple[str, str]]) -> str:
             tables[-1].rows.append([])
         elif tag in ("td", "th", "caption") and tables:
             frames.append(Frame())
+            frames[-1].kept = keep > 0
         elif tag in BLOCKS:
             frame.block(1 if tag in SPACED and not (lists and tag in ("ul", "ol", "menu")) else 0)
             if tag in ("ul", "ol", "menu"):
@@ -400,6 +441,7 @@ def render(root: Node, sheet: set[tuple[str, str]]) -> str:
                 frame.indents.append("    " if tag == "dd" else "  ")
             elif tag in ("pre", "xmp"):
                 keep += 1
+                frame.kept = True
         elif tag == "br":
             if "".join(frame.held).strip():
                 frame.flush(keep > 0)
@@ -427,6 +469,7 @@ def render(root: Node, sheet: set[tuple[str, str]]) -> str:
             loose, table = frames.pop(), tables.pop()
             loose.flush()
             frame = frames[-1]
+            frame.kept |= table.kept or loose.kept
             # Text between cells is shown before the table, as browsers do.
             for line in [*loose.lines, *table.lines()]:
                 frame.held.append(line)
@@ -434,14 +477,19 @@ def render(root: Node, sheet: set[tuple[str, str]]) -> str:
             frame.block(1)
         elif tag in ("td", "th", "caption") and tables and len(frames) > 1:
             cell = frames.pop()
-            cell.flush()
-            text = " ".join(" ".join(cell.lines).split())
+            cell.flush(keep > 0)
+            lines = cell.lines
+            while lines and not lines[-1]:
+                lines.pop()
+            tables[-1].kept |= cell.kept
+            if len(lines) == 1 and not cell.kept:
+                lines = [" ".join(lines[0].split())]
             if tag == "caption":
-                tables[-1].caption.append(text)
+                tables[-1].caption.extend(lines)
             else:
                 if not tables[-1].rows:
                     tables[-1].rows.append([])
-                tables[-1].rows[-1].append((text, span_of(node, "colspan", 1000), span_of(node, "rowspan", 65534)))
+                tables[-1].rows[-1].append(Cell(lines, cell.blocks, span_of(node, "colspan", 1000), span_of(node, "rowspan", 65534)))
         elif tag in BLOCKS:
             frame = frames[-1]
             if tag in ("pre", "xmp"):
