@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidegauge.sinks.scratch import staged
+
 SALTS = 64
+#: Bits of monotonically_increasing_id that count the rows of a partition.
+ROW_BITS = 33
 
 
 def site_keys(df: DataFrame) -> list[str]:
@@ -49,6 +53,35 @@ def last_rows(df: DataFrame, keys: Sequence[str], n: int, by: str = "date") -> D
     return top_n(df, keys, [F.desc(by)], n, rank="__age").drop("__age")
 
 
+def numbered(df: DataFrame, name: str = "place") -> DataFrame:
+    """The rows with their number, from 1, in the order in which they come.
+
+    No task sees more than its own partition: rows are written once with their place
+    in their partition, the partitions are counted, and the sums of the counts before
+    are added. The counts are as many as there are partitions.
+    """
+    rows = staged(df.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__id", ROW_BITS)
+    counts = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n")).orderBy("__part").collect()
+    before, offsets = 0, []
+    for row in counts:
+        offsets.append((row["__part"], before))
+        before += row.n
+    table = df.sparkSession.createDataFrame(offsets, "__part long, __before long")
+    in_part = F.col("__id").bitwiseAND((1 << ROW_BITS) - 1)
+    return (
+        rows.withColumn("__part", part)
+        .join(table, "__part")
+        .withColumn(name, F.col("__before") + in_part + 1)
+        .drop("__part", "__before", "__id")
+    )
+
+
+def numbered_in_order(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """The rows numbered from 1 in ``order``, by a range-partitioned sort."""
+    return numbered(df.orderBy(*order), name)
+
+
 def exact_median(
     df: DataFrame, value: str, keys: Sequence[str] = (), resolution: float = 0.01
 ) -> DataFrame:
