@@ -184,3 +184,89 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html"), "html", keep=["page_id"])
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).cast("long")
     return found.select("page_id", "text", F.length("text").cast("long").alias("n_chars"), lines.alias("n_lines"))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every vector, with errors per vector and per label."""
+    from tidegauge.llm import vector_codes
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.learn(vectors, "vec_id", "embedding")
+    coded = vector_codes.with_label_error(vector_codes.encode(vectors, "vec_id", "embedding", "label", books))
+    return coded.select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error",
+        F.sha2(F.lit(vector_codes.text_of(books)), 256).alias("codebooks_sha256"),
+    )
+
+
+@query
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix by source weights takes."""
+    from tidegauge.llm import source_mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = source_mix.expanded(source_mix.plan(docs, "doc_id", "text", "source"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector."""
+    from tidegauge.llm import centroids
+
+    found = centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
+    digest = F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest)
+
+
+def _rounds_sql(start: str, rounds: int, keys: str, vectors: str) -> str:
+    """Lloyd rounds as a chain of common table expressions: c0, a0, c1, a1, ...
+
+    ``keys`` are the columns of a codebook (empty or ``q, ``), ``vectors`` has r, q, p, x.
+    """
+    steps = [f"c0 AS MATERIALIZED ({start})"]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+    SELECT r, {keys}c, d FROM (
+        SELECT r, {keys}c, CAST(sum(({vectors}.x - c{i}.x) * ({vectors}.x - c{i}.x)) AS BIGINT) AS d
+        FROM {vectors} JOIN c{i} USING ({keys}p) GROUP BY r, {keys}c)
+    QUALIFY row_number() OVER (PARTITION BY r{", q" if keys else ""} ORDER BY d, c) = 1)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+    SELECT {keys}c, p, coalesce(m, x) AS x FROM c{i} LEFT JOIN (
+        SELECT {keys}c, p, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m
+        FROM (SELECT {keys}c, p, sum(x) AS s, count(*) AS n FROM a{i} JOIN {vectors} USING ({keys}r) GROUP BY ALL))
+    USING ({keys}c, p))""")
+    return ",\n".join(steps)
+
+
+def _vectors_sql(scale: int, where: str) -> str:
+    return f"""v AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, *, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings WHERE {where} len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+ORACLES["op11_vector_codes"] = f"""
+WITH {_vectors_sql(4096, "len(embedding) > 0 AND")},
+x AS MATERIALIZED (
+    SELECT r, (i - 1) // (n // 8) AS q, (i - 1) % (n // 8) AS p, e[i] AS x
+    FROM (SELECT r, e, len(e) AS n, unnest(range(1, len(e) + 1)) AS i FROM v)),
+s AS MATERIALIZED (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, e) - 1 AS c FROM v QUALIFY c < 16),
+{_rounds_sql("SELECT q, c, p, x FROM x JOIN s USING (r)", 6, "q, ", "x")},
+coded AS (SELECT r, string_agg(format('{{:02x}}', c), '' ORDER BY q) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY q, c, p)) FROM c6) AS codebooks_sha256
+FROM coded JOIN v USING (r)
+"""
+
+ORACLES["op13_centroids"] = f"""
+WITH {_vectors_sql(256, "len(embedding) = 64 AND")},
+x AS MATERIALIZED (SELECT r, p, e[p + 1] AS x FROM (SELECT r, e, unnest(range(64)) AS p FROM v)),
+s AS MATERIALIZED (SELECT r, row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)) NULLS LAST, e) - 1 AS c FROM v QUALIFY c < 40),
+{_rounds_sql("SELECT c, p, x FROM x JOIN s USING (r)", 5, "", "x")},
+digest AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p)) AS centroid_sha256 FROM c5 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS "cluster", d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a5 JOIN v USING (r) JOIN digest USING (c)
+"""
