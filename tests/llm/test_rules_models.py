@@ -134,6 +134,29 @@ def test_long_texts_take_part_as_a_whole():
     assert p[0][-1] > 0.5 and p[0][:-1].max() < 0.5 and len(p[0]) == 30_001 and len(p[2]) == 0
 
 
+@pytest.mark.parametrize("chunk", [1 << 17, 1000, 7])
+def test_blocked_marginals_are_those_of_single_texts(monkeypatch, chunk):
+    """Blocks, cuts inside a text and neighbours change nothing, also where scores contradict each other."""
+    monkeypatch.setattr(toxicity, "CHUNK", chunk)
+    draw = np.random.default_rng(chunk)
+    field = toxicity.Field()
+    field.move = np.array([[1.3, -2.5], [-1.2, 0.9]])
+    sizes = [3, 1, 0, 500, 2, 30_000 if chunk > 7 else 300, 17]
+    texts = [draw.normal(-1, 6, n) for n in sizes]
+    texts[3][100:110] = [40, -40] * 5
+    got = toxicity.Model(field, [0.0] * 4).of_scores(texts)
+    for scores, p in zip(texts, got):
+        expected = field.marginals(scores[:, None], np.array([len(scores)]))[0][:, 0] if len(scores) else scores
+        assert p.shape == expected.shape and np.allclose(p, expected, atol=1e-12)
+    assert toxicity.Model(field, [0.0] * 4).of_scores([]) == []
+
+
+def test_words_of_pieces_are_those_of_the_text():
+    text = ("Wort für Wort, 12 " * 70_000 + "a" * 600_000 + "\n.") * 2
+    pieces = toxicity.PIECE.findall(text)
+    assert "".join(pieces) == text and [w for x in pieces for w in toxicity.WORD.findall(x)] == toxicity.WORD.findall(text)
+
+
 def test_models_without_both_labels(odd_docs, no_docs, labels, spark):
     for rows in ([], [("a", 1)], [("a", 0), ("b", 0)]):
         model = toxicity.fit(rows)

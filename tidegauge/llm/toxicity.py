@@ -37,7 +37,11 @@ PER_CLASS, MAX_BYTES = 4000, 14 << 20
 BITS = 18
 #: Longest sequence of one training step; neighbours of a cut do not see each other.
 STEP = 256
+#: Words whose marginals are computed side by side, and words whose scores a task remembers.
+CHUNK, KNOWN = 1 << 15, 50_000
 WORD = re.compile(r"[^\W\d_]+")
+#: A long text in pieces that end with a word or between words.
+PIECE = re.compile(r"(?s).{1,500000}[^\W\d_]*")
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())])
 
 
@@ -77,17 +81,17 @@ class Field:
     def __init__(self):
         self.w = np.zeros(1 << BITS, np.float32)
         self.move = np.zeros((2, 2))
-        self.known: dict[str, float] = {}
 
     def emission(self, word: str) -> float:
         return float(self.w[features(word)].sum())
 
-    def emissions(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > 150_000:
-            self.known.clear()
-        for word in set(words).difference(self.known):
-            self.known[word] = self.emission(word)
-        return np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+    def emissions(self, words: list[str], known: dict[str, float]) -> np.ndarray:
+        """Scores of words; ``known`` remembers a bounded number of them for its owner."""
+        if len(known) > KNOWN:
+            known.clear()
+        for word in set(words).difference(known):
+            known[word] = self.emission(word)
+        return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
     def marginals(self, scores: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of sequences (columns, padded below): P(toxic) per place, and expected moves.
@@ -122,6 +126,52 @@ class Field:
             moves = pair.sum(axis=(0, 3))
         return np.where(here, p, 0.0), moves
 
+    def whole_marginals(self, scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """P(toxic) of every word of texts set end to end; ``starts`` are the places of first words.
+
+        The same sums as in ``marginals``, of any length at one price: what leads over a
+        text's first word forgets the state before it, so all texts are one chain, which is
+        cut into blocks. The products of the blocks' 2 x 2 steps are formed side by side,
+        block products are chained, and the states at the blocks' edges give those inside.
+        """
+        first = np.zeros(len(scores), bool)
+        first[starts] = True
+        # Cuts lie between texts where they can; only then no state is handed on.
+        cuts = [0]
+        while len(scores) - cuts[-1] > CHUNK:
+            last = np.searchsorted(starts, cuts[-1] + CHUNK, "right") - 1
+            cuts.append(int(starts[last]) if starts[last] > cuts[-1] else cuts[-1] + CHUNK)
+        parts = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(scores)])]
+        into, out_of = [np.ones(2)] * len(parts), [np.ones(2)] * len(parts)
+        if not first[cuts[1:]].all():
+            chunks = [product(prefixes(self.steps(scores[k], first[k]))[-1]) for k in parts]
+            for k in range(1, len(parts)):
+                into[k] = unit(into[k - 1] @ chunks[k - 1])
+            for k in range(len(parts) - 2, -1, -1):
+                out_of[k] = unit(chunks[k + 1] @ out_of[k + 1])
+        found = [filled(self.steps(scores[k], first[k]), a, b)[: k.stop - k.start] for k, a, b in zip(parts, into, out_of) if k.stop > k.start]
+        return np.concatenate(found) if found else np.zeros(0)
+
+    def steps(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The steps into each word, [place in block, state before, state, block]."""
+        length = max(8, int(len(scores) ** 0.5) // 2)
+        blocks = -(-len(scores) // length)
+
+        def dealt(x: np.ndarray) -> np.ndarray:
+            return np.ascontiguousarray(np.pad(x, (0, length * blocks - len(x))).reshape(blocks, length).T)
+
+        odds = dealt(np.exp(np.clip(scores, -30, 30)))
+        clean = 1 / (1 + odds)
+        here, anew = (clean, odds * clean), dealt(first)
+        m = np.exp(self.move - self.move.max())
+        out = np.empty((length, 2, 2, blocks))
+        for i in (0, 1):
+            for j in (0, 1):
+                np.multiply(np.where(anew, 1.0, m[i, j]), here[j], out=out[:, i, j])
+        # Places behind the last word change nothing.
+        out[length - (length * blocks - len(scores)) :, :, :, -1] = np.eye(2)
+        return out
+
     def train(self, texts: list[list[str]], marks: list[np.ndarray], rounds: int = 4, rate: float = 0.5) -> None:
         """AdaGrad on the log likelihood, over pieces of at most STEP words."""
         ids: dict[str, int] = {}
@@ -151,6 +201,64 @@ class Field:
                 self.move += rate * 0.2 * step / np.sqrt(size_m)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum()
+
+
+def prefixes(steps: np.ndarray) -> np.ndarray:
+    """Products of the steps of each block up to each place, scaled; [place, from, to, block]."""
+    out = np.empty_like(steps)
+    out[0] = steps[0]
+    for t in range(1, len(steps)):
+        # Rows of all products so far, by the state that they have reached.
+        x, y, step, now = out[t - 1, :, 0], out[t - 1, :, 1], steps[t], out[t]
+        now[:, 0] = x * step[0, 0] + y * step[1, 0]
+        now[:, 1] = x * step[0, 1] + y * step[1, 1]
+        if t % 4 == 0:
+            now /= now.sum(axis=(0, 1))
+    out[-1] /= out[-1].sum(axis=(0, 1))
+    return out
+
+
+def suffixes(steps: np.ndarray) -> np.ndarray:
+    """Products of the steps of each block after each place, scaled; [place, from, to, block]."""
+    out = np.empty_like(steps)
+    out[-1] = np.eye(2)[:, :, None]
+    for t in range(len(steps) - 1, 0, -1):
+        x, y, step, now = out[t, 0], out[t, 1], steps[t], out[t - 1]
+        now[0] = step[0, 0] * x + step[0, 1] * y
+        now[1] = step[1, 0] * x + step[1, 1] * y
+        if t % 4 == 0:
+            now /= now.sum(axis=(0, 1))
+    return out
+
+
+def product(blocks: np.ndarray) -> np.ndarray:
+    """The product of all blocks' products in their order, scaled."""
+    out = np.eye(2)
+    for block in np.moveaxis(blocks, -1, 0):
+        out = out @ block
+        out /= out.sum()
+    return out
+
+
+def filled(steps: np.ndarray, into: np.ndarray, out_of: np.ndarray) -> np.ndarray:
+    """P(toxic) of every word, given the state before the first block and after the last."""
+    fore = prefixes(steps)
+    whole = np.moveaxis(fore[-1], -1, 0)
+    before, after = np.empty((len(whole), 2)), np.empty((len(whole), 2))
+    before[0], after[-1] = into, out_of
+    for c in range(1, len(whole)):
+        before[c] = unit(before[c - 1] @ whole[c - 1])
+    for c in range(len(whole) - 2, -1, -1):
+        after[c] = unit(whole[c + 1] @ after[c + 1])
+    alpha = fore[:, 0] * before[:, 0] + fore[:, 1] * before[:, 1]
+    back = suffixes(steps)
+    beta = back[:, :, 0] * after[:, 0] + back[:, :, 1] * after[:, 1]
+    both = alpha * beta
+    return (both[:, 1] / both.sum(axis=1)).T.ravel()
+
+
 def evidence(p: np.ndarray) -> list[float]:
     """What a document's score sees of its marginals."""
     if not len(p):
@@ -166,26 +274,14 @@ class Model:
         self.field, self.weights = field, weights
 
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Of whole texts, computed together in groups of about one length."""
-        out: list[np.ndarray] = [np.zeros(0)] * len(texts)
-        order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
-        k = 0
-        while k < len(order):
-            group = order[k : k + 512]
-            # Not more than a few million cells at a time.
-            while len(group) > 1 and len(texts[group[-1]]) * len(group) > 1 << 18:
-                group = group[: len(group) // 2]
-            sizes = np.array([len(texts[i]) for i in group])
-            flat = self.field.emissions([w for i in group for w in texts[i]])
-            # Nothing toxic near: the marginals of a document with no positive score are computed all the same.
-            scores = np.zeros((sizes.max(), len(group)))
-            for column, part in enumerate(np.split(flat, np.cumsum(sizes)[:-1])):
-                scores[: len(part), column] = part
-            p, _ = self.field.marginals(scores, sizes)
-            for column, i in enumerate(group):
-                out[i] = p[: sizes[column], column].copy()
-            k += len(group)
-        return out
+        """Of whole texts, given as words."""
+        return self.of_scores([self.field.emissions(t, {}) for t in texts])
+
+    def of_scores(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """Marginals of whole texts, given as their words' scores."""
+        ends = np.cumsum([len(s) for s in scores])
+        starts = [e - len(s) for e, s in zip(ends, scores) if len(s)]
+        return np.split(self.field.whole_marginals(np.concatenate(scores), np.array(starts, int)), ends[:-1]) if len(scores) else []
 
     def score(self, p: np.ndarray) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(self.weights, evidence(p)))))))
@@ -225,13 +321,13 @@ def fit(rows: list[tuple[str, int]], share: float | None = None) -> Model:
     field = Field()
     field.train(texts, marks)
     model = Model(field, [0.0] * 4)
-    x = np.array([evidence(p) for p in model.marginals(texts)])
+    known: dict[str, float] = {}
+    x = np.array([evidence(p) for k in range(0, len(texts), 512) for p in model.of_scores([field.emissions(t, known) for t in texts[k : k + 512]])])
     y = np.array(labels, float)
     model.weights = logistic(x, y).tolist()
     if share is not None and 0 < share < 1:
         mean = y.mean()
         model.weights[0] += math.log(share / (1 - share)) - math.log(mean / (1 - mean))
-    field.known.clear()
     return model
 
 
@@ -243,16 +339,16 @@ def learn(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label: str
 def score(docs: DataFrame, text: str, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``score`` and toxic ``spans`` of characters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    # A task unpickles this function, so it has words of its own, and gives them up when it ends.
+    known: dict[str, float] = {}
+
+    def of_text(field: Field, text: str | None) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(field.emissions(WORD.findall(piece), known) for piece in PIECE.findall(text.lower()))]) if text else np.zeros(0)
 
     def make(texts: list[str | None]) -> list[list]:
         model = shared.value
-        scores, spans = [], []
-        for k in range(0, len(texts), 512):
-            part = texts[k : k + 512]
-            for t, p in zip(part, model.marginals([words_of(t) for t in part])):
-                scores.append(model.score(p))
-                spans.append(spans_of(t, p))
-        return [scores, spans]
+        found = model.of_scores([of_text(model.field, t) for t in texts])
+        return [[model.score(p) for p in found], [spans_of(t, p) for t, p in zip(texts, found)]]
 
     return map_rows(docs, text, T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(SPAN))]), make, keep)
 
