@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -35,7 +35,7 @@ LONG_PIECE = 512
 #: standard library's faster engine, with the pattern's classes spelled out.
 PLAIN_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 NOT_PLAIN = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]").search
-#: Distinct pieces and their bytes that a worker remembers before it starts anew.
+#: Distinct pieces and their bytes that a task remembers before it starts anew.
 MEMORY_PIECES, MEMORY_BYTES = 200_000, 4 << 20
 
 
@@ -91,8 +91,8 @@ class PairTable:
 class Encoder:
     """Encodes texts; remembers pieces within fixed bounds."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pairs = ranks, PairTable(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: PairTable | None = None):
+        self.ranks, self.pairs = ranks, pairs or PairTable(ranks)
         self.any_split = regex.compile(pattern).findall
         self.plain_split = re.compile(pattern.replace(r"\p{L}", PLAIN_LETTERS).replace(r"\p{N}", "0-9").replace(f" ?{PLAIN_LETTERS}+", f" ?[{PLAIN_LETTERS}]+").replace(" ?0-9+", " ?[0-9]+"), re.ASCII).findall
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
@@ -227,22 +227,60 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
 
-#: The encoder of this worker process; the tasks that it runs one after another share it.
-ENCODERS: dict[tuple[str, str], Encoder] = {}
+def encoding(spark: SparkSession, ranks_path: str, pattern: str) -> Callable[[list], pa.Array]:
+    """A function for tasks: texts to lists of ids.
+
+    Each task unpickles it, so a task has an encoder, and pieces, of its own, and gives
+    them up when it ends; ranks and pairs come from a broadcast of fixed size.
+    """
+    ranks = load_ranks(ranks_path)
+    shared = spark.sparkContext.broadcast((ranks, PairTable(ranks)))
+    own: list[Encoder] = []
+
+    def run(texts: list[str | None]) -> pa.Array:
+        if not own:
+            ranks, pairs = shared.value
+            own.append(Encoder(ranks, pattern, pairs))
+        return own[0].encode(texts)
+
+    return run
+
+
+def decoding(spark: SparkSession, ranks_path: str) -> Callable[[pa.Array], pa.Array]:
+    """A function for tasks: lists of ids to bytes."""
+    shared = spark.sparkContext.broadcast(vocabulary(spark, ranks_path))
+
+    def run(lists: pa.Array) -> pa.Array:
+        table, starts, sizes = shared.value
+        counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+        flat = np.asarray(lists.flatten(), np.int64)
+        if len(flat) and (flat.min() < 0 or flat.max() >= len(sizes)):
+            raise ValueError("a token id is outside the vocabulary")
+        n = sizes[flat]
+        ends = np.cumsum(n)
+        data = table[np.repeat(starts[flat] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+    return run
 
 
 def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, out: str = "ids") -> DataFrame:
     """``df`` with the token ids of its text in column ``out`` (array<int>)."""
-    shared = df.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    key = (ranks_path, pattern)
+    to_ids = encoding(df.sparkSession, ranks_path, pattern)
+    return map_rows(df, text, T.StructType([T.StructField(out, T.ArrayType(T.IntegerType(), True))]), lambda texts: [to_ids(texts)])
+
+
+def encode_and_decode(df: DataFrame, text: str, ranks_path: str, pattern: str, out: tuple[str, str] = ("ids", "decoded"), keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with ids and the bytes that they stand for, in one pass."""
+    to_ids, to_bytes = encoding(df.sparkSession, ranks_path, pattern), decoding(df.sparkSession, ranks_path)
 
     def make(texts: list[str | None]) -> list:
-        if key not in ENCODERS:
-            ENCODERS.clear()
-            ENCODERS[key] = Encoder(shared.value, pattern)
-        return [ENCODERS[key].encode(texts)]
+        ids = to_ids(texts)
+        return [ids, to_bytes(ids)]
 
-    return map_rows(df, text, T.StructType([T.StructField(out, T.ArrayType(T.IntegerType(), True))]), make)
+    added = T.StructType([T.StructField(out[0], T.ArrayType(T.IntegerType(), True)), T.StructField(out[1], T.BinaryType())])
+    return map_rows(df, text, added, make, keep)
 
 
 def decode(df: DataFrame, ids: str, ranks_path: str, out: str = "decoded") -> DataFrame:
@@ -250,26 +288,15 @@ def decode(df: DataFrame, ids: str, ranks_path: str, out: str = "decoded") -> Da
 
     Null ids give no bytes; an id outside the vocabulary is an error.
     """
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary(df.sparkSession, ranks_path))
+    to_bytes = decoding(df.sparkSession, ranks_path)
     keep = [c for c in df.columns if c != out]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, starts, sizes = shared.value
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                lists = part.column(ids)
-                counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
-                flat = np.asarray(lists.flatten(), np.int64)
-                if len(flat) and (flat.min() < 0 or flat.max() >= len(sizes)):
-                    raise ValueError("a token id is outside the vocabulary")
-                n = sizes[flat]
-                ends = np.cumsum(n)
-                data = table[np.repeat(starts[flat] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-                offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-                made = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [made], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [to_bytes(part.column(ids))], schema.fieldNames())
 
     return map_arrow(df, run, schema)
 

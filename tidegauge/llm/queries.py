@@ -33,7 +33,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = byte_bpe.decode(byte_bpe.encode(docs, "text", ranks, public_tokenizers.PATTERN).drop("text"), "ids", ranks)
+    both = byte_bpe.encode_and_decode(docs, "text", ranks, public_tokenizers.PATTERN, keep=["doc_id"])
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
