@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -46,15 +48,31 @@ def slices(batch: pa.RecordBatch, column: str, rows: int = SLICE_ROWS, size: int
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Free memory goes back to the system: a worker that waits for its next task holds little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` whose workers find this package.
+    """``mapInArrow`` whose workers find this package, and are small between tasks.
 
     On a cluster the package is installed or given by --py-files; where the driver
     only has it in a folder, workers on the same storage look there too.
     """
     context = df.sparkSession.sparkContext
     context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def map_rows(df: DataFrame, text: str, added: T.StructType, make: Callable[[list], list], keep: list[str] | None = None) -> DataFrame:
