@@ -51,8 +51,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path(RANKS)
-    encoded = byte_bpe.encode(docs.select("doc_id", "text"), "text", ranks, public_tokenizers.PATTERN)
-    both = byte_bpe.decode(encoded, "ids", ranks)
+    both = byte_bpe.encode_and_decode(docs.select("doc_id", "text"), "text", ranks, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
