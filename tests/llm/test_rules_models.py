@@ -151,6 +151,16 @@ def test_blocked_marginals_are_those_of_single_texts(monkeypatch, chunk):
     assert toxicity.Model(field, [0.0] * 4).of_scores([]) == []
 
 
+def test_features_of_a_word_do_not_depend_on_its_neighbours():
+    words = ["a", "ab", "abc", "abcd", "abcdef", "abcdefg", "über", "word" * 20, "x" * 1000, "日本語", "xbcdefg"]
+    together = toxicity.features(words)
+    assert all((toxicity.features([w])[0] == f).all() for w, f in zip(words, together))
+    # Equal beginnings and endings share features, different words do not.
+    assert (together[4, 1:5] == together[5, 1:5]).all() and together[4, 0] != together[5, 0]
+    assert (together[5, 5:] == together[10, 5:]).all() and len(set(together[:, 0].tolist())) == len(words)
+    assert 0 <= together.min() and together.max() < 1 << toxicity.BITS and toxicity.features([]).shape == (0, 7)
+
+
 def test_words_of_pieces_are_those_of_the_text():
     text = ("Wort für Wort, 12 " * 70_000 + "a" * 600_000 + "\n.") * 2
     pieces = toxicity.PIECE.findall(text)

@@ -24,6 +24,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,6 +40,7 @@ BITS = 18
 STEP = 256
 #: Words whose marginals are computed side by side, and words whose scores a task remembers.
 CHUNK, KNOWN = 1 << 15, 50_000
+SHORT, MIX = 24, np.uint64(0xD6E8FEB86659FD93)
 WORD = re.compile(r"[^\W\d_]+")
 #: A long text in pieces that end with a word or between words.
 PIECE = re.compile(r"(?s).{1,500000}[^\W\d_]*")
@@ -53,10 +55,42 @@ def beginnings(word: str) -> list[str]:
     return [word, *(word[:n] + "+" for n in range(5, min(9, len(word)) + 1))]
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a word; always seven, of which short words repeat some."""
-    parts = [f"w{word}", *(f"b{word[:n]}" for n in (3, 4, 5, 6)), *(f"e{word[-n:]}" for n in (3, 4))]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) >> (32 - BITS) for p in parts]
+def features(words: list[str]) -> np.ndarray:
+    """Hashed features of words, seven each, of which short words repeat some.
+
+    They are the word, its beginnings of 3 to 6 letters and its endings of 3 and 4. Words are
+    hashed side by side, letter by letter; of the few very long ones the edges are.
+    """
+    out = np.empty((len(words), 7), np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    for least, most in ((0, SHORT), (SHORT, 16 * SHORT)):
+        own = np.flatnonzero((sizes > least) & (sizes <= most))
+        if len(own):
+            out[own] = _side_by_side([words[i] for i in own.tolist()], sizes[own])
+    for i in np.flatnonzero(sizes > 16 * SHORT).tolist():
+        head, tail = words[i][:6], words[i][-4:]
+        edges = _side_by_side([head, tail], np.array([6, 4]))
+        out[i] = [zlib.crc32(words[i].encode("utf-8", "surrogatepass")), *edges[0, 1:5], *edges[1, 5:]]
+    return ((out ^ (out >> np.uint64(29))) * MIX >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def _side_by_side(words: list[str], n: np.ndarray) -> np.ndarray:
+    """Hashes of the seven parts of words of about one length; n are their lengths."""
+    out = np.empty((len(words), 7), np.uint64)
+    letters = np.array(words, f"U{n.max()}").view(np.uint32).reshape(len(words), -1).astype(np.uint64)
+    h = np.full(len(words), 0x9E3779B97F4A7C15, np.uint64)
+    for k in range(max(6, letters.shape[1])):
+        if k < letters.shape[1]:
+            h = np.where(k < n, (h ^ letters[:, k]) * MIX, h)
+        if 2 <= k <= 5:
+            out[:, k - 1] = h ^ np.uint64(k)
+    out[:, 0] = h ^ np.uint64(9)
+    h = np.full(len(words), 0xC2B2AE3D27D4EB4F, np.uint64)
+    for k in range(4):
+        h = np.where(k < n, (h ^ letters[np.arange(len(words)), np.maximum(n - 1 - k, 0)]) * MIX, h)
+        if k >= 2:
+            out[:, k + 3] = h ^ np.uint64(k)
+    return out
 
 
 def toxic_forms(texts: list[list[str]], labels: list[int], odds: float = 12.0, least: int = 4) -> set[str]:
@@ -82,15 +116,12 @@ class Field:
         self.w = np.zeros(1 << BITS, np.float32)
         self.move = np.zeros((2, 2))
 
-    def emission(self, word: str) -> float:
-        return float(self.w[features(word)].sum())
-
     def emissions(self, words: list[str], known: dict[str, float]) -> np.ndarray:
         """Scores of words; ``known`` remembers a bounded number of them for its owner."""
         if len(known) > KNOWN:
             known.clear()
-        for word in set(words).difference(known):
-            known[word] = self.emission(word)
+        new = list(set(words).difference(known))
+        known.update(zip(new, self.w[features(new)].sum(axis=1, dtype=np.float64).tolist()))
         return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
     def marginals(self, scores: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +209,7 @@ class Field:
         for words in texts:
             for w in words:
                 ids.setdefault(w, len(ids))
-        table = np.array([features(w) for w in ids], np.int32).reshape(-1, 7)
+        table = features(list(ids))
         cut = [(np.fromiter(map(ids.__getitem__, t[k : k + STEP]), np.int32), y[k : k + STEP]) for t, y in zip(texts, marks) for k in range(0, len(t), STEP)]
         order = np.random.default_rng(7).permutation(len(cut))
         size_w, size_m = np.full(self.w.shape, 1e-6), np.full((2, 2), 1e-6)
@@ -342,12 +373,11 @@ def score(docs: DataFrame, text: str, model: Model, keep: list[str] | None = Non
     # A task unpickles this function, so it has words of its own, and gives them up when it ends.
     known: dict[str, float] = {}
 
-    def of_text(field: Field, text: str | None) -> np.ndarray:
-        return np.concatenate([np.zeros(0), *(field.emissions(WORD.findall(piece), known) for piece in PIECE.findall(text.lower()))]) if text else np.zeros(0)
-
     def make(texts: list[str | None]) -> list[list]:
         model = shared.value
-        found = model.of_scores([of_text(model.field, t) for t in texts])
+        words = [[w for piece in PIECE.findall(t.lower()) for w in WORD.findall(piece)] if t else [] for t in texts]
+        scores = model.field.emissions(list(chain.from_iterable(words)), known)
+        found = model.of_scores(np.split(scores, np.cumsum([len(w) for w in words])[:-1]) if texts else [])
         return [[model.score(p) for p in found], [spans_of(t, p) for t, p in zip(texts, found)]]
 
     return map_rows(docs, text, T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(SPAN))]), make, keep)
