@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -42,6 +43,22 @@ def _(v):
     return E.classify_floods(report.rows("traffic"), report.kinds, FLOOD_RULES).drop("as_of")
 
 
+@query("e3_classify_many_dates", sql("""SELECT strftime(as_of, '%Y-%m-%d') AS as_of, strftime(date, '%Y-%m-%d') AS date, host, visits,
+  signature, baseline, signature AND visits >= 20 AND visits >= greatest(baseline, 1) * 1.5 AS flood FROM
+  (SELECT a.as_of, s.* FROM signed s, (SELECT unnest(range(DATE '2024-01-05', DATE '2024-02-06', INTERVAL 1 DAY))::DATE AS as_of) a
+    WHERE s.date BETWEEN a.as_of - 29 AND a.as_of)
+  JOIN (SELECT a.as_of, s.host, (CASE WHEN count(*) FILTER (WHERE NOT signature) >= 3
+      THEN quantile_disc(visits, 0.5) FILTER (WHERE NOT signature) ELSE quantile_disc(visits, 0.25) END)::BIGINT AS baseline
+    FROM signed s, (SELECT unnest(range(DATE '2024-01-05', DATE '2024-02-06', INTERVAL 1 DAY))::DATE AS as_of) a
+    WHERE s.date BETWEEN a.as_of - 29 AND a.as_of GROUP BY ALL) USING (as_of, host)""", classified()[:2]))
+def _(v):
+    """Every report date with its own history and baseline, from one pass over the days."""
+    dates = [dt.date(2024, 1, 5) + dt.timedelta(n) for n in range(32)]
+    kinds = R.kinds_by_day(v.tables["referrers"])
+    found = E.classify_many(v.tables["traffic"], kinds, v.config.sites_df(v.spark), dates, 30, FLOOD_RULES)
+    return found.select("as_of", "date", "host", "visits", "signature", "baseline", "flood")
+
+
 @query("e4_split_day", sql(
     f"SELECT {DATE}, host, human, crawler, human_views, crawler_views, partial FROM split", classified()))
 def _(v):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from querybook.registry import query
 from querybook.sql import DATE, OPPORTUNITIES, classified, malformed, non_content, site_rows, sql, top
-from querybook.views import CONFIG, LAST, NO_FLOODS, SIGNAL_RULES
+from querybook.views import CONFIG, FLOOD_RULES, LAST, NO_FLOODS, SIGNAL_RULES
 from tidegauge.functions.scalars import is_malformed
 from tidegauge.operators import digest as L
 from tidegauge.operators import forums as K
@@ -19,7 +19,11 @@ from tidegauge.operators import signals as H
 from tidegauge.operators import sites as P
 from tidegauge.operators import totals as T
 from tidegauge.operators import zone as Z
+from tidegauge.plans.nightly import record_signals
 from tidegauge.plans.report import Report, Tables
+from tidegauge.sinks import daily
+from tidegauge.sinks.scratch import new_folder
+from tidegauge.sources.tables import read_table
 
 SIGNAL = ["severity", "kind", "host", "headline", "weight", "recurrence"]
 
@@ -417,3 +421,19 @@ def _(v):
     report = replace(v.report(), periods=periods)
     found = report.signals(["traffic-drop", "no-comparison"])
     return H.recurrence(found, escalate_at=2).select("as_of", "kind", "host", "recurrence", "severity")
+
+
+@query("x5_stored_recurrence", sql(
+    """SELECT strftime(as_of, '%Y-%m-%d') AS date, kind, host, n - 1 AS recurrence,
+  (CASE WHEN n - 1 >= 2 THEN greatest(severity - 1, 1) ELSE severity END)::BIGINT AS severity FROM
+  (SELECT *, row_number() OVER (PARTITION BY kind, host, island ORDER BY as_of) AS n FROM
+    (SELECT *, as_of - (row_number() OVER (PARTITION BY kind, host ORDER BY as_of))::INT AS island FROM dated))""",
+    dated_signals()))
+def _(v):
+    """The same from a stored history: four dates at once, then one night, then two; one night again."""
+    root = new_folder(v.spark, "signals")
+    for days in ((6, 5, 4, 3), (2,), (1, 0), (0,)):
+        with daily.Batch(v.spark, root) as batch:
+            record_signals(batch, v.config, [LAST - dt.timedelta(n) for n in days], v.tables,
+                           ["traffic-drop", "no-comparison"], 2, flood_rules=FLOOD_RULES, signal_rules=SIGNAL_RULES)
+    return read_table(v.spark, root, "signals").select("date", "kind", "host", "recurrence", "severity")

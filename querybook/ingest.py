@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querybook.registry import placed, query
-from querybook.sql import DATE, WINDOW, classified, site_rows, sql, top
+from querybook.sql import DATE, WINDOW, classified, non_content, site_rows, sql, top
 from querybook.sources import land_zone
 from querybook.views import CONFIG, LAST
 from tidegauge.functions.scalars import search_window
@@ -262,6 +264,61 @@ def _(v):
     )
 
 
+LISTS = {
+    "referrers": "referrer || '|' || kind AS name, visits AS a, NULL AS b, NULL AS x, NULL AS y, rank FROM refs_card",
+    "landing": "page, visits, views, NULL, NULL, rank FROM land_card",
+    "files": "page, requests, zone_visits, NULL, NULL, rank FROM " + top(
+        "(SELECT host, page, sum(requests)::BIGINT AS requests, sum(zone_visits)::BIGINT AS zone_visits"
+        " FROM zone_pages WHERE date > DATE '2024-01-23' GROUP BY ALL)", "host", "requests DESC, page", 8),
+    "keywords": "query, clicks, impressions, CASE WHEN impressions <> 0 THEN clicks / impressions ELSE 0 END, position, rank FROM "
+                + top("keywords", "host", "clicks DESC, impressions DESC, query", 12),
+    "pages": "page, clicks, impressions, ctr, position, rank FROM " + top("search_pages", "host", "clicks DESC, impressions DESC, page", 8),
+    "countries": "country, visits, NULL, NULL, NULL, rank FROM " + top(
+        "(SELECT * FROM zone_countries WHERE date = DATE '2024-01-30')", "host", "visits DESC, country", 10),
+    "statuses": "status::VARCHAR, requests, NULL, NULL, NULL, rank FROM " + top(
+        "(SELECT * FROM zone_status WHERE date = DATE '2024-01-30')", "host", "requests DESC, status", 8),
+    "spark": "strftime(date, '%Y-%m-%d'), visits, flood::INT, NULL, NULL, row_number() OVER (PARTITION BY host ORDER BY date) FROM "
+             + top("classified", "host", "date DESC", 14),
+    "verified": "'verified', vr, vr + ur, vr / (vr + ur), NULL, 1 FROM (SELECT host, sum(requests) FILTER (WHERE category <> '(unverified)')::BIGINT AS vr,"
+                " sum(requests) FILTER (WHERE category = '(unverified)')::BIGINT AS ur FROM zone_bots WHERE date = DATE '2024-01-30' GROUP BY host)",
+    "noise": "'noise', sum(p)::BIGINT, sum(e)::BIGINT, NULL, NULL, 1 FROM (SELECT host, requests AS p, 0 AS e FROM zone_pages"
+             f" WHERE date = DATE '2024-01-30' AND {non_content('page')} UNION ALL SELECT host, 0, requests FROM zone_status"
+             " WHERE date = DATE '2024-01-30' AND status >= 400) GROUP BY host",
+}
+ENTRY = {
+    "referrers": ("concat_ws('|', e.referrer, e.kind)", "e.visits", None, None, None),
+    "landing": ("e.page", "e.visits", "e.views", None, None), "files": ("e.page", "e.requests", "e.zone_visits", None, None),
+    "keywords": ("e.query", "e.clicks", "e.impressions", "e.ctr", "e.position"), "pages": ("e.page", "e.clicks", "e.impressions", "e.ctr", "e.position"),
+    "countries": ("e.country", "e.visits", None, None, None), "statuses": ("string(e.status)", "e.requests", None, None, None),
+    "spark": ("string(e.date)", "e.visits", "int(e.flood)", None, None),
+}
+SINGLES = {"verified": ("verified_requests", "total_requests", "verified_share"), "noise": ("path_requests", "error_requests", "NULL")}
+
+
+@query("s5_json_export_lists", sql("SELECT host, list, rank::BIGINT AS rank, name, a::BIGINT AS a, b::BIGINT AS b, round(x, 6) AS x, round(y, 6) AS y FROM ("
+    + " UNION ALL ".join(f"(SELECT host, '{name}' AS list, {body})" for name, body in LISTS.items()) + ") JOIN sites USING (host)", classified(), site_rows(7)))
+def _(v):
+    """Every entry of every list of the export, and its single rows, read back from its JSON."""
+    path = new_folder(v.spark, "export")
+    export = v.full_report(7).export()
+    daily.write_report_json(export, path)
+    back = v.spark.read.schema(export.schema).json(path)
+
+    def entry(fields) -> list[str]:
+        name, *rest = (f or "NULL" for f in fields)
+        return [f"{name} AS name", *(f"{kind}({f}) AS {to}" for kind, f, to in zip(("bigint", "bigint", "double", "double"), rest, "abxy"))]
+
+    parts = [
+        back.selectExpr("host", f"posexplode({name}) AS (place_, e)").selectExpr("host", f"'{name}' AS list", "bigint(place_ + 1) AS rank", *entry(fields))
+        for name, fields in ENTRY.items()
+    ]
+    parts += [
+        back.where(F.col(fields[0]).isNotNull()).selectExpr("host", f"'{name}' AS list", "1L AS rank", *entry((f"'{name}'", *fields, None)))
+        for name, fields in SINGLES.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("s6_schema_evolve", sql(
     "SELECT strftime(date, '%Y-%m-%d') AS date, host, visits, views, CASE WHEN day(date) < 15 THEN 0 ELSE bytes END AS bytes FROM traffic"))
 def _(v):

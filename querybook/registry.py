@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querybook.views import Views
+from tidegauge.functions.ranking import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,8 +34,7 @@ def out(df: DataFrame) -> DataFrame:
 
 def placed(df: DataFrame) -> DataFrame:
     """The rows with their place in the order that they come in, so that it is compared too."""
-    numbered = df.withColumn("__at", F.monotonically_increasing_id())
-    return numbered.withColumn("place", F.row_number().over(W.orderBy("__at"))).drop("__at")
+    return numbered(df, "place")
 
 
 def query(name: str, sql: str | None = None):

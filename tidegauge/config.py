@@ -68,6 +68,7 @@ class SiteConfig:
 
     sites: tuple[Site, ...]
     forums: tuple[tuple[str, str], ...] = field(default_factory=tuple)  # (host, name)
+    accounts: tuple[str, ...] = ()  # accounts whose beacons are added up; a run needs all of them
 
     def __post_init__(self):
         for site in self.sites:

@@ -136,6 +136,13 @@ RUN_OK_NOTE = "ok"
 NOTE_SEPARATOR = " | "
 NOTE_LENGTH = 140
 AUTH_NOTE_LENGTH = 160
+NO_RESPONSE = "no response"
+# What a note about a failed pull begins with, by source, in the order of the notes.
+PULL_NOTES = {
+    "beacons": "beacons", "zone": "zone traffic", "forums": "forum activity",
+    "keywords": "gsc queries", "search_pages": "gsc pages", "search_summary": "gsc summary",
+}
+MAX_NOTES = 200
 SEARCH_NOTE_PREFIX = "gsc "
 SEARCH_AUTH_PREFIX = "gsc auth"
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,14 +16,8 @@ from tidegauge.functions.scalars import ratio, zero
 from tidegauge.functions.text import fixed, percent, sentence
 
 
-def day_shape(traffic: DataFrame, kinds: DataFrame, rules: FloodRules = FloodRules()) -> DataFrame:
-    """Direct and referred sessions, pages per session and the crawler signature.
-
-    Traffic rows and direct-referrer rows are stacked and summed instead of
-    joined. Both go through one shuffle on the site, which the baseline window
-    and every per-site aggregate after it use again. A site has one row per day
-    of history here, however busy it is.
-    """
+def _stacked(traffic: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Traffic rows and direct-referrer rows in the same columns."""
     keys = site_keys(traffic)
     no = F.lit(0).cast("long")
     size = F.col("bytes") if "bytes" in traffic.columns else no
@@ -42,17 +39,10 @@ def day_shape(traffic: DataFrame, kinds: DataFrame, rules: FloodRules = FloodRul
         zero(F.col("visits")).alias("direct"),
         F.lit(False).alias("measured"),
     )
-    days = (
-        measured.unionByName(direct)
-        .repartition(*keys)
-        .groupBy(*keys, "date")
-        .agg(
-            *[F.sum(c).alias(c) for c in ("visits", "views", "bytes", "direct")],
-            F.max("measured").alias("measured"),
-        )
-        .where("measured")
-        .drop("measured")
-    )
+    return measured.unionByName(direct)
+
+
+def _with_signature(days: DataFrame, rules: FloodRules) -> DataFrame:
     visits, rate = F.col("visits"), F.col("pages_per_session")
     return (
         days.withColumn("non_direct", F.greatest(F.lit(0), visits - F.col("direct")))
@@ -68,6 +58,29 @@ def day_shape(traffic: DataFrame, kinds: DataFrame, rules: FloodRules = FloodRul
     )
 
 
+SUMMED = ("visits", "views", "bytes", "direct")
+
+
+def day_shape(traffic: DataFrame, kinds: DataFrame, rules: FloodRules = FloodRules()) -> DataFrame:
+    """Direct and referred sessions, pages per session and the crawler signature.
+
+    Traffic rows and direct-referrer rows are stacked and summed instead of
+    joined. Both go through one shuffle on the site, which the baseline window
+    and every per-site aggregate after it use again. A site has one row per day
+    of history here, however busy it is.
+    """
+    keys = site_keys(traffic)
+    days = (
+        _stacked(traffic, kinds)
+        .repartition(*keys)
+        .groupBy(*keys, "date")
+        .agg(*[F.sum(c).alias(c) for c in SUMMED], F.max("measured").alias("measured"))
+        .where("measured")
+        .drop("measured")
+    )
+    return _with_signature(days, rules)
+
+
 def flood_baseline(days: DataFrame) -> DataFrame:
     """Add what a normal day of the site is.
 
@@ -86,11 +99,7 @@ def flood_baseline(days: DataFrame) -> DataFrame:
     )
 
 
-def classify_floods(
-    traffic: DataFrame, kinds: DataFrame, rules: FloodRules = FloodRules()
-) -> DataFrame:
-    """Every stored day with its shape, its site's baseline and the verdict."""
-    days = flood_baseline(day_shape(traffic, kinds, rules))
+def _with_verdict(days: DataFrame, rules: FloodRules) -> DataFrame:
     bar = F.greatest(F.col("baseline"), F.lit(1)) * F.lit(float(rules.multiple))
     return days.withColumn(
         "flood",
@@ -100,6 +109,57 @@ def classify_floods(
     )
 
 
+def classify_floods(
+    traffic: DataFrame, kinds: DataFrame, rules: FloodRules = FloodRules()
+) -> DataFrame:
+    """Every stored day with its shape, its site's baseline and the verdict."""
+    return _with_verdict(flood_baseline(day_shape(traffic, kinds, rules)), rules)
+
+
+def classify_many(
+    traffic: DataFrame,
+    kinds: DataFrame,
+    hosts: DataFrame,
+    dates: Sequence[dt.date],
+    history_days: int,
+    rules: FloodRules = FloodRules(),
+) -> DataFrame:
+    """``classify_floods`` for many report dates: the same rows, tagged ``as_of``.
+
+    Each report date has a history of its own, of ``history_days`` up to itself, and so its
+    own baseline. The stored days go to their site once; there a window slides over them,
+    and each report date of ``hosts`` takes the days and the order statistic of its window.
+    Days are not copied to their report dates before the shuffle, nor sorted once for each.
+    """
+    no = F.lit(0).cast("long")
+    ends = F.explode(F.array(*[F.lit(d) for d in dates]))
+    wanted = hosts.select("host", ends.alias("date"), *[no.alias(c) for c in SUMMED], F.lit(False).alias("measured"), F.lit(True).alias("wanted"))
+    low, high = min(dates) - dt.timedelta(history_days - 1), max(dates)
+    stacked = _stacked(traffic, kinds).where(F.col("date").between(F.lit(low), F.lit(high)))
+    days = (
+        stacked.withColumn("wanted", F.lit(False))
+        .unionByName(wanted)
+        .repartition("host")
+        .groupBy("host", "date")
+        .agg(*[F.sum(c).alias(c) for c in SUMMED], F.max("measured").alias("measured"), F.max("wanted").alias("wanted"))
+    )
+    shaped = _with_signature(days, rules)
+    shape = ["date", *SUMMED, "non_direct", "pages_per_session", "direct_share", "signature"]
+    window = W.partitionBy("host").orderBy(F.unix_date("date")).rangeBetween(1 - history_days, 0)
+    history = F.collect_list(F.when(F.col("measured"), F.struct(*shape))).over(window)
+    found = shaped.withColumn("history", history).where("wanted").select("host", F.col("date").alias("as_of"), "history")
+
+    def quantile(values: Column, share: float) -> Column:
+        """The smallest value that at least this share of the values do not exceed."""
+        return F.get(F.sort_array(values), F.ceil(F.size(values) * share).cast("int") - 1)
+
+    clean = F.transform(F.filter("history", lambda d: ~d["signature"]), lambda d: d["visits"])
+    every = F.transform("history", lambda d: d["visits"])
+    baseline = F.when(F.size(clean) >= 3, quantile(clean, 0.5)).otherwise(quantile(every, 0.25))
+    rows = found.withColumn("baseline", baseline).withColumn("day", F.explode("history"))
+    return _with_verdict(rows.select("as_of", "host", "day.*", "baseline"), rules)
+
+
 def split_days(classified: DataFrame) -> DataFrame:
     """The part of each day that is people and the part that is crawlers.
 

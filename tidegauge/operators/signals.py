@@ -249,23 +249,36 @@ def top_alert(found: DataFrame) -> DataFrame:
     return rank_signals(found.where(F.col("severity") == 1)).limit(1)
 
 
-def recurrence(found: DataFrame, escalate_at: int = C.ESCALATE_RECURRENCE) -> DataFrame:
+def recurrence(
+    found: DataFrame, escalate_at: int = C.ESCALATE_RECURRENCE, before: DataFrame | None = None
+) -> DataFrame:
     """How many days in a row before its own each signal fired, over tagged reports.
 
     Signals of consecutive report dates form an island: the date minus its
     position in the (kind, host) series is the same for all of them. A signal
     that keeps coming back moves one severity level up.
+
+    ``before`` holds stored signals (date, kind, host, recurrence): an island that
+    begins the day after one of them continues its count. So the history before the
+    first report date need not be computed again, and one date of it is enough.
     """
     series = W.partitionBy("kind", "host").orderBy("as_of")
     position = F.row_number().over(series)
     island = W.partitionBy("kind", "host", "island").orderBy("as_of")
     raised = F.greatest(F.col("severity") - 1, F.lit(1))
-    return (
-        found.withColumn("island", F.date_sub("as_of", position))
-        .withColumn("recurrence", (F.row_number().over(island) - 1).cast("int"))
-        .withColumn(
-            "severity",
-            F.when(F.col("recurrence") >= escalate_at, raised).otherwise(F.col("severity")),
-        )
-        .drop("island")
-    )
+    days = F.row_number().over(island) - 1
+    counted = found.withColumn("island", F.date_sub("as_of", position))
+    if before is None:
+        counted = counted.withColumn("recurrence", days.cast("int"))
+    else:
+        # The first date of an island is one day after its name.
+        start = F.min("as_of").over(W.partitionBy("kind", "host", "island"))
+        seed = before.select("kind", "host", F.date_add("date", 1).alias("start"), (F.col("recurrence") + 1).alias("so_far"))
+        counted = counted.withColumn("recurrence", days.cast("int")).withColumn("start", start)
+        counted = counted.join(seed, ["kind", "host", "start"], "left").withColumn(
+            "recurrence", (F.col("recurrence") + F.coalesce("so_far", F.lit(0))).cast("int")
+        ).select(*counted.columns).drop("start")
+    return counted.withColumn(
+        "severity",
+        F.when(F.col("recurrence") >= escalate_at, raised).otherwise(F.col("severity")),
+    ).drop("island")

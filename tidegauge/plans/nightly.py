@@ -3,25 +3,32 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge import constants as C
 from tidegauge import schemas as S
 from tidegauge.config import SiteConfig
-from tidegauge.operators import ingest
+from tidegauge.operators import ingest, pulls
+from tidegauge.operators import signals as H
 from tidegauge.operators.reads import Period
 from tidegauge.plans.report import Report, Tables
 from tidegauge.sinks import daily
-from tidegauge.sinks.scratch import staged
-from tidegauge.sources.landed import filter_pages
+from tidegauge.sinks.scratch import cleared, staged
+from tidegauge.sources import landed as sources
 
 
 @dataclass(frozen=True)
 class Landed:
-    """Flat source rows of a run; a source that was not pulled is None."""
+    """Flat source rows of a run; a source that was not pulled is None.
+
+    ``outcomes`` (date, source, key, ok, message) says which pulls were good. Without it all
+    rows are taken to be whole.
+    """
 
     beacons: DataFrame | None = None
     zone_log: DataFrame | None = None  # request rows with all their dimensions
@@ -30,9 +37,36 @@ class Landed:
     search_summary: DataFrame | None = None
     forums: DataFrame | None = None
     zone_groups: DataFrame | None = None  # the request log as groups by one dimension each (read_zone)
-
-
+    outcomes: DataFrame | None = None
+
+    @classmethod
+    def read(
+        cls, spark: SparkSession, config: SiteConfig, paths: Mapping[str, str | Sequence[str]], start: dt.date, end: dt.date
+    ) -> Landed:
+        """Responses below ``paths`` (by source) and what became of every pull that the run needs."""
+        days = [start + dt.timedelta(n) for n in range((end - start).days + 1)]
+        found = [sources.outcomes(spark, source, path) for source, path in paths.items()]
+        made = reduce(DataFrame.unionByName, found).where(F.col("date").between(F.lit(start), F.lit(end)))
+        made = staged(made, "outcomes")
+        accounts = [r.key for r in made.where("source = 'beacons'").select("key").distinct().collect()] or ["1"]
+        expected = pulls.expected_pulls(spark, config, list(paths), days, accounts)
+        rows = {FIELDS.get(source, source): READERS[source](spark, path) for source, path in paths.items()}
+        return cls(**rows, outcomes=sources.settled(made, expected))
+
+
+READERS = {
+    "beacons": sources.read_beacons, "zone": sources.read_zone, "keywords": sources.read_keywords,
+    "search_pages": sources.read_search_pages, "search_summary": sources.read_search_summary, "forums": sources.read_forums,
+}
+FIELDS = {"zone": "zone_groups"}
+# The sources that fill each table. Traffic has the sites of both measurements.
+FED_BY = {
+    "traffic": ("beacons", "zone"), **dict.fromkeys(("referrers", "landing"), ("beacons",)),
+    **dict.fromkeys(("zone_pages", "zone_countries", "zone_status", "zone_bots"), ("zone",)),
+    **{name: (name,) for name in ("keywords", "search_pages", "search_summary", "forums")},
+}
 SCOPES = {
+    "traffic": "TRUE",
     **dict.fromkeys(("referrers", "landing"), "measurement = 'rum'"),
     **dict.fromkeys(("zone_pages", "zone_countries", "zone_status", "zone_bots"), "measurement = 'zone'"),
     **dict.fromkeys(("keywords", "search_pages", "search_summary"), "property IS NOT NULL"),
@@ -88,11 +122,28 @@ def daily_tables(
         rows = getattr(landed, name)
         if rows is not None:
             if name == "search_pages":
-                rows = filter_pages(rows, config.page_filters())
+                rows = sources.filter_pages(rows, config.page_filters())
             tables[name] = of_the_run(rows).select(*S.TABLES[name].fieldNames())
     return tables
 
 
+def record_signals(
+    batch: daily.Batch, config: SiteConfig, dates: Sequence[dt.date], tables: Tables | None = None,
+    only: Sequence[str] = H.ALL_RULES, escalate_at: int = C.ESCALATE_RECURRENCE, **rules,
+) -> None:
+    """Store the signals of consecutive report dates with their recurrence.
+
+    Of the history only the date before the first one is read; a later correction of a date
+    is followed by recording it and the dates after it again.
+    """
+    tables = tables or Tables(batch.spark, {name: partial(batch.read, name) for name in S.TABLES})
+    periods = [Period(d) for d in sorted(dates)]
+    found = Report(tables, config, periods[0] if len(periods) == 1 else periods, **rules).signals(only)
+    before = batch.read("signals").where(F.col("date") == F.lit(periods[0].date - dt.timedelta(1)))
+    rows = H.recurrence(found, escalate_at, before).withColumn("date", F.col("as_of")).select(*S.TABLES["signals"].fieldNames())
+    batch.replace_scope("signals", rows, daily.refresh_scope(config.sites_df(batch.spark), [p.date for p in periods]))
+
+
 def run_nightly(
     spark: SparkSession,
     root: str,
@@ -103,28 +154,45 @@ def run_nightly(
     run_at: dt.datetime,
     notes: Sequence[str] = (),
     failed_hosts: Sequence[str] = (),
+    history: bool = True,
 ) -> DataFrame:
     """Fill the daily tables for the dates of a run, record it, and give its result.
 
-    The result (one row: sessions of the last date, first alert, notes) is computed
-    from the stored tables when it is asked for. Hosts whose pull failed are left out of every scope, so their stored rows
-    stay. Without a search source the search tables are not touched.
+    All tables, the outcomes of the pulls and the record of the run become visible together,
+    or, after a failure, none of them. Hosts and dates whose pull failed are left out of every
+    scope, so their stored rows stay; each is noted. A source that was not pulled touches
+    nothing. With ``history`` the signals of the last date are stored as well. The result (one row: sessions of the last date, first alert, notes) is computed
+    from the stored tables when it is asked for.
     """
-    tables = daily_tables(spark, config, landed, start, end)
-    days = F.sequence(F.lit(start), F.lit(end))
+    days = [start + dt.timedelta(n) for n in range((end - start).days + 1)]
     sites = config.sites_df(spark)
-    scope = sites.select("host", F.explode(days).alias("date"))
-    if failed_hosts:
-        scope = scope.where(~F.col("host").isin(list(failed_hosts)))
-    for name, rows in tables.items():
-        if name == "forums":
-            daily.upsert(spark, root, name, rows)
-        elif name == "traffic":
-            measured = rows.join(scope, ["date", "host"], "left_semi")
-            daily.upsert(spark, root, name, measured)
+    notes, failed_hosts = list(notes), list(failed_hosts)
+    with cleared(spark), daily.Batch(spark, root) as batch:
+        outcomes = landed.outcomes
+        if outcomes is not None:
+            outcomes = staged(outcomes, "pulls")
+            batch.upsert("pulls", outcomes)
+            notes += pulls.notes_of(outcomes)
+            failed_search = pulls.failed_search_hosts(outcomes)
         else:
+            failed_search = failed_hosts
+        for name, rows in daily_tables(spark, config, landed, start, end).items():
+            good = None
+            if outcomes is not None:
+                pairs = [pulls.good_pairs(outcomes, source, sites) for source in FED_BY[name]]
+                good = reduce(DataFrame.unionByName, pairs)
+            if name == "forums":
+                known = rows if good is None else rows.join(good, ["date", "host"], "left_semi")
+                batch.upsert(name, known)
+                continue
             # Only the sites that a table's source measures are in its scope.
-            own = sites.where(SCOPES[name])
-            daily.replace_scope(spark, root, name, rows, scope.join(own, "host", "left_semi"))
-    daily.log_run(spark, root, run_at, end, notes)
-    return Report(Tables.stored(spark, root), config, Period(end)).run_result(notes, failed_hosts)
+            scope = daily.refresh_scope(sites.where(SCOPES[name]), days, True, failed_hosts, good)
+            if name == "traffic":
+                batch.upsert(name, rows.join(scope, ["date", "host"], "left_semi"))
+            else:
+                batch.replace_scope(name, rows, scope)
+        if history:
+            record_signals(batch, config, [end])
+        batch.log_run(run_at, end, notes)
+    failed = sorted({*failed_hosts, *failed_search})
+    return Report(Tables.stored(spark, root), config, Period(end)).run_result(notes, failed)

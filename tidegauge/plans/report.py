@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property, partial, reduce
 
@@ -22,6 +22,7 @@ from tidegauge.operators import sites as P
 from tidegauge.operators import totals as T
 from tidegauge.operators import zone as Z
 from tidegauge.sinks.scratch import pinned
+from tidegauge.sources.manifest import latest
 from tidegauge.sources.tables import read_table
 
 KEYS = ["as_of", "host"]
@@ -40,7 +41,9 @@ class Tables:
 
     @classmethod
     def stored(cls, spark: SparkSession, root: str) -> Tables:
-        return cls(spark, {name: partial(read_table, spark, root, name) for name in S.TABLES})
+        """All tables as they are now, also if a later run writes some of them."""
+        state = latest(spark, root)
+        return cls(spark, {name: partial(read_table, spark, root, name, state) for name in S.TABLES})
 
     def __getitem__(self, name: str) -> DataFrame:
         frame = self.frames.get(name)
@@ -52,6 +55,25 @@ class Tables:
         return frame
 
 
+def folded(lists: Mapping[str, tuple], singles: Mapping[str, DataFrame]) -> DataFrame:
+    """Cards (rows per site, and the columns of an entry) and single rows per site, as one row
+    per site: a sorted list of each card (null where it is empty), the columns of each single row.
+
+    Rows of all kinds are stacked, with one column of entries each, and meet in one grouping.
+    """
+    stacked = [card.select(*KEYS, F.struct(*columns).alias(name)) for name, (card, *columns) in lists.items()]
+    own = {name: [c for c in row.columns if c not in KEYS] for name, row in singles.items()}
+    stacked += [row.select(*KEYS, F.struct(*own[name]).alias(name)) for name, row in singles.items()]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
+    entries = [F.collect_list(name).alias(name) for name in lists]
+    grouped = whole.groupBy(*KEYS).agg(*entries, *[F.max(name).alias(name) for name in singles])
+    return grouped.select(
+        *KEYS,
+        *[F.when(F.size(name) > 0, F.sort_array(name)).alias(name) for name in lists],
+        *[F.col(f"{name}.{c}").alias(c) for name in singles for c in own[name]],
+    )
+
+
 @dataclass
 class Report:
     """Every panel of a report. ``periods`` is one period, or several report dates."""
@@ -98,8 +120,16 @@ class Report:
 
     @cached_property
     def split(self) -> DataFrame:
-        """Classified and split days of the whole history."""
-        classified = E.classify_floods(self.rows("traffic"), self.kinds, self.flood_rules)
+        """Classified and split days of the whole history, per report date."""
+        if isinstance(self.periods, R.Period) or len({p.days for p in self.periods}) > 1:
+            classified = E.classify_floods(self.rows("traffic"), self.kinds, self.flood_rules)
+        else:
+            # One pass over the stored days, however many report dates there are.
+            traffic, kinds = self._domain(self.tables["traffic"]), R.kinds_by_day(self._domain(self.tables["referrers"]))
+            dates = [p.date for p in self.periods]
+            history = (self.periods[0].date - self.periods[0].history_start).days + 1
+            hosts = self.sites.select("host").distinct()
+            classified = E.classify_many(traffic, kinds, hosts, dates, history, self.flood_rules)
         split = E.split_days(classified)
         return pinned(split) if self.pin else split
 
@@ -296,34 +326,28 @@ class Report:
     # ------------------------------------------------------------------ export
 
     def export(self) -> DataFrame:
-        """Nested report per site. Lists are card rows, at most a dozen per site."""
-
-        def nested(card: DataFrame, name: str, *columns: str) -> DataFrame:
-            rows = F.sort_array(F.collect_list(F.struct("rank", *columns)))
-            return card.groupBy(*KEYS).agg(rows.alias(name))
+        """Nested report per site. Lists are card rows, at most a dozen per site.
 
+        All cards are stacked and grouped by site once; only the result joins the site rows.
+        """
         search = ("clicks", "impressions", "ctr", "position")
         zone_sites = self.sites.where(F.col("measurement") == "zone").select(*KEYS)
-        files = P.file_card(self.rows("zone_pages", "start"))
-        countries = P.country_card(self.rows("zone_countries", "date"))
         statuses = self.rows("zone_status", "date")
-        spark = F.sort_array(F.collect_list(F.struct("date", "visits", "flood")))
-        lists = [
-            nested(P.referrer_card(self.referrers), "referrers", "referrer", "kind", "visits"),
-            nested(self.landing_card, "landing", "page", "visits", "views"),
-            nested(files, "files", "page", "requests", "zone_visits"),
-            nested(P.keyword_card(self.keywords), "keywords", "query", *search),
-            nested(P.search_page_card(self.search_pages), "pages", "page", *search),
-            nested(countries, "countries", "country", "visits"),
-            nested(P.status_card(statuses), "statuses", "status", "requests"),
-            P.sparkline(self.split).groupBy(*KEYS).agg(spark.alias("spark")),
-            Z.verified_bots(self.rows("zone_bots", "date"), zone_sites),
-            Z.non_content_totals(self.rows("zone_pages", "date"), statuses),
-        ]
-        report = self.site_rows
-        for part in lists:
-            report = report.join(part, KEYS, "left")
-        return report
+        lists = {
+            "referrers": (P.referrer_card(self.referrers), "rank", "referrer", "kind", "visits"),
+            "landing": (self.landing_card, "rank", "page", "visits", "views"),
+            "files": (P.file_card(self.rows("zone_pages", "start")), "rank", "page", "requests", "zone_visits"),
+            "keywords": (P.keyword_card(self.keywords), "rank", "query", *search),
+            "pages": (P.search_page_card(self.search_pages), "rank", "page", *search),
+            "countries": (P.country_card(self.rows("zone_countries", "date")), "rank", "country", "visits"),
+            "statuses": (P.status_card(statuses), "rank", "status", "requests"),
+            "spark": (P.sparkline(self.split), "date", "visits", "flood"),
+        }
+        singles = {
+            "verified": Z.verified_bots(self.rows("zone_bots", "date"), zone_sites),
+            "noise": Z.non_content_totals(self.rows("zone_pages", "date"), statuses),
+        }
+        return self.site_rows.join(folded(lists, singles), KEYS, "left")
 
     def document(self) -> DataFrame:
         """The whole report as JSON documents: (as_of, part, host, body), a row per entry.

@@ -42,6 +42,13 @@ TABLES = {
         " posts_today BIGINT, posts_count BIGINT, topics_count BIGINT"
     ),
     "runs": _table("run_at TIMESTAMP, date DATE, ok INT, note STRING"),
+    # Signals of each report date, with how many days in a row they had fired before.
+    "signals": _table(
+        "date DATE, host STRING, kind STRING, severity INT, weight DOUBLE, headline STRING,"
+        " evidence STRING, action STRING, recurrence INT"
+    ),
+    # What became of each pull: its source, and the account or host that it asked for.
+    "pulls": _table("date DATE, source STRING, key STRING, ok INT, message STRING"),
 }
 
 # Value for a column that an older file does not have (additive evolution).
@@ -61,6 +68,8 @@ DEFAULTS = {
         name: 0 for name in TABLES["forums"].fieldNames() if name not in ("date", "host")
     },
     "runs": {},
+    "pulls": {},
+    "signals": {},
 }
 
 KEYS = {
@@ -76,9 +85,13 @@ KEYS = {
     "search_summary": ("date", "host"),
     "forums": ("date", "host"),
     "runs": ("run_at",),
+    "pulls": ("date", "source", "key"),
+    "signals": ("date", "host", "kind"),
 }
 
-# Landed responses, one JSON document per line, below date=YYYY-MM-DD folders.
+# Landed responses, one JSON document per line, below date=YYYY-MM-DD folders. What a
+# source says instead of rows is kept as it is written, whatever its shape.
+RESPONSE_ERRORS = "errors STRING, error STRING, _corrupt_record STRING"
 BEACON_RESPONSE = (
     "data STRUCT<viewer: STRUCT<accounts: ARRAY<STRUCT<rumPageloadEventsAdaptiveGroups:"
     " ARRAY<STRUCT<count: BIGINT, sum: STRUCT<visits: BIGINT>, dimensions:"

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+#: Folders made within ``cleared``, the innermost last.
+_MADE: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,7 +28,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    if _MADE.get():
+        _MADE.get()[-1].append(folder)
+    return folder
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Delete the working folders that were made inside, also after a failure.
+
+    What is computed inside must be written or collected there: a DataFrame that still reads
+    a working folder cannot be used afterwards.
+    """
+    own: list[str] = []
+    token = _MADE.set((*_MADE.get(), own))
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for folder in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pinned(df: DataFrame) -> DataFrame:

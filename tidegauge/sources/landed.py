@@ -2,7 +2,12 @@
 
 A response is one JSON document per line. The folder names below the given
 paths carry what the response itself does not say: ``date=YYYY-MM-DD``, and
-``host=`` (zone, search, forum) or ``dimension=`` (zone).
+``host=`` (zone, search, forum), ``dimension=`` (zone) or ``account=`` (beacons; where
+it is missing, each path is an account).
+
+A response can be an error (a body with ``errors`` or ``error``, or a line that is no JSON
+document of the source's shape). It gives no rows, and ``outcomes`` says so: rows alone
+do not tell a pull that found nothing from one that failed.
 """
 
 from __future__ import annotations
@@ -19,10 +24,66 @@ from tidegauge.functions.ranking import top_n
 from tidegauge.functions.scalars import search_window, zero
 
 
-def _json(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
-    """One read per path, each with its own partition folders; accounts are few."""
+#: Per source: its response, and the folder that tells whom a pull has asked.
+SOURCES = {
+    "beacons": (S.BEACON_RESPONSE, "account"),
+    "zone": (S.ZONE_RESPONSE, "host"),
+    "keywords": (S.SEARCH_RESPONSE, "host"),
+    "search_pages": (S.SEARCH_RESPONSE, "host"),
+    "search_summary": (S.SEARCH_RESPONSE, "host"),
+    "forums": (S.FORUM_RESPONSE, "host"),
+}
+#: A zone host is pulled by several requests, one by each of these; a total of its own is optional.
+ZONE_PARTS = ("path", "country", "status", "category")
+
+
+def _responses(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
+    """All responses with ``failure`` (null for a good one). One read per path, each with its
+    own partition folders; accounts are few."""
     paths = [paths] if isinstance(paths, str) else paths
-    return reduce(DataFrame.unionByName, (spark.read.schema(schema).json(p) for p in paths))
+    failure = F.coalesce("error", "errors", F.concat(F.lit("unreadable: "), F.col("_corrupt_record")))
+    parts = []
+    for number, path in enumerate(paths, 1):
+        read = spark.read.schema(f"{schema}, {S.RESPONSE_ERRORS}").json(path).withColumn("failure", failure)
+        parts.append(read if "account" in read.columns else read.withColumn("account", F.lit(str(number))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _json(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
+    """Good responses."""
+    return _responses(spark, paths, schema).where(F.col("failure").isNull())
+
+
+def outcomes(spark: SparkSession, source: str, paths: str | Sequence[str]) -> DataFrame:
+    """(date, source, key, ok, message) of every pull: an account or host on a date.
+
+    A pull is good if all its responses are (a retry replaces the file of the try before
+    it); else the message is that of one of the others.
+    """
+    schema, key = SOURCES[source]
+    # Counting the rows' own field makes the reader parse it: one of a wrong type is a broken line.
+    body = schema.split()[0]
+    failure = F.coalesce(F.min("failure"), F.when(F.count(body) < 0, F.lit("")))
+    if source == "zone":
+        left = F.array_except(F.array(*[F.lit(d) for d in ZONE_PARTS]), F.collect_set("dimension"))
+        failure = F.coalesce(failure, F.when(F.size(left) > 0, F.concat(F.lit(f"{C.NO_RESPONSE} by "), F.array_join(left, ", "))))
+    return (
+        _responses(spark, paths, schema)
+        .groupBy("date", F.lit(source).alias("source"), F.col(key).cast("string").alias("key"))
+        .agg(failure.alias("message"))
+        .select("date", "source", "key", F.col("message").isNull().cast("int").alias("ok"), "message")
+    )
+
+
+def settled(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """Outcomes of all pulls that were ``expected`` (date, source, key) or made; one without
+    any response has failed."""
+    keys = ["date", "source", "key"]
+    whole = found.join(expected.select(*keys).distinct(), keys, "full")
+    return whole.select(
+        *keys, F.coalesce("ok", F.lit(0)).alias("ok"),
+        F.when(F.col("ok").isNull(), F.lit(C.NO_RESPONSE)).otherwise(F.col("message")).alias("message"),
+    )
 
 
 def read_beacons(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
