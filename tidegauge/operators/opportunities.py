@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -155,12 +155,17 @@ def opportunity_facts(found: DataFrame) -> DataFrame:
     return found.groupBy(*keys).agg(*facts("snippet"), *facts("rank"))
 
 
+def opportunity_columns(c: Callable[[str], Column] = F.col) -> list[Column]:
+    """Counts of classified keyword rows; those without a class do not count."""
+    return [
+        F.count(c("kind")).alias("opportunities"),
+        F.count_if(c("kind") == "snippet").alias("snippet"),
+        F.count_if(c("kind") == "rank").alias("rank"),
+    ]
+
+
 def opportunity_totals(found: DataFrame) -> DataFrame:
-    return found.agg(
-        F.count("*").alias("opportunities"),
-        F.count_if(F.col("kind") == "snippet").alias("snippet"),
-        F.count_if(F.col("kind") == "rank").alias("rank"),
-    )
+    return found.agg(*opportunity_columns())
 
 
 def headline_site(facts: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import schemas as S
 from tidegauge.config import FloodRules, OpportunityRules, SignalRules, SiteConfig
+from tidegauge.functions.ranking import exact_median
 from tidegauge.operators import digest as D
 from tidegauge.operators import floods as E
 from tidegauge.operators import forums as K
@@ -255,8 +256,42 @@ class Report:
 
     @cached_property
     def totals(self) -> DataFrame:
-        """One row (per report date) with every total over all selected sites."""
-        return self.by_period(Report._totals)
+        """One row (per report date) with every total over all selected sites.
+
+        All totals are declared over six kinds of rows and folded into one grouping; the
+        median needs passes of its own over the keywords. Several report dates are groups.
+        """
+        keys = [] if isinstance(self.periods, R.Period) else ["as_of"]
+        zone = {c: f"zone_{c}" for c in ("visits", "requests", "bytes", "sites", "hosts")}
+        named = {"snippet": "snippet_opportunities", "rank": "rank_opportunities"}
+
+        def renamed(columns: list, names: Mapping[str, str]) -> list:
+            return [c.alias(new) for c, new in zip(columns, names.values(), strict=True)]
+
+        keywords = O.classify_keywords(self.keywords, self.config.deny(self.tables.spark), self.opportunity_rules)
+        often = self.keywords.where(T.seen_often())
+        rows = {
+            "site": self.traffic.join(self.sources.drop("measurement"), KEYS),
+            "internal": T.internal_rows(self.period_referrers, self.sites),
+            "search": self.search_latest,
+            # The class goes through a generator, so that its expressions are not written out in every total.
+            "keyword": keywords.withColumn("kind", F.explode_outer(F.array("kind"))),
+            "middle": exact_median(often, "position", keys),
+            "trend": T.last_dates(T.traffic_trend(self.split, self.kinds, self.sites, keys), keys=keys),
+            "snapshot": T.last_dates(T.search_trend(self.search_history, keys), keys=keys),
+        }
+        site, search, keyword = T.of("site"), T.of("search"), T.of("keyword")
+        totals = {
+            "rum": T.rum_columns(site), "mix": T.mix_columns(site), "counts": T.count_columns(site),
+            "zone": renamed(T.zone_columns(site), zone),
+            "internal": [(F.count("internal") > 0).alias("internal_measured")],
+            "search": T.search_columns(search),
+            "positions": T.position_columns(keyword), "sample": T.sample_columns(keyword),
+            "median": [F.coalesce(F.max("middle.median"), F.lit(0.0)).alias("median_position")],
+            "opportunities": renamed(O.opportunity_columns(keyword), {"opportunities": "opportunities", **named}),
+            "trend": T.trend_columns(T.of("trend")), "snapshots": T.snapshot_columns(T.of("snapshot")),
+        }
+        return T.with_ratios(T.with_sample_share(T.folded(rows, totals, keys), "impressions"))
 
     @cached_property
     def traffic_trend(self) -> DataFrame:
@@ -298,31 +333,6 @@ class Report:
         date = F.lit(self.periods.date)
         return D.run_result(today, self.digest, alert, date, tuple(notes), tuple(failed_hosts))
 
-    def _totals(self) -> DataFrame:
-        one = F.lit(1).alias("one")
-        zone = T.zone_totals(self.traffic).withColumnsRenamed(
-            {c: f"zone_{c}" for c in ("visits", "requests", "bytes", "sites", "hosts")}
-        )
-        parts = [
-            T.rum_totals(self.traffic),
-            T.source_mix(self.sources),
-            T.site_counts(self.traffic),
-            zone,
-            T.internal_measured(self.period_referrers, self.sites),
-            T.search_totals(self.search_latest),
-            T.median_position(self.keywords),
-            T.expected_ctr_mix(self.keywords, self.search_latest),
-            O.opportunity_totals(self.opportunities).withColumnsRenamed(
-                {"snippet": "snippet_opportunities", "rank": "rank_opportunities"}
-            ),
-            T.traffic_comparator(T.traffic_trend(self.split, self.kinds, self.sites)),
-            T.search_comparator(T.search_trend(self.search_history)),
-        ]
-        row = parts[0].select("*", one)
-        for part in parts[1:]:
-            row = row.join(part.select("*", one), "one")
-        return T.with_ratios(row.drop("one"))
-
     # ------------------------------------------------------------------ export
 
     def export(self) -> DataFrame:
