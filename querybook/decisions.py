@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from querybook.registry import query
 from querybook.sql import DATE, OPPORTUNITIES, classified, malformed, non_content, site_rows, sql, top
 from querybook.views import CONFIG, FLOOD_RULES, LAST, NO_FLOODS, SIGNAL_RULES
+from tidegauge import constants as C
 from tidegauge.functions.scalars import is_malformed
 from tidegauge.operators import digest as L
 from tidegauge.operators import forums as K
@@ -191,6 +192,46 @@ for _days in (1, 7):
         return H.rank_signals(report.signals()).select(*SIGNAL)
 
 
+def with_commas(x: str) -> str:
+    return f"format('{{:,}}', ({x})::BIGINT)"
+
+
+def one_place(x: str) -> str:
+    """One decimal; exact ties go up."""
+    return f"printf('%.1f', {x} + 1e-9)"
+
+
+MOVED = f" || {with_commas('abs(visits - previous_visits)')} || ' from ' || {with_commas('previous_visits')} || '.'"
+LEAD = ("(SELECT *, sum(score) OVER (PARTITION BY host, kind) AS clicks_lost, row_number() OVER (PARTITION BY host, kind ORDER BY score DESC, query) AS n"
+        " FROM opps WHERE host <> 'files.example') WHERE n = 1 AND kind = ")
+# Evidence of each rule, and the rows on which it fires.
+TEXTS = {
+    "traffic-drop": (f"{with_commas('visits')} || ' sessions, down '" + MOVED, RUM + f" AND delta <= -0.10 AND {CHANGE} >= 5"),
+    "traffic-rise": (f"{with_commas('visits')} || ' sessions, up '" + MOVED, JOINED + f" AND {NOT_SUBFLOOD} AND delta >= 0.10 AND {CHANGE} >= 5"),
+    "no-comparison": (
+        f"{with_commas('visits')} || ' sessions is a floor: ' || CASE WHEN partial_days > 0 THEN 'this' ELSE 'the previous' END"
+        " || ' period contains a crawler-flooded day whose direct bucket is not separable.'",
+        "sr WHERE measurement = 'rum' AND delta IS NULL AND (partial_days > 0 OR previous_partial_days > 0)"),
+    "error-spike": (
+        f"{with_commas('error_requests')} || ' responses ≥ 400 out of ' || {with_commas('requests')} || ' requests, against a ' || n"
+        f" || '-day mean of ' || {one_place('mean * 100')} || '%.'", "spikes"),
+    "snippet-gap": (
+        f"'About ' || {one_place('clicks_lost')} || ' clicks a window are going elsewhere, led by \"' || query || '\" at position ' || {one_place('position')}"
+        f" || ' with ' || {one_place('ctr * 100')} || '% CTR against roughly ' || {one_place('expected_ctr * 100')} || '% expected there.'", LEAD + "'snippet'"),
+    "rank-gap": (
+        f"'Roughly ' || {one_place('clicks_lost')} || ' clicks a window are out of reach at these ranks, led by \"' || query || '\" at position '"
+        f" || {one_place('position')} || ' on ' || {with_commas('impressions')} || ' impressions.'", LEAD + "'rank'"),
+}
+
+
+@query("h10_signal_texts", sql(" UNION ALL ".join(
+    f"SELECT host, '{kind}' AS kind, {evidence} AS evidence, '{C.ACTIONS[kind]}' AS action,"
+    f" '#site-' || regexp_replace(host, '[^a-zA-Z0-9]', '-', 'g') AS href FROM {rows}" for kind, (evidence, rows) in TEXTS.items()), *signal_ctes(7)))
+def _(v):
+    """The text columns of the signals: evidence, action and link."""
+    return v.full_report(7).signals(list(TEXTS)).select("host", "kind", "evidence", "action", "href")
+
+
 URGENCY = "ORDER BY severity, weight DESC, host"
 
 
