@@ -524,6 +524,33 @@ def _(v):
     )
 
 
+DOCUMENT = {
+    "totals": "NULL AS host, sum(visits)::BIGINT || '' AS item FROM st WHERE measurement = 'rum'",
+    "traffic_trend": "NULL, strftime(date, '%Y-%m-%d') || '|' || visits || '|' || views || '|' || search FROM (SELECT * FROM trend ORDER BY date DESC LIMIT 14)",
+    "search_trend": "NULL, strftime(date, '%Y-%m-%d') || '|' || clicks || '|' || impressions FROM (SELECT * FROM snaps ORDER BY date DESC LIMIT 14)",
+    "site": "host, visits || '|' || views || '|' || bot_visits FROM sr",
+    "opportunity": "host, kind || '|' || query || '|' || clicks || '|' || impressions FROM opps",
+    "verified_category": "host, category || '|' || requests || '|' || visits FROM zone_bots"
+                         " WHERE date = DATE '2024-01-30' AND category NOT IN ('', '(unverified)')",
+}
+FIELDS = {
+    "totals": ["visits"], "traffic_trend": ["date", "visits", "views", "search"], "search_trend": ["date", "clicks", "impressions"],
+    "site": ["visits", "views", "bot_visits"], "opportunity": ["kind", "query", "clicks", "impressions"],
+    "verified_category": ["category", "requests", "visits"],
+}
+
+
+@query("s5_report_document", sql(" UNION ALL ".join(f"SELECT '{part}' AS part, {body}" for part, body in DOCUMENT.items()),
+    classified(), site_rows(7), OPPORTUNITIES, [TREND, SNAPSHOTS]))
+def _(v):
+    """Entries of six parts of the whole report's document, read back from their JSON."""
+    found = v.full_report(7).document()
+    item = F.lit(None).cast("string")
+    for part, fields in FIELDS.items():
+        item = F.when(F.col("part") == part, F.concat_ws("|", *[F.get_json_object("body", f"$.{f}") for f in fields])).otherwise(item)
+    return found.where(F.col("part").isin(list(FIELDS))).select("part", "host", item.alias("item"))
+
+
 # ---------------------------------------------------------------- opportunities
 
 OPP = ("host, query, clicks, impressions, position, round(ctr, 6) AS ctr, round(expected_ctr, 6) AS expected_ctr, kind,"
