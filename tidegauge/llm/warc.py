@@ -86,8 +86,12 @@ def chunked(pages: DataFrame, page_id: str, url: str, html: str, least: int = 0,
     told = told.withColumn("refers_to", F.when(other, F.col("first")))
     stored = F.when(other, F.lit(b"")).otherwise(F.col("payload"))
     last = F.greatest(F.lit(0).cast("long"), F.floor((F.octet_length(stored).cast("long") - 1) / chunk))
-    parts = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.substring(stored, (i * chunk + 1).cast("int"), F.lit(chunk)))
-    return told.select("page_id", "url", "refers_to", "sha1", "payload_bytes", (last + 1).alias("n_chunks"), F.posexplode(parts).alias("chunk_no", "data"))
+    # Numbers are generated and each chunk is cut by its own: no array holds all chunks of a payload.
+    numbered = told.select(
+        "page_id", "url", "refers_to", "sha1", "payload_bytes", (last + 1).alias("n_chunks"), stored.alias("stored"),
+        F.explode(F.sequence(F.lit(0).cast("long"), last)).cast("int").alias("chunk_no"),
+    )
+    return numbered.withColumn("data", F.substring("stored", F.col("chunk_no") * chunk + 1, F.lit(chunk))).drop("stored")
 
 
 def write(chunks: DataFrame, folder: str, archive_bytes: int = 256 << 20) -> DataFrame:
@@ -243,7 +247,8 @@ def read(archives: DataFrame) -> DataFrame:
                             rows = []
                     yield made(rows)
 
-    return map_arrow(archives.select("archive").repartition("archive"), run, CHUNKS)
+    # A task per archive: the list is tiny, and left to itself it would be one partition.
+    return map_arrow(archives.select("archive").repartition(max(1, archives.count())), run, CHUNKS)
 
 
 def archived(pages: DataFrame, page_id: str, url: str, html: str, folder: str, least: int = 0) -> DataFrame:
