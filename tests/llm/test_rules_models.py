@@ -234,6 +234,20 @@ def plain_places(text):
     return w, sorted((i, label) for phrase, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
 
 
+def shortest(regex):
+    """A text that a rule's regex matches: optional parts left out, the first of each choice."""
+    while "(?:" in regex:
+        regex = re.sub(r"\(\?:([^()]*)\)(\??)", lambda m: "" if m[2] else m[1].split("|")[0], regex)
+    return re.sub(r"\[(.)[^]]*\]", r"\1", re.sub(r".\?", "", regex))
+
+
+def test_keywords_are_words_of_their_own_rules():
+    for keyword, _, label, regex in licenses.rule_table():
+        text = " ".join(shortest(regex).split())
+        assert re.fullmatch(regex, text), (regex, text)
+        assert keyword in text.split(), (keyword, label, text)
+
+
 def plain_detections(w):
     """All rules at all words; then what a detection of no lower priority contains goes."""
     line, found = " ".join(w), []

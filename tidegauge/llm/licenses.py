@@ -40,7 +40,7 @@ def rule_table() -> list[tuple[str, int, str, str]]:
     # The GNU family.
     gnu = {"gpl": ("gnu general public license", ("1", "2", "3")), "lgpl": ("gnu (?:lesser|library) general public license", ("2", "2 1", "3")), "agpl": ("gnu affero general public license", ("1", "3"))}
     for short, (name, versions) in gnu.items():
-        add((short if short == "agpl" else "general", 1, short, name))
+        add(("affero" if short == "agpl" else "general", 1, short, name))
         add((short, 1, short, f"{short} licensed?"))
         for v in versions:
             dotted = v.replace(" ", ".")
@@ -109,7 +109,7 @@ def rule_table() -> list[tuple[str, int, str, str]]:
         ("zope", "zpl", "zope public license", ("1 1", "2 0", "2 1")),
         ("python", "psf", "python software foundation license", ("2", "2 0")),
         ("php", "php", "php license", ("3 0", "3 01")),
-        ("qt", "qpl", "q public license", ("1 0",)),
+        ("q", "qpl", "q public license", ("1 0",)),
         ("latex", "lppl", "latex project public license", ("1 0", "1 1", "1 2", "1 3")),
         ("ibm", "ipl", "ibm public license", ("1 0",)),
         ("nasa", "nasa", "nasa open source agreement", ("1 3",)),
@@ -138,7 +138,7 @@ def rule_table() -> list[tuple[str, int, str, str]]:
         ("postgresql", "postgresql", "postgresql license"), ("vim", "vim", "vim license"), ("ruby", "ruby", "ruby license"),
         ("openssl", "openssl", "openssl license"), ("curl", "curl", "curl license"), ("beerware", "beerware", "beerware(?: license)?"),
         ("json", "json", "json license"), ("good", "json", "software shall be used for good not evil"), ("ncsa", "ncsa", "ncsa open source license"),
-        ("unicode", "unicode", "unicode license agreement"), ("w3c", "w3c", "w3c software (?:notice and )?license"), ("hpnd", "hpnd", "historical permission notice and disclaimer"),
+        ("unicode", "unicode", "unicode license agreement"), ("w3c", "w3c", "w3c software (?:notice and )?license"), ("historical", "hpnd", "historical permission notice and disclaimer"),
     ):
         add((key, 1, label, regex))
     return out
