@@ -105,11 +105,13 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder in the storage that driver and executors share.
 
-    Where the cluster names none in spark.checkpoint.dir (tests), one below the
-    warehouse is taken.
+    Where spark.checkpoint.dir names none, local mode (tests) takes one below the
+    warehouse; on a cluster that is an error, as the folder could be the driver's own.
     """
     base = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that driver and executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
