@@ -89,7 +89,7 @@ def chunked(pages: DataFrame, page_id: str, url: str, html: str, least: int = 0,
     # Numbers are generated and each chunk is cut by its own: no array holds all chunks of a payload.
     numbered = told.select(
         "page_id", "url", "refers_to", "sha1", "payload_bytes", (last + 1).alias("n_chunks"), stored.alias("stored"),
-        F.explode(F.sequence(F.lit(0).cast("long"), last)).cast("int").alias("chunk_no"),
+        F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("chunk_no"),
     )
     return numbered.withColumn("data", F.substring("stored", F.col("chunk_no") * chunk + 1, F.lit(chunk))).drop("stored")
 
