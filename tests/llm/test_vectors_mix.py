@@ -156,8 +156,8 @@ def mix_docs(spark, n=900):
     return spark.createDataFrame([(*r, 1, "q", 2.0) for r in rows], "doc_id long, text string, source string, size int, target string, p double")
 
 
-@pytest.mark.parametrize("block,error", [(16, 20), (2000, 6)])
-def test_mix_meets_targets_and_repeats(spark, block, error):
+@pytest.mark.parametrize("block", [16, 2000])
+def test_mix_meets_targets_and_repeats(spark, block):
     docs = mix_docs(spark)
     got = source_mix.expanded(source_mix.plan(docs, "doc_id", "text", "source", block=block)).collect()
     assert Counter((r.id, r.source, r.size) for r in got) == Counter((r.doc_id, r.source, len((r.text or "").split())) for r in docs.collect())
@@ -170,7 +170,8 @@ def test_mix_meets_targets_and_repeats(spark, block, error):
     for r in got:
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(expected[r.source])
     for s in sizes:
-        assert abs(taken[s] - expected[s]) <= error, s
+        # A few hundred documents in eight sources: within 0.4 % of each target.
+        assert abs(taken[s] - expected[s]) <= 0.004 * expected[s], s
     again = source_mix.expanded(source_mix.plan(docs.repartition(7, "text"), "doc_id", "text", "source", block=block)).collect()
     assert Counter((r.id, r.source, r.taken) for r in got) == Counter((r.id, r.source, r.taken) for r in again)
 

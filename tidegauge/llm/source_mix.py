@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 from tidegauge.functions.ranking import numbered_in_order
 from tidegauge.llm.rows import columns, map_arrow, staged
 
-#: Fractional documents of a block, on average, and documents held back for the landing.
-BLOCK, HELD = 2_000, 12
+#: Fractional documents of a block, on average; documents held back for the landing, of
+#: different sizes and of the smallest.
+BLOCK, HELD, SMALLEST = 2_000, 10, 4
 EDGE = 1e-9
 UNIT = ["source", "id", "size", "t", "copies"]
 
@@ -132,9 +133,10 @@ def decide(p: list[float], x: list[float], draws: list[float], last: bool) -> No
         fly(p, x, draws)
         return
     fractional = [i for i in range(len(p)) if EDGE < p[i] < 1 - EDGE]
-    # One of each size, as equal ones would not bring an outcome nearer.
-    sizes = list({x[i]: i for i in fractional}.values())
+    # Large steps come from different sizes, the last few words from several small documents.
+    sizes = list({x[i]: i for i in fractional if x[i]}.values())
     held = {sizes[k] for k in held_back(len(sizes), HELD)}
+    held.update([i for i in fractional if x[i] and i not in held][-SMALLEST:])
     flying = [i for i in range(len(p)) if i not in held]
     own = [p[i] for i in flying]
     rest = fly(own, [x[i] for i in flying], [draws[i] for i in flying])
